@@ -9,6 +9,7 @@ bounded sample of labelled documents; whole texts are scored.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -135,14 +136,21 @@ def letter_runs(token: str) -> list[bytes]:
     return [b" " + w.encode() for w in regex.findall(r"\p{L}+", token.lower())]
 
 
+_scorers: dict[str, Scorer] = {}
+
+
 class Model:
     """Languages, pieces and their probabilities; bounded by vocabulary times languages."""
 
     def __init__(self, langs: list[str], vocab: list[bytes], prob: np.ndarray):
-        self.langs, self.vocab, self.prob = langs, vocab, prob
+        self.langs, self.vocab, self.prob, self.name = langs, vocab, prob, uuid.uuid4().hex
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """This worker's scorer, kept over all of its tasks."""
+        if self.name not in _scorers:
+            _scorers.clear()
+            _scorers[self.name] = Scorer(self)
+        return _scorers[self.name]
 
 
 class Scorer:
@@ -263,11 +271,10 @@ def predicted(docs: DataFrame, model: Model, text: Column) -> Column:
     the language found, on the evidence of at most ENOUGH words; repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept: dict[int, Scorer] = {}
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = kept.setdefault(0, None) or kept.update({0: shared.value.scorer()}) or kept[0]
+        scorer = shared.value.scorer()
         for s in batches:
             texts, langs, scores, start, size = s.tolist(), [], [], 0, 0
             for i, t in enumerate(texts):

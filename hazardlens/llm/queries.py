@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, ngramjoin
+from . import bpe, langid, linededup, mixing, neardup, ngramjoin, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -26,14 +26,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_path(), pattern())
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), rank_path())
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
@@ -42,15 +58,21 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_byte_bpe": op1_byte_bpe,
-        "op4_language_id": op4_language_id,
-        "op6_mixing": op6_mixing,
-        "op8_line_dedup": op8_line_dedup,
-        "op9_ngram_join": op9_ngram_join,
-    }
+    every = (op1_byte_bpe, op2_embedding_neardup, op3_toxicity, op4_language_id, op5_sharding, op6_mixing, op7_warc, op8_line_dedup, op9_ngram_join, op10_top_k)
+    return {query.__name__: query for query in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.MIXTURE_SQL, "op8_line_dedup": linededup.DIGEST_SQL, "op9_ngram_join": ngramjoin.CLASSES_SQL}
+    return {
+        "op2_embedding_neardup": neardup.DUPLICATES_SQL,
+        "op6_mixing": mixing.MIXTURE_SQL,
+        "op7_warc": warc.READ_BACK_SQL,
+        "op8_line_dedup": linededup.DIGEST_SQL,
+        "op9_ngram_join": ngramjoin.CLASSES_SQL,
+        "op10_top_k": topk.NEAREST_SQL,
+    }
