@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import worker_memory
+
 #: Bytes up to which a run is merged directly, and up to which a run's ids are remembered.
 LEAF, KEPT = 4, 12
 #: Entries a worker's memory of words, runs or neighbour tests holds before the older half goes.
-CACHE = 300_000
+CACHE = 150_000
 #: A space between two other white-space characters: there, words cut at spaces can't be encoded alone.
 _KNOT = re.compile(r"\s \s")
 
@@ -178,16 +180,9 @@ class _Memory(dict):
         return found
 
 
-_codecs: dict[tuple[int, str], BytePairCodec] = {}
-
-
 def codec(data: bytes, pattern: str) -> BytePairCodec:
     """This worker's codec for a rank file."""
-    key = (hash(data), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = BytePairCodec(read_ranks(data), pattern)
-    return _codecs[key]
+    return worker_memory(("bpe", hash(data), pattern), lambda: BytePairCodec(read_ranks(data), pattern))
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

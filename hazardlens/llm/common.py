@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
@@ -28,6 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_memory: dict[object, object] = {}
+
+
+def worker_memory(owner: object, make: Callable[[], T]) -> T:
+    """What ``make`` gave in this Python worker for ``owner``, kept over tasks.
+
+    A worker holds the memory of one owner at a time: when another operator runs in it, what the
+    last one remembered goes, so that a chain of operators needs no more than its largest.
+    """
+    if owner not in _memory:
+        _memory.clear()
+        gc.collect()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bucket, written
+from .common import in_bucket, worker_memory, written
 
 #: Longest piece used, and bytes of a word scored in one go; longer words go on in the next block.
 PIECE, BLOCK = 10, 40
 #: Factor a byte, so that products of piece probabilities stay near one.
 LIFT = 24.0
 #: Scores a worker remembers, by word as it stands in the text.
-CACHE = 250_000
+CACHE = 150_000
 #: Words that count as full evidence: more words don't make a mixed text look more certain.
 ENOUGH = 12
 
@@ -136,9 +136,6 @@ def letter_runs(token: str) -> list[bytes]:
     return [b" " + w.encode() for w in regex.findall(r"\p{L}+", token.lower())]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 class Model:
     """Languages, pieces and their probabilities; bounded by vocabulary times languages."""
 
@@ -147,10 +144,7 @@ class Model:
 
     def scorer(self) -> Scorer:
         """This worker's scorer, kept over all of its tasks."""
-        if self.name not in _scorers:
-            _scorers.clear()
-            _scorers[self.name] = Scorer(self)
-        return _scorers[self.name]
+        return worker_memory(("langid", self.name), lambda: Scorer(self))
 
 
 class Scorer:

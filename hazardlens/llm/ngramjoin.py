@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_enough, written
+from .common import components, small_enough, worker_memory, written
 
 #: Part of the hash space gathered in step 1, in eighths; sets under SMALL shingles give them all.
 EIGHTHS, SMALL = 3, 64
@@ -40,27 +40,24 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_words = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
+def shingles(text: str | None, n: int = 5, known: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams; of all its words if they are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map((_WordHashes() if known is None else known).__getitem__, words), np.uint64, len(words))
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
@@ -85,6 +82,7 @@ def _gather(n: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
+        hashes = worker_memory("shingles", _WordHashes)
         rows: list[tuple] = []
         sets: dict[bytes, int] = {}
         kept: list[np.ndarray] = []
@@ -124,7 +122,7 @@ def _gather(n: int, bits: int):
         for batch in batches:
             ids, versions, texts = batch.column(0), batch.column(1), batch.column(2)
             for i in range(batch.num_rows):
-                h = shingles(texts[i].as_py(), n)
+                h = shingles(texts[i].as_py(), n, hashes)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 k1, k2 = np.frombuffer(digest, np.int64).tolist()
                 part = _window(h)
@@ -286,10 +284,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     found = rows.join(F.broadcast(heads) if small_enough(heads, BROADCAST_ROWS) else heads, ["doc_id", "version"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_memory("shingles", _WordHashes)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n, hashes).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     held = written(found.dropDuplicates(["doc_id", "version"]).select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>"), "shingle-sets")
     size = F.size("shingles").alias("n")

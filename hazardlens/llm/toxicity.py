@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bucket, written
+from .common import in_bucket, worker_memory, written
 
 #: Lexicon strength runs from 0 (not in it) to LEVELS - 1; at most LEXICON entries are used.
 LEVELS, LEXICON = 4, 5_000
@@ -28,7 +28,7 @@ LEVELS, LEXICON = 4, 5_000
 BEGINNINGS = (3, 4, 5, 6)
 #: Tokens on each side of a lexicon word after which the chain has settled to its usual messages.
 AROUND = 24
-CACHE = 250_000
+CACHE = 200_000
 
 
 def units(token: str) -> list[str]:
@@ -138,10 +138,6 @@ class Chain:
         return sorted(out)
 
 
-#: Lexicon strengths this worker remembers, by model and token, over all of its tasks.
-_known: dict[str, dict[str, int]] = {}
-
-
 class Model:
     """Lexicon, chain and document weights; bounded by LEXICON."""
 
@@ -151,9 +147,7 @@ class Model:
 
     def levels(self, texts: list[str | None]) -> list[list[int]]:
         """Lexicon strengths of each text's tokens."""
-        if self.name not in _known:
-            _known.clear()
-        known = _known.setdefault(self.name, {})
+        known: dict[str, int] = worker_memory(("toxicity", self.name), dict)
         split = [(t or "").split() for t in texts]
         new = set().union(*split).difference(known) if split else set()
         if len(known) + len(new) > CACHE:
