@@ -43,9 +43,11 @@ def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold
 
     hits = pairs.withColumn("ratio", ratio("a_t", "t")).where(F.col("ratio") >= threshold)
     first = hits.groupBy("a_t").agg(F.min_by(F.struct("id", "ratio"), F.struct("at", "id")).alias("m"))
-    repeats = rows.join(t.select("t", F.col("id").alias("first_id")), F.col(body) == F.col("t")).join(first, F.col("t") == F.col("a_t"), "left")
-    same = F.col(id_col) != F.col("first_id")
-    return repeats.select(id_col, F.coalesce("m.id", F.when(same, F.col("first_id"))).alias("match_id"), F.coalesce("m.ratio", F.when(same, F.lit(1.0))).alias("ratio")).where("match_id is not null")
+    base = rows.select(F.col(id_col).alias("_row"), F.col(body).alias("_body"))
+    joined = base.join(t.select("t", F.col("id").alias("first_id")), F.col("_body") == F.col("t")).join(first, F.col("t") == F.col("a_t"), "left")
+    same = F.col("_row") != F.col("first_id")
+    out = joined.select(F.col("_row").alias(id_col), F.coalesce("m.id", F.when(same, F.col("first_id"))).alias("match_id"), F.coalesce("m.ratio", F.when(same, F.lit(1.0))).alias("ratio"))
+    return out.where("match_id is not null")
 
 
 def without(rows: DataFrame, repeats: DataFrame, id_col: str) -> DataFrame:
