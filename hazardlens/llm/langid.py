@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import in_bucket, worker_memory, written
 
 #: Longest piece used, and bytes of a word scored in one go; longer words go on in the next block.
-PIECE, BLOCK = 10, 40
+PIECE, BLOCK = 6, 40
 #: Factor a byte, so that products of piece probabilities stay near one.
 LIFT = 24.0
 #: Scores a worker remembers, by word as it stands in the text.
-CACHE = 150_000
+CACHE = 400_000
 #: Words that count as full evidence: more words don't make a mixed text look more certain.
 ENOUGH = 12
 
@@ -133,6 +133,8 @@ def letter_runs(token: str) -> list[bytes]:
     """Lower-case runs of letters in a token, each with the space that starts a word."""
     import regex
 
+    if token.isalpha():
+        return [b" " + token.lower().encode()]
     return [b" " + w.encode() for w in regex.findall(r"\p{L}+", token.lower())]
 
 
@@ -154,7 +156,7 @@ class Scorer:
         self.langs, self.pieces = model.langs, Pieces(model.vocab)
         self.p = lifted(model.prob, np.array([len(v) for v in model.vocab]))
         self.known: dict[str, int] = {}
-        self.values = np.zeros((CACHE * 2, len(self.langs) + 1))
+        self.values = np.zeros((CACHE, len(self.langs) + 1))
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.known]
