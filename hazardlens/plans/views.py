@@ -62,14 +62,14 @@ class Tables:
 
     def word_spans(self) -> tuple[DataFrame, DataFrame]:
         """Gold: words 3 to 5 of a text. Predicted: words 4 to 6 for even ids, else 8 and 9."""
-        word = r"[\p{L}\p{N}_]+"
-        gap = r"[^\p{L}\p{N}_]+"
-        lead = lambda n: rf"^((?:[^\p{{L}}\p{{N}}_]*{word}){{{n}}}{gap})"
-        rows = self.documents.select("doc_id", "text").where(F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}_]*{word}){{9}}"))
+        word = r"[\p{L}\p{N}_]++"
+        gap = r"[^\p{L}\p{N}_]++"
+        lead = lambda n: rf"^((?:[^\p{{L}}\p{{N}}_]*+{word}){{{n}}}{gap})"
+        rows = self.documents.select("doc_id", "text").where(F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{9}}"))
 
         def span(first: int, n: int):
             start = F.length(F.regexp_extract("text", lead(first - 1), 1))
-            body = F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}_]*{word}){{{first - 1}}}{gap}({word}(?:{gap}{word}){{{n - 1}}})", 1)
+            body = F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{{first - 1}}}{gap}({word}(?:{gap}{word}){{{n - 1}}})", 1)
             return start, start + F.length(body)
 
         def frame(s, e, rows=rows):
