@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ WORD = r"[\p{L}\p{N}_]"
 BEGIN, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def quoted(patterns: Iterable[str]) -> str:
     return "|".join("\\Q" + p + "\\E" for p in patterns)
 
@@ -78,19 +83,21 @@ def cleaned(raw: Column, lexicon: Mapping[str, str], protected: Iterable[str] =
     Blank or null gives an empty English text with confidence 1. Devanagari stays as it is, with
     confidence 0. Confidence is the share of words accounted for; under 0.5 the raw text stays.
     """
-    c = lexicon_counts(expand_acronyms(raw), lexicon, protected)
-    total = c["mapped"] + c["unaccounted"]
-    confidence = F.when(total == 0, 1.0).otherwise(F.bround(c["mapped"] / total, 3))
-    mixed = c["mapped"] > 0
-    poor = mixed & (confidence < fixed.CONFIDENCE_FLOOR)
 
     def row(text, language, sure, degraded, notes):
         return F.struct(text.alias("cleaned_text"), language.alias("language_detected"), sure.cast("double").alias("normalization_confidence"), degraded.alias("degraded"), notes.alias("notes"))
 
+    def judged(c: Column) -> Column:
+        total = c["mapped"] + c["unaccounted"]
+        confidence = F.when(total == 0, 1.0).otherwise(F.bround(c["mapped"] / total, 3))
+        mixed = c["mapped"] > 0
+        poor = mixed & (confidence < fixed.CONFIDENCE_FLOOR)
+        return row(F.when(poor, raw).otherwise(c["text"]), F.when(mixed, "hi-en").otherwise("en"), F.when(mixed, confidence).otherwise(1.0), poor, F.when(poor, "too few words known").otherwise(""))
+
     return (
         F.when(raw.isNull() | (F.trim(F.regexp_replace(raw, "\\s", " ")) == ""), row(F.lit(""), F.lit("en"), F.lit(1.0), F.lit(False), F.lit("empty")))
         .when(has_devanagari(raw), row(raw, F.lit("hi"), F.lit(0.0), F.lit(True), F.lit("devanagari left as written")))
-        .otherwise(row(F.when(poor, raw).otherwise(c["text"]), F.when(mixed, "hi-en").otherwise("en"), F.when(mixed, confidence).otherwise(1.0), poor, F.when(poor, "too few words known").otherwise("")))
+        .otherwise(bound(expand_acronyms(raw), lambda t: bound(lexicon_counts(t, lexicon, protected), judged)))
     )
 
 
