@@ -73,6 +73,49 @@ def macro_f1(table: DataFrame, min_support: int = 1) -> DataFrame:
     return c.withColumn("micro_f1", stats.zero_safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).drop("tp", "fp", "fn")
 
 
+def tag_thresholds(scores: DataFrame, steps: int = 19, step: float = 0.05) -> DataFrame:
+    """Macro F1 over rules with support at each threshold of ``scores(rule_name, truth, p)``."""
+    grid = scores.sparkSession.createDataFrame([(i, step * i) for i in range(1, steps + 1)], "place int, threshold double")
+    said = F.col("p") >= F.col("threshold")
+    c = scores.join(F.broadcast(grid)).groupBy("place", "threshold", "rule_name").agg(F.count_if("truth").alias("support"), F.count_if(F.col("truth") & said).alias("tp"), F.count_if(~F.col("truth") & said).alias("fp"), F.count_if(F.col("truth") & ~said).alias("fn"))
+    per = c.withColumns(f1(F.col("tp"), F.col("fp"), F.col("fn")))
+    return per.groupBy("place", "threshold").agg(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
+
+
+def best_tag_threshold(table: DataFrame) -> DataFrame:
+    """The first threshold of greatest macro F1."""
+    return table.orderBy(F.desc("macro_f1"), "place").limit(1)
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The threshold of greatest accuracy, then of most published; one that publishes nothing comes last."""
+    return sweep.orderBy(F.desc_nulls_last("auto_accuracy"), F.desc("auto_published"), "threshold").limit(1)
+
+
+def empty_lists(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """Of the rows without a true tag, those to which none was given."""
+    none = F.size(truth) == 0
+    return rows.agg(F.count_if(none).alias("no_rule"), F.count_if(none & (F.size(predicted) == 0)).alias("left_empty"))
+
+
+def usability(metrics: DataFrame, target_loss: float = 0.30, least: float = 0.05) -> DataFrame:
+    """A verdict on ``metrics(train_loss, separation)``: weights are usable if the fit converged and the classes part."""
+    converged, parted = F.col("train_loss") <= target_loss, F.abs("separation") >= least
+    reasons = F.concat_ws("; ", F.when(~F.coalesce(converged, F.lit(False)), "loss over its target"), F.when(~F.coalesce(parted, F.lit(False)), "classes not separated"))
+    return metrics.withColumn("usable", F.coalesce(converged & parted, F.lit(False))).withColumn("reasons", reasons)
+
+
+def constant_check(scored: DataFrame, prediction: str) -> DataFrame:
+    """Whether a scorer says more than one thing."""
+    return scored.agg(F.count_distinct(prediction).alias("predictions")).withColumn("constant", F.col("predictions") < 2)
+
+
+def confidence_range(scored: DataFrame, confidence: str = "confidence", threshold: float = fixed.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """Least, mean and greatest confidence, and the verdicts that go to review."""
+    c = F.col(confidence)
+    return scored.agg(F.min(c).alias("least"), F.avg(c).alias("mean"), F.max(c).alias("greatest"), F.count_if(c < threshold).alias("below"), F.count("*").alias("n"))
+
+
 def span_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Exact and overlap precision, recall and F1 by type over ``(report_id, entity_type, span_start, span_end)``."""
     p = predicted.select("report_id", "entity_type", F.col("span_start").alias("ps"), F.col("span_end").alias("pe"))

@@ -1 +1,5 @@
 """Package folder."""
+
+from . import audits, registry
+
+__all__ = ["audits", "registry"]

@@ -46,6 +46,23 @@ _TAGS = "tagged as (select doc_id report_id, rule_name, ordinal from documents,
 _SCORES = "scores as (select doc_id, toxic = 1 truth, (((doc_id * 37) % 200) - 100) / 25.0::double margin, 1 / (1 + exp(-((((doc_id * 37) % 200) - 100) / 25.0::double))) p from labels), s2 as (select *, greatest(p, 1 - p) confidence, (p >= 0.5) = truth correct from scores)"
 
 
+_W, _G = r"[\pL\pN_]+", r"[^\pL\pN_]+"
+
+
+def _sql_span(name: str, first: int, n: int) -> str:
+    """SQL of the place ``name_s, name_e`` of ``n`` words from word ``first`` on, as the views find it."""
+    lead = rf"^([^\pL\pN_]*{_W}" + (rf"(?:{_G}{_W}){{{first - 2}}}" if first > 2 else "") + rf"{_G})"
+    body = lead[:-1] + rf")({_W}(?:{_G}{_W}){{{n - 1}}})"
+    return f"length(regexp_extract(text, '{lead}', 1)) {name}_s, length(regexp_extract(text, '{lead}', 1)) + length(regexp_extract(text, '{body}', 2)) {name}_e"
+
+
+_SPANS = f"w as (select doc_id, text, {_sql_span('g', 3, 3)}, {_sql_span('v', 4, 3)}, {_sql_span('o', 8, 2)} from documents where regexp_matches(text, '^[^\\pL\\pN_]*{_W}(?:{_G}{_W}){{8}}')), sp as (select doc_id, text, g_s, g_e, case when doc_id % 2 = 0 then v_s else o_s end p_s, case when doc_id % 2 = 0 then v_e else o_e end p_e from w)"
+
+
+def _sql_f1(k: str) -> str:
+    return f"case when predicted > 0 then {k}::double / predicted else 0.0 end {k}_precision, case when gold > 0 then {k}::double / gold else 0.0 end {k}_recall, case when {k} > 0 then 2 * ({k}::double / predicted) * ({k}::double / gold) / ({k}::double / predicted + {k}::double / gold) else 0.0 end {k}_f1"
+
+
 def _norm(c: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -262,7 +279,7 @@ def _listed(t: Tables) -> DataFrame:
     return rows.groupBy("report_id", "text").agg(F.collect_list(F.struct("entity_type", "entity_text", "span_start", "span_end")).alias("spans"))
 
 
-@query()
+@query(f"with {_SPANS}, x as (select *, p_s < g_e and g_s < p_e crossing, p_e - p_s > g_e - g_s or (p_e - p_s = g_e - g_s and p_s < g_s) later_wins from sp), k as (select doc_id, text, 'location' entity_type, g_s s, g_e e from x where not (crossing and later_wins) union all select doc_id, text, 'activity', p_s, p_e from x where not crossing or later_wins) select doc_id report_id, entity_type, substr(text, s + 1, e - s) entity_text, s::int span_start, e::int span_end from k")
 def span_resolve(t: Tables) -> DataFrame:
     return _listed(t).select("report_id", F.explode(spans.resolved(F.col("spans"))).alias("s")).select("report_id", "s.*")
 
@@ -278,12 +295,12 @@ def span_violations(t: Tables) -> DataFrame:
     return rows.where(F.size("broken") > 0).select("report_id", "broken")
 
 
-@query()
+@query(f"with {_SPANS}, c as (select count(*) gold, count(*) predicted, count(*) filter (g_s = p_s and g_e = p_e) exact, count(*) filter (p_s < g_e and g_s < p_e) as overlap from sp) select 'activity' entity_type, *, {_sql_f1('exact')}, {_sql_f1('overlap')} from c where gold > 0")
 def span_scores(t: Tables) -> DataFrame:
     return evaluate.span_scores(*t.word_spans())
 
 
-@query()
+@query(f"with {_SPANS} select 'activity' a, 'location' b, count(distinct doc_id) reports, count(*) pairs from sp where p_s < g_e and g_s < p_e having count(*) > 0")
 def overlap_pairs(t: Tables) -> DataFrame:
     return evaluate.overlap_pairs(_all_spans(t))
 
@@ -325,12 +342,12 @@ def calibration_bins(t: Tables) -> DataFrame:
     return s.groupBy((F.ceil((F.col("confidence") - 0.5) * 20) - 1).alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("hits"))
 
 
-@query()
+@query(f"with {_SCORES}, b as (select ceil((confidence - 0.5) * 20) b, count(*) n, avg(correct::int) a, avg(confidence) c from s2 group by 1) select coalesce(sum(n * abs(a - c)) filter (b > 0) / sum(n), 0.0) ece from b")
 def ece(t: Tables) -> DataFrame:
     return evaluate.calibration_error(t.scores())
 
 
-@query()
+@query(f"with {_SCORES}, g as (select i::int place, 0.05::double * pow(200.0::double, i / 160.0::double) temperature from (select unnest(range(0, 161)) i)), l as (select place, temperature, avg(ln(1 + exp(-(case when truth then margin else -margin end) / temperature))) loss from scores, g group by 1, 2) select place, temperature, loss, place in (0, 160) at_edge from l order by loss, place limit 1")
 def temperature_grid(t: Tables) -> DataFrame:
     grid = evaluate.temperatures()
     return evaluate.best_temperature(evaluate.temperature_losses(t.scores(), grid), len(grid))
@@ -355,7 +372,7 @@ def per_rule(t: Tables) -> DataFrame:
     return evaluate.per_rule(_decisions(t))
 
 
-@query()
+@query(f"with {_PER_RULE} select coalesce(avg(f1) filter (support >= 3), 0.0) macro_f1, count(*) filter (support >= 3) covered, case when sum(2 * tp + fp + fn) > 0 then 2.0::double * sum(tp) / sum(2 * tp + fp + fn) else 0.0 end micro_f1 from f")
 def macro_f1(t: Tables) -> DataFrame:
     return evaluate.macro_f1(evaluate.per_rule(_decisions(t)), 3)
 
