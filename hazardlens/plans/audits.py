@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import audits, cleaning, evaluate, labels, reads, scoring, spelling
+from ..session import shared_folder
+from ..streaming import ingest
 from .registry import _REPORTS, _RULES, _SCORES, _SITES, _TAGS, _VERDICTS, query
 from .views import Tables
 
@@ -260,3 +262,31 @@ def rule_tags(t: Tables) -> DataFrame:
     tagged = _tagged_documents(t).join(t.labels.select(F.col("doc_id").alias("report_id")).distinct(), "report_id", "left_semi").select(F.col("report_id").alias("doc_id"), "tags")
     models = scoring.fit_rules(docs.join(tagged, "doc_id").select("text", "tags"))
     return scoring.score_rules(models, docs, 0.5).select("doc_id", F.array_join(F.transform("tags", lambda x: x["rule_name"]), ",").alias("rules"))
+
+
+# -- streams ------------------------------------------------------------------------------------
+
+
+def _arriving(t: Tables, name: str) -> DataFrame:
+    """A table as a stream; the pattern lets it be one file or a folder."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.dir}/{name}.parque[t]")
+
+
+@query("select toxic group_name, count(*) total, cast(sum(quality) as bigint) positives from labels group by 1")
+def stream_density(t: Tables) -> DataFrame:
+    """Labels as a stream: each batch stores its counts, and reading sums them."""
+    root = shared_folder(t.spark)
+    arriving = _arriving(t, "labels").select("toxic", (F.col("quality") == 1).alias("sif_potential"))
+    ingest.start_density(arriving, "toxic", f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    return ingest.density(t.spark.read.schema("toxic int, total long, positives long").option("recursiveFileLookup", True).parquet(f"{root}/counts"), "toxic")
+
+
+@query("select coalesce(source, '') site_id, count(distinct text) first_texts from documents where text is not null group by 1")
+def stream_resubmissions(t: Tables) -> DataFrame:
+    """Documents as a stream of reports of one day: the first of equal texts of a source goes on."""
+    root = shared_folder(t.spark)
+    arriving = _arriving(t, "documents").where("text is not null")
+    reports = arriving.select(F.coalesce("source", F.lit("")).alias("site_id"), F.col("text").alias("raw_text"), F.lit("2024-01-01").cast("timestamp").alias("submitted_at"))
+    first = ingest.without_resubmissions(reports).select("site_id", "text_hash")
+    first.writeStream.format("parquet").option("path", f"{root}/first").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("site_id string, text_hash string").parquet(f"{root}/first").groupBy("site_id").agg(F.count("*").alias("first_texts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,12 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder that driver and executors share; a folder of our own only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     return (
