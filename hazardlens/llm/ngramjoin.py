@@ -3,6 +3,7 @@
 1. Which documents can link at all? A link needs a share of a document's shingles to stand in
    another one. Shingles of a fixed part of the hash space are gathered, packed, by bucket; each
    document gets a count of its shingles that some other set holds, and goes on only if enough.
+   Small sets give all their shingles, but are tested on all only if no partner gives just the part.
 2. Documents with the same set become one. Of those left, shingles that at least two share are
    ordered from rare to frequent; a link must show within the rare end (prefix), so documents that
    meet there fall into clusters, by distributed components.
@@ -70,11 +71,17 @@ def _least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _window(h: np.ndarray) -> np.ndarray:
-    return h if len(h) < SMALL else h[: np.searchsorted(h, np.uint64(EIGHTHS << 61))]
+def _common(h: np.ndarray) -> np.ndarray:
+    """Hashes in the part of the hash space that sets of every size give."""
+    return h[: np.searchsorted(h, np.uint64(EIGHTHS << 61))]
 
 
-def _gather(n: int, bits: int):
+def _tested_whole(n, percent: int):
+    """Whether all partners of a set of ``n`` give all their hashes: they have under SMALL."""
+    return n * 100 < percent * SMALL
+
+
+def _gather(n: int, bits: int, percent: int):
     """Rows of documents (kind 0) and of packed postings by bucket (kind 1)."""
     import xxhash
 
@@ -125,13 +132,14 @@ def _gather(n: int, bits: int):
                 h = shingles(texts[i].as_py(), n, hashes)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 k1, k2 = np.frombuffer(digest, np.int64).tolist()
-                part = _window(h)
+                common = _common(h)
+                part = h if len(h) < SMALL else common
                 place = sets.get(digest)
                 if place is None:
                     place = sets[digest] = len(kept)
                     kept.append(part)
                     total += len(part)
-                rows.append((place, ids[i].as_py(), versions[i].as_py(), len(h), len(part), k1, k2))
+                rows.append((place, ids[i].as_py(), versions[i].as_py(), len(h), len(h) if _tested_whole(len(h), percent) else len(common), k1, k2))
                 if total >= FLUSH or len(rows) >= FLUSH_DOCS:
                     yield from flush()
         yield from flush()
@@ -141,6 +149,7 @@ def _gather(n: int, bits: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: how many of each owner's postings stand in another owner's set too."""
+    bucket = table.column("bucket")[0].as_py()
     raw = table.column("hashes").to_pylist()
     h5 = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
     h = np.zeros((len(h5), 8), np.uint8)
@@ -156,7 +165,7 @@ def _shared(table: pa.Table) -> pa.Table:
     held = same.copy()
     held[:-1] |= same[1:]
     keys, n = np.unique(key[held], return_counts=True)
-    return pa.table({"flush": pa.array(flushes[keys >> 16], pa.int64()), "place": pa.array((keys & 0xFFFF).astype(np.int32)), "shared": pa.array(n.astype(np.int64))})
+    return pa.table({"bucket": pa.array([bucket] * len(keys), pa.int64()), "flush": pa.array(flushes[keys >> 16], pa.int64()), "place": pa.array((keys & 0xFFFF).astype(np.int32)), "shared": pa.array(n.astype(np.int64))})
 
 
 class _Groups:
@@ -273,13 +282,15 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     bits = max(8, min(15, int(log2(max(rows.count(), 1) / 2_000 + 1)) + 1))
     gathered = written(
-        rows.mapInArrow(_gather(n, bits), "kind int, flush long, place int, doc_id long, version long, n int, window int, k1 long, k2 long, bucket long, hashes binary, owners binary"),
+        rows.mapInArrow(_gather(n, bits, percent), "kind int, flush long, place int, doc_id long, version long, n int, window int, k1 long, k2 long, bucket long, hashes binary, owners binary"),
         "shingle-postings",
     )
     known = gathered.where("kind = 0")
-    counts = gathered.where("kind = 1").select("bucket", "flush", "hashes", "owners").groupBy("bucket").applyInArrow(_shared, "flush long, place int, shared long").groupBy("flush", "place").agg(F.sum("shared").alias("shared"))
+    counts = gathered.where("kind = 1").select("bucket", "flush", "hashes", "owners").groupBy("bucket").applyInArrow(_shared, "bucket long, flush long, place int, shared long")
+    in_common = F.when(F.col("bucket") < EIGHTHS << (bits - 3), F.col("shared"))
+    counts = counts.groupBy("flush", "place").agg(F.sum("shared").alias("shared"), F.sum(in_common).alias("in_common"))
     can_miss = F.col("n") - _floor_div(F.col("n") * percent + 99, 100)
-    possible = known.where("n > 0 and doc_id is not null").join(counts, ["flush", "place"], "left").where(F.coalesce("shared", F.lit(0)) >= F.greatest(F.col("window") - can_miss, F.lit(0)))
+    possible = known.where("n > 0 and doc_id is not null").join(counts, ["flush", "place"], "left").where(F.coalesce(F.when(_tested_whole(F.col("n"), percent), F.col("shared")).otherwise(F.col("in_common")), F.lit(0)) >= F.greatest(F.col("window") - can_miss, F.lit(0)))
     heads = written(possible.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version")).alias("d")).select("d.doc_id", "d.version").distinct(), "shingle-heads")
     found = rows.join(F.broadcast(heads) if small_enough(heads, BROADCAST_ROWS) else heads, ["doc_id", "version"])
 

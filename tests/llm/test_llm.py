@@ -407,6 +407,18 @@ def test_ngram_join(spark, none, monkeypatch):
     assert ngramjoin.classes(none).count() == 0
 
 
+def test_ngram_join_links_copies_on_both_sides_of_the_small_size(spark):
+    rows, n = [], 0
+    for size in range(ngramjoin.SMALL - 14, ngramjoin.SMALL + 1):
+        for more in (1, 4, 9, 14):
+            base = [f"p{n}w{k}" for k in range(size + 4)]
+            copy = base + [f"p{n}new{k}" for k in range(more)]
+            rows += [(n, " ".join(base), "en", "a"), (n + 1, " ".join(copy), "en", "a")]
+            n += 2
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.classes(docs_frame(spark, rows)).collect()]
+    assert sorted(got) == brute_classes([(i, t) for i, t, _, _ in rows])
+
+
 def test_divide_skip_connects_what_brute_force_connects():
     rng = np.random.default_rng(7)
     for _ in range(30):
