@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -193,8 +194,9 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, sides: np.ndarray | N
 
     Every set is a query against the inverted lists of all: its longest lists are put aside, the
     others merged; whoever stands in enough of these is looked up in the long ones by binary
-    search. Sets of the largest group found so far need no query: a pair that would join two
-    groups has an end outside it. With ``sides``, only pairs across the two sides are wanted.
+    search. Sets of the largest group found so far are put off; in the end, those of one group need
+    no query, as a pair that would join two groups has an end outside it, and the others are queried
+    after all. With ``sides``, only pairs across the two sides are wanted.
     """
     n, links, groups = len(sets), [], _Groups(len(sets))
     if n < 2:
@@ -208,15 +210,13 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, sides: np.ndarray | N
     places = [np.searchsorted(values, s) for s in sets]
     sizes = np.array([len(s) for s in sets])
     weight = np.array([lengths[p].sum() for p in places])
-    largest = 0
-    for x in np.argsort(-weight, kind="stable").tolist():
-        if groups.size[groups.find(largest)] > 1 and groups.find(x) == groups.find(largest):
-            continue
+
+    def query(x: int) -> None:
         p = places[x]
         p = p[lengths[p] > 1]
         need = int(_least_overlap(sizes[x], percent))
         if len(p) < need:
-            continue
+            return
         p = p[np.argsort(lengths[p], kind="stable")]
         long = min(need - 1, int(need / (0.0085 * log2(lengths[p[-1]]) + 1)))
         short, long_ = p[: len(p) - long], p[len(p) - long :]
@@ -235,8 +235,21 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, sides: np.ndarray | N
                 links.append((x, y))
                 groups.join(x, y)
                 root = groups.find(x)
-        if groups.size[root] > groups.size[groups.find(largest)]:
-            largest = root
+
+    largest, put_off = 0, []
+    for x in np.argsort(-weight, kind="stable").tolist():
+        if groups.size[groups.find(largest)] > 1 and groups.find(x) == groups.find(largest):
+            put_off.append(x)
+            continue
+        query(x)
+        if groups.size[groups.find(x)] > groups.size[groups.find(largest)]:
+            largest = x
+    # one group for all that stay without a query: the one that holds most of them
+    held = Counter(map(groups.find, put_off))
+    spared = max(held, key=held.get, default=0)
+    for x in put_off:
+        if groups.find(x) != groups.find(spared):
+            query(x)
     return links
 
 

@@ -437,6 +437,17 @@ def test_divide_skip_connects_what_brute_force_connects():
         assert classes(ngramjoin.divide_skip(sets)) == classes(every)
 
 
+def test_divide_skip_queries_again_when_another_group_becomes_the_largest():
+    x, a_new, b_new, c_new = np.split(np.arange(160, dtype=np.uint64), [100, 124, 142])
+    y = x[:82]
+    sets = [np.sort(np.concatenate(s)) for s in ((x, a_new), (x,), (y,), (y, b_new), (y, c_new))]
+    up = list(range(5))
+    for _ in up:
+        for i, j in ngramjoin.divide_skip(sets):
+            up[i] = up[j] = min(up[i], up[j])
+    assert up == [0] * 5
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3), (4, None), (7, 7)]
