@@ -49,7 +49,8 @@ def _marks(min_docs: int):
             order = seen - seen[start][run]  # 0 for the largest document of the key
             docs = np.add.reduceat(new.astype(np.int64), start) if n else start
             edge = np.zeros(len(start), bool)
-            edge[:1], edge[-1:] = first_open, edge[-1:] | last_open
+            edge[:1] |= first_open
+            edge[-1:] |= last_open  # the same key where there is but one
             pending = edge[run]
             out = pending | ((order >= 1) & (docs[run] >= min_docs))
             return pa.RecordBatch.from_arrays(

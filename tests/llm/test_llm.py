@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -360,6 +361,32 @@ def test_line_dedup(spark, odd, none, partitions):
     assert linededup.digests(none).count() == 0
 
 
+def test_line_dedup_of_a_key_that_goes_on_in_a_partition_with_one_other(spark):
+    rows = [(i, f"the first line of many documents\nthe second line of many documents\nown {i}", "en", "a") for i in range(200)]
+    # more partitions than keys: one of them ends the first key and begins the second
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions in (3, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.digests(docs_frame(spark, rows)).collect()]
+            assert sorted(got) == brute_lines([(i, t) for i, t, _, _ in rows])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_line_marks_leave_a_continued_key_open():
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["h1", "h2", "doc_id", "version", "pos"])
+
+    # key 1 goes on from another partition; key 2 follows alone, then in the same batch key 3 as well
+    for others in ([2], [2, 3]):
+        marks = linededup._marks(3)(iter([batch((1, 1, 9, 0, 0), (1, 1, 8, 0, 0), (1, 1, 7, 0, 0), *[(k, k, 5, 0, 0) for k in others])]))
+        pending = [(r["h1"], r["doc_id"]) for b in marks for r in b.to_pylist() if r["pending"]]
+        assert pending == [(1, 9), (1, 8), (1, 7), (others[-1], 5)]
+
+
 # -- 9 ------------------------------------------------------------------------------------------
 
 
