@@ -26,8 +26,10 @@ from .common import worker_memory
 LEAF, KEPT = 4, 12
 #: Entries a worker's memory of words, runs or neighbour tests holds before the older half goes.
 CACHE = 150_000
-#: A space between two other white-space characters: there, words cut at spaces can't be encoded alone.
-_KNOT = re.compile(r"\s \s")
+#: A space between two characters that aren't white space; the usual text has no other spaces.
+_SINGLE, _OTHER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|\A |\s\Z")
+#: Patterns of which no match spans the place before such a space.
+CUT_AT_SPACES = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,6 +46,7 @@ class BytePairCodec:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.matches = regex.compile(pattern).findall
+        self.spaced = pattern in CUT_AT_SPACES
         self.pairs = _Memory(lambda ab: self.merged(self.token[ab[0]] + self.token[ab[1]]))
         self.runs = _Memory(self.split)
         self.first = _Memory(lambda w: self.word(w, self.first))
@@ -136,7 +139,7 @@ class BytePairCodec:
 
     def word(self, text: str, memory: dict[str, bytes]) -> bytes:
         """Packed ids of a word with or without a space before it; ``memory`` holds words of its kind."""
-        bare = text.lstrip(" ")
+        bare = text[1:] if memory is self.later else text
         if bare.isalpha():
             ids = self.match(text.encode())
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -147,14 +150,15 @@ class BytePairCodec:
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text; null gives none.
 
-        No match spans the place before a space that has another kind of character on at least one
-        side, so the text falls apart there into words that can be encoded alone and remembered.
+        Under the patterns of CUT_AT_SPACES, no match spans the place before a single space between
+        two characters that aren't white space, so the text falls apart there into words that can be
+        encoded alone and remembered. Under other patterns all matches are encoded one by one.
         """
         if not text:
             return b""
-        if _KNOT.search(text):
+        if not self.spaced:
             return self.packed(text)
-        first, *rest = text.split(" ")
+        first, *rest = _SINGLE.split(text) if _OTHER.search(text) else text.split(" ")
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
     def decode(self, packed: bytes) -> bytes:

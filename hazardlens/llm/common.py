@@ -5,32 +5,77 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
+#: A node with more links than this is a hub: its links are dealt over so many parts in joins.
+HUB, HUB_PARTS = 500_000, 64
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets one of its own; on a cluster a folder of one machine
+    would lose rows without a word, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_passing: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    if _passing:
+        _passing[-1].append(out)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing reads any more; others are left alone."""
+    path = _paths.pop(df, None)
+    if path is not None:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing(keep: Callable[[], DataFrame | None]) -> Iterator[None]:
+    """Tables written inside go at the end, but for the one that ``keep`` gives then."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        kept = keep()
+        for df in _passing.pop():
+            if df is not kept:
+                discard(df)
+
+
+def private(*names: str) -> list[str]:
+    """Column names that no given table has."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"_{name}_{mark}" for name in names]
 
 
 _memory: dict[object, object] = {}
@@ -58,6 +103,11 @@ def in_bucket(id_col: str, modulus: int, remainder: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(True))
 
 
+def hashed_share(hashed: F.Column, most: int, of: int) -> F.Column:
+    """Whether a 64-bit hash falls into the share ``most / of`` of all hashes; never none of them."""
+    return F.lit(True) if of <= most else hashed < F.lit(max(1, (most << 64) // of) - 2**63)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows, looking at no more than that many."""
     return df.limit(most_rows + 1).count() <= most_rows
@@ -68,18 +118,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: in every round each node hands its neighbours to
     its smallest neighbour, so the number of rounds is logarithmic in practice and no node's
-    neighbour list is ever held in memory; minima are pre-aggregated before each shuffle. Each
-    round is written to the shared folder, so a lost executor costs one round at most.
-    Null ends and self-links are ignored; no edges give no rows.
+    neighbour list is ever held in memory; minima are pre-aggregated before each shuffle, and the
+    links of a hub are dealt over HUB_PARTS parts. Each round is written to the shared folder, so a
+    lost executor costs one round at most, and the round before it is deleted then. Null ends and
+    self-links are ignored; no edges give no rows.
     """
-    pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    current = written(pairs, "edges")
-    before = None
+    # every link from its larger end to its smaller one
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current, before = written(pairs, "edges"), None
     while True:
-        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: every larger neighbour is linked to the smallest of the neighbourhood
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        per = current.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        # hubs are at most a HUB-th of all links
+        state = per.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.collect_list(F.when(F.col("n") > HUB, F.col("b"))).alias("hubs")).first()
+        if before is not None and (state.n, state.h) == before:
+            break
+        before = state.n, state.h
+        # large star: larger neighbours are linked to the smallest of the neighbourhood
+        least = current.groupBy("a").agg(F.min("b").alias("m"))
+        large = _with_least(current.select(F.col("b").alias("a"), F.col("a").alias("b")), least, state.hubs).select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
         # small star: each node's smaller neighbours and itself go to the smallest of them
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -89,10 +145,19 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = written(small, "edges")
-        sums = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if sums == before:
-            break
-        before = sums
+        after = written(small, "edges")
+        discard(current)
+        current = after
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _with_least(pairs: DataFrame, least: DataFrame, hubs: list) -> DataFrame:
+    """``pairs(a, b)`` with ``m`` of ``a`` where there is one; links of hubs are dealt over parts."""
+    if not hubs:
+        return pairs.join(least, "a", "left")
+    names = pairs.sparkSession.createDataFrame([(h, True) for h in hubs], f"a {pairs.schema['a'].dataType.simpleString()}, hub boolean")
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS))).otherwise(F.lit(0).cast("long")).alias("part")
+    parts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("part")
+    dealt = pairs.join(F.broadcast(names), "a", "left").select("a", "b", part)
+    return dealt.join(least.join(F.broadcast(names), "a", "left").select("a", "m", parts), ["a", "part"], "left").select("a", "b", "m")

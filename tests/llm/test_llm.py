@@ -1,10 +1,14 @@
 """Each operator against a brute-force version, and on nulls, ties, repeats, empty and clashing input."""
 
+import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from hazardlens.llm import bpe, langid, linededup, mixing, neardup, ngramjoin, sharding, topk, toxicity, warc
-from hazardlens.llm.common import components
+from hazardlens.llm.common import components, hashed_share
 from hazardlens.llm.queries import pattern, rank_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, keep string, size long, shard int, h long, version long"
@@ -67,6 +71,20 @@ def test_bpe_agrees_with_the_library():
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_with_tokens_of_white_space_and_other_patterns():
+    ranks = dict(bpe.codec(open(rank_path(), "rb").read(), pattern()).ranks)
+    for more in (b"  ", b"   ", b"\n ", b" \n", b"\t ", b"\xe3\x80\x80 "):
+        ranks.setdefault(more, len(ranks))
+    rng = random.Random(12)
+    alphabet = ["a", "bc", " ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "\x85", "1", ".", "'s"]
+    texts = ["a  ", "  ", "  a", "a   b", "foo ", "foo\n ", " a", " ", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(20))) for _ in range(3000))]
+    for pat in (pattern(), r"\s*\S+\s*|\s+", r"\p{N}{1,3}|[^\r\n\p{L}\p{N}]?\p{L}+|\s+|[^\s\p{L}\p{N}]+"):
+        codec, library = bpe.BytePairCodec(ranks, pat), tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+        for text in texts:
+            ids = codec.encode(text)
+            assert ids == struct.pack(f"<{len(ids) // 4}I", *library.encode_ordinary(text)), (pat, text)
+
+
 def test_bpe_join_of_any_cut():
     codec = bpe.codec(open(rank_path(), "rb").read(), pattern())
     rng = random.Random(2)
@@ -164,17 +182,76 @@ def test_toxicity(spark):
     assert got[600].score == got[601].score < 0.3
 
 
-def test_chain_marginals_equal_the_full_forward_backward():
+def test_chain_marginals_equal_brute_force_and_the_step_by_step_pass():
     rng = np.random.default_rng(1)
+    for step in ([[0.8, -0.5], [-0.4, 0.6]], [[3.0, -4.0], [-5.0, 4.0]], [[-2.0, 2.0], [1.0, -3.0]], [[0.0, 0.0], [0.0, 0.0]]):
+        chain = toxicity.Chain()
+        chain.step = np.array(step)
+        sizes = np.array([0, 1, 31, 32, 33, 0, 400, 64, 5000, 2])
+        score = rng.normal(-1, 3, sizes.sum())
+        got, at = chain.marginals(score, sizes), 0
+        for n in sizes:
+            if n:
+                full, _ = chain.window_marginals(score[None, at : at + n], np.ones((1, n), bool))
+                assert np.allclose(full[0], got[at : at + n], atol=1e-12)
+                at += n
+        # all states of a short text
+        few, weight = score[:7], np.zeros((7, 2))
+        for states in product((0, 1), repeat=7):
+            w = np.exp(sum(few[i] for i, s in enumerate(states) if s) + sum(chain.step[a, b] for a, b in pairwise(states)))
+            weight[np.arange(7), states] += w
+        assert np.allclose(chain.marginals(few, np.array([7])), weight[:, 1] / weight.sum(1))
+
+
+def test_chain_fit_finds_its_own_maximum():
+    """The gradient of the fit is that of the likelihood, by small steps."""
+    rng = np.random.default_rng(2)
+    feats = rng.integers(0, 8, (12, toxicity.FEATURES))
+    tokens, toxic = rng.integers(0, 12, (40, toxicity.WINDOW)), rng.integers(0, 2, (40, toxicity.WINDOW))
+    tokens[3, 40:] = -1
+
+    def likelihood(chain):
+        total = 0.0
+        for row, states in zip(tokens, toxic, strict=True):
+            row = row[row >= 0]
+            value = chain.values(feats)[row]
+            score = value[:, 0].copy()
+            score[1:] += value[:-1, 1]
+            score[:-1] += value[1:, 2]
+            y = states[: len(row)]
+            f = np.array([0.0, score[0]])
+            for s in score[1:]:
+                f = np.logaddexp(f[0] + chain.step[0], f[1] + chain.step[1]) + [0.0, s]
+            total += score @ y + sum(chain.step[a, b] for a, b in pairwise(y)) - np.logaddexp(*f)
+        return total / len(tokens) - 5e-3 * (chain.weights[:, toxicity.LEVELS :] ** 2).sum() - 5e-4 * ((chain.weights[:, : toxicity.LEVELS] ** 2).sum() + (chain.step**2).sum())
+
     chain = toxicity.Chain()
-    chain.own, chain.before, chain.after = np.array([-3, 1.0, 2, 3]), np.array([0, 0.5, 1, 1]), np.array([0, 0.3, 0, 1])
-    chain.step = np.array([[0.8, -0.5], [-0.4, 0.6]])
-    chain.settled_ = chain.settled()
-    levels = np.zeros(400, int)
-    levels[[0, 3, 60, 61, 200, 399]] = rng.integers(1, 4, 6)
-    full, _ = chain._marginals(chain.emission(levels[None]))
-    for i, p in chain.marginals(levels.tolist(), np.flatnonzero(levels).tolist()):
-        assert abs(p - full[0, i]) < 1e-6
+    before = likelihood(chain)
+    chain.fit(tokens, feats, toxic, rounds=400, rate=0.05)
+    best = likelihood(chain)
+    assert best > before
+    for place in (1, 5):
+        for d in (0.05, -0.05):
+            chain.weights[0, place] += d
+            assert likelihood(chain) < best + 1e-3
+            chain.weights[0, place] -= d
+
+
+def test_toxicity_of_long_texts_repeats_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    rng = random.Random(10)
+    long = words(rng, 40_000, 3000).split()
+    long[20_000] = "blorg"
+    more = docs_frame(spark, [(2_000, " ".join(long), None, None), (2_001, "blorg", None, None), (2_002, "blorg", None, None), (2_001, "blorg", None, None), (2_003, "x" * 300_000, None, None)])
+    frame = docs.union(more).selectExpr("*", "1 as score", "'y' as spans", "2 as held_out", "3 as toxic", "4 as signature", "5 as _id")
+    got = toxicity.tag(frame, labels.withColumn("text", F.lit("z"))).where("doc_id >= 2000").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.score, r.predicted))
+    assert len(by[2_001]) == 2 and by[2_001][0] == by[2_001][1] == by[2_002][0] and by[2_001][0][1] == 1
+    assert by[2_000][0][1] == 1 and by[2_003][0][1] == 0
+    spans = next(r.spans for r in got if r.doc_id == 2_000)
+    assert [" ".join(long)[s.start : s.end] for s in spans] == ["blorg"]
 
 
 def test_toxicity_of_nothing(spark, none):
@@ -212,6 +289,68 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(langid.word_scores([w], pieces, p)[0, 0], np.log(brute(w)))
 
 
+def exact_word(word, vocab, prob):
+    """Log of the sum over all segmentations, in whole numbers."""
+    sums = [Fraction(1)] + [Fraction(0)] * len(word)
+    for j in range(1, len(word) + 1):
+        sums[j] = sum((sums[j - len(v)] * Fraction(p) for v, p in zip(vocab, prob, strict=True) if len(v) <= j and word[j - len(v) : j] == v), Fraction(0))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+@pytest.mark.parametrize("stretch", [7, 33, 64, 4_096])
+def test_forward_over_long_words_and_long_pieces(monkeypatch, stretch):
+    vocab = [b"a", b"b", b"ab", b"ba", b"aba", b"abababab", b"bbbbbbbbbbbbb"]
+    prob = [0.4, 0.2, 0.2, 0.1, 0.05, 0.03, 0.02]
+    rng = random.Random(3)
+    words_ = [b"ab" * 30, b"b" * 200, bytes(rng.choice(b"ab") for _ in range(200)), b"a", bytes(rng.choice(b"ab") for _ in range(431))]
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    p = langid.lifted(np.array(prob)[:, None], np.array([len(v) for v in vocab]))
+    got = langid.word_scores(words_, langid.Pieces(vocab), p)[:, 0]
+    assert np.allclose(got, [exact_word(w, vocab, prob) for w in words_], rtol=1e-12)
+
+
+def test_expected_pieces_equal_brute_force():
+    vocab, prob = [b"a", b"b", b"ab", b"aba"], [0.4, 0.3, 0.2, 0.1]
+
+    def cuts(w):
+        return [[]] if not w else [[i, *rest] for i, v in enumerate(vocab) if w.startswith(v) for rest in cuts(w[len(v) :])]
+
+    want = np.zeros((4, 2))
+    words_, langs, counts = [b"abab", b"aabba", b"babaab"], np.array([0, 1, 0]), np.array([2.0, 1.0, 3.0])
+    for w, la, k in zip(words_, langs, counts, strict=True):
+        every = [(c, math.prod(prob[i] for i in c)) for c in cuts(w)]
+        for c, q in every:
+            for i in c:
+                want[i, la] += k * q / sum(q for _, q in every)
+    seen = np.zeros((4, 2))
+    p = langid.lifted(np.array([prob, prob]).T, np.array([len(v) for v in vocab]))
+    langid._expected(langid.Pieces(vocab), words_, p, langs, counts, seen)
+    assert np.allclose(seen, want)
+    # long words: the lengths of the pieces to expect add up to that of the word
+    seen = np.zeros((4, 2))
+    langid._expected(langid.Pieces(vocab), [b"ab" * 400, b"a"], p, np.array([0, 1]), np.array([1.0, 1.0]), seen)
+    assert np.isclose(seen[:, 0] @ [len(v) for v in vocab], 800)
+
+
+def test_language_id_uses_the_whole_vocabulary_and_long_texts_without_spaces(spark):
+    vocab = langid.vocabulary(rank_path())
+    assert len(vocab) == len({line.split()[0] for line in open(rank_path(), "rb") if line.strip()} | {base64.b64encode(bytes([b])) for b in range(256)})
+    rows = [(i, ("天気予報" if i % 2 else "気温上昇") * 20, "xa" if i % 2 else "xb", "a") for i in range(60)]
+    got = {r.doc_id: r for r in langid.identify(docs_frame(spark, [*rows, (1000, "天気予報" * 5000, None, "a"), (1001, "天気予報" * 5000, None, "a")]), rank_path()).collect()}
+    assert got[1000].lang_pred == got[1001].lang_pred == "xa" and got[1000].score == got[1001].score
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
+
+
+def test_a_bounded_share_of_any_number_of_rows_is_never_empty(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    assert rows.where(hashed_share(F.col("h"), 10_000, 9_000)).count() == 20_000
+    assert 4_500 < rows.where(hashed_share(F.col("h"), 10_000, 40_000)).count() < 5_500
+    for of in (10**11, 10**15, 2**62):
+        least = -(2**63) + max(1, (8_000 << 64) // of) - 1
+        one = spark.createDataFrame([(least,), (least + 1,)], "h long")
+        assert [r.h for r in one.where(hashed_share(F.col("h"), 8_000, of)).collect()] == [least]
+
+
 def test_language_id_of_nothing(spark, none):
     assert langid.identify(none, rank_path()).count() == 0
     unlabelled = docs_frame(spark, [(1, "some text", None, None)])
