@@ -188,6 +188,8 @@ def word_scores(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray
             total += scale[last // SCALED, 0]
             # columns after the last place lie in later blocks of the scale, which start from it
             carried = a[last:] * np.exp(scale[np.arange(last, len(a)) // SCALED] - scale[last // SCALED])
+            most = carried.max(0)
+            carried, total = carried / most, total + np.log(most[0])
         out[w] = total + np.log(carried[0, 0])
     return out - size[:, None] * np.log(LIFT)
 
