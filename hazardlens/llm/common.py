@@ -10,7 +10,8 @@ from contextlib import contextmanager
 from typing import TypeVar
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
@@ -60,16 +61,16 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def passing(keep: Callable[[], DataFrame | None]) -> Iterator[None]:
-    """Tables written inside go at the end, but for the one that ``keep`` gives then."""
-    _passing.append([])
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that ``written`` makes inside go at the end, but for those taken off the given list."""
+    mine: list[DataFrame] = []
+    _passing.append(mine)
     try:
-        yield
+        yield mine
     finally:
-        kept = keep()
-        for df in _passing.pop():
-            if df is not kept:
-                discard(df)
+        _passing.remove(mine)
+        for df in mine:
+            discard(df)
 
 
 def private(*names: str) -> list[str]:
@@ -90,6 +91,7 @@ def worker_memory(owner: object, make: Callable[[], T]) -> T:
     if owner not in _memory:
         _memory.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _memory[owner] = make()
     return _memory[owner]
 
@@ -135,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state.n, state.h
         # large star: larger neighbours are linked to the smallest of the neighbourhood
         least = current.groupBy("a").agg(F.min("b").alias("m"))
-        large = _with_least(current.select(F.col("b").alias("a"), F.col("a").alias("b")), least, state.hubs).select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
+        large = dealt_join(current.select(F.col("b").alias("a"), F.col("a").alias("b")), least, "a", state.hubs, "b", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
         # small star: each node's smaller neighbours and itself go to the smallest of them
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -152,12 +154,38 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, hubs: list) -> DataFrame:
-    """``pairs(a, b)`` with ``m`` of ``a`` where there is one; links of hubs are dealt over parts."""
-    if not hubs:
-        return pairs.join(least, "a", "left")
-    names = pairs.sparkSession.createDataFrame([(h, True) for h in hubs], f"a {pairs.schema['a'].dataType.simpleString()}, hub boolean")
-    part = F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS))).otherwise(F.lit(0).cast("long")).alias("part")
-    parts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("part")
-    dealt = pairs.join(F.broadcast(names), "a", "left").select("a", "b", part)
-    return dealt.join(least.join(F.broadcast(names), "a", "left").select("a", "m", parts), ["a", "part"], "left").select("a", "b", "m")
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: str, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` (and ``also``), where ``hot`` keys hold very many rows of ``left``.
+
+    Their rows are dealt over HUB_PARTS parts by a hash of ``spread``, and those of ``right``, few
+    for each key, stand in all parts. ``hot`` is a list bounded by the rows over HUB.
+    """
+    if not hot:
+        return left.join(right, [key, *also], how)
+    part, mark = private("part", "hot")
+    names = left.sparkSession.createDataFrame([(h, True) for h in hot], f"`{key}` {left.schema[key].dataType.simpleString()}, `{mark}` boolean")
+    nothing, last = F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long")
+    left = left.join(F.broadcast(names), key, "left").withColumn(part, F.when(F.col(mark), F.pmod(F.xxhash64(spread), F.lit(HUB_PARTS))).otherwise(nothing)).drop(mark)
+    right = right.join(F.broadcast(names), key, "left").withColumn(part, F.explode(F.when(F.col(mark), F.sequence(nothing, last)).otherwise(F.array(nothing)))).drop(mark)
+    return left.join(right, [key, part, *also], how).drop(part)
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """Keys of ``counts`` with more than HUB rows; at most a HUB-th of all rows."""
+    return [r[0] for r in counts.where(F.col(n) > HUB).select(key).collect()]
+
+
+def running(df: DataFrame, order: list, sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with sums of columns over the rows before each in the order of ``order``, none in one task.
+
+    ``sums`` gives, by new column, the column added up; rows are ranged by ``order``, which must leave
+    no ties, and sums of whole ranges, a row a partition, are added to those inside them.
+    """
+    part, base = private("part", "base")
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), name)
+    totals = ranged.groupBy(part).agg(*[F.sum(c).alias(f"{base}{i}") for i, c in enumerate(sums.values())])
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(part, *[F.coalesce(F.sum(f"{base}{i}").over(ahead), F.lit(0)).alias(f"{base}{i}") for i in range(len(sums))])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(totals), part)
+    return out.select(*df.columns, *[(F.col(f"{base}{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(new) for i, (new, c) in enumerate(sums.items())])

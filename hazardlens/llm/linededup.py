@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import private, written
 
 #: The white space that ends of a line lose.
 WHITE = " \t\n\u000b\f\r"
@@ -33,7 +33,7 @@ def _marks(min_docs: int):
     """One pass over a sorted partition: lines to drop, and lines of the two keys at its ends."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of the key that the last batch ended with
         opening = True
 
         def decide(rows: list[np.ndarray], first_open: bool, last_open: bool) -> pa.RecordBatch:
@@ -58,25 +58,34 @@ def _marks(min_docs: int):
                 ["doc_id", "version", "pos", "h1", "h2", "pending", "docs"],
             )
 
+        def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(5)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            cut = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1] + 1) if ((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])).any() else 0
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(other[-1] + 1) if len(other) else 0
+            if held and not cut and (held[0][0][0], held[0][1][0]) != (rows[0][0], rows[1][0]):
+                yield decide(joined(held), opening, False)
+                held, opening = [], False
             if cut:
-                yield decide([x[:cut] for x in rows], opening, False)
-                opening = False
-            held = [x[cut:] for x in rows]
-        if held is not None:
-            yield decide(held, opening, True)
+                yield decide(joined([*held, [x[:cut] for x in rows]]), opening, False)
+                held, opening = [], False
+            held.append([x[cut:] for x in rows])
+        if held:
+            yield decide(joined(held), opening, True)
 
     return walk
 
 
 def drop_marks(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``(doc_id, version, pos)`` of every line to drop; ``version`` tells texts of one id apart."""
+    """``(doc_id, version, pos)`` of every line to drop; ``version`` tells texts of one id apart.
+
+    Rows without an id or text have no lines here. No rows give no rows; columns other than
+    ``doc_id`` and ``text`` aren't read.
+    """
     lines = (
         docs.where("doc_id is not null and text is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -84,6 +93,8 @@ def drop_marks(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .where(F.length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "version", "pos")
     )
+    # sampling for the ranges and dealing read these short rows; texts are split once
+    lines = written(lines, "line-hashes")
     ordered = lines.repartitionByRange("h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), "version", "pos")
     marks = written(ordered.mapInArrow(_marks(min_docs), "doc_id long, version long, pos long, h1 long, h2 long, pending boolean, docs long"), "line-marks")
     pending = marks.where("pending")
@@ -128,19 +139,26 @@ def _apply(text: str, keep: bytes) -> str:
     return "\n".join(line for line, bit in zip(lines, bits.tolist(), strict=True) if bit)
 
 
-def kept_texts(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with what the bitmaps keep of each text in ``kept``, and the line counts."""
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_lines", "n_dropped", "keep")
+def kept_texts(docs: DataFrame, bitmaps: DataFrame, kept: str = "kept", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with what the bitmaps keep of each text in ``kept``, and the line counts.
+
+    A null text keeps the empty line. Columns of ``docs`` under the three given names are replaced,
+    all others stay as they are.
+    """
+    id_, version, keep, lines, dropped = private("id", "version", "keep", "lines", "dropped")
+    b = bitmaps.select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("n_lines").alias(lines), F.col("n_dropped").alias(dropped), F.col("keep").alias(keep))
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
+    def applied(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None else _apply(t, k) for t, k in zip(text, keep, strict=True)], dtype=object)
 
-    joined = docs.join(b, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")))
-    return joined.withColumn("kept", F.coalesce(kept("text", "keep"), F.lit(""))).drop("_id", "_version", "keep")
+    joined = docs.join(b, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version)))
+    joined = joined.withColumns({kept: F.coalesce(applied("text", keep), F.lit("")), n_lines: F.col(lines), n_dropped: F.col(dropped)})
+    return joined.drop(id_, version, keep, lines, dropped)
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """Line counts and the SHA-256 of what is kept, a row a row; see ``keep_bitmaps`` for odd rows."""
     rows = docs.select("doc_id", "text")
     return kept_texts(rows, keep_bitmaps(rows)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 

@@ -1,20 +1,23 @@
 """Mixing sources to target weights: hash-random order within a source, cut at its budget.
 
 Every document gets a random key from a hash of its id. Within a source, documents are ranged by key
-into buckets of equal width, so even a source with most rows is spread; bucket sums and a running
-sum inside each bucket give every document its place in the source's words. Whole epochs take all,
+into buckets of equal width, more of them the more rows there are, so even a source with most rows
+is spread; bucket sums and a running sum inside each bucket give every document its place in the
+source's words. Whole epochs take all,
 the last one takes documents while at least half of each fits the budget left.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running, written
 
-#: Bits of the random key, and of it the leading bits that range documents into buckets.
-KEY_BITS, BUCKET_BITS = 60, 8
+#: Bits of the random key; rows that a bucket holds at most, about, and the fewest bits of a bucket.
+KEY_BITS, BUCKET, LEAST_BITS = 60, 100_000, 6
 
 
 def words(text: Column) -> Column:
@@ -31,18 +34,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
     Sources in code-point order, null last, weigh as ``weights`` repeating. All words are shared by
     weight; what would pass ``most`` times a source's size goes to the others by weight. The level
-    where that settles is found by the order in which sources reach their limits. One row a source.
+    where that settles is found by the order in which sources reach their limits. One row a source;
+    no source gives no row, and sources may be as many as domains are.
     """
-    named = sizes.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
-    named = named.withColumn("w", w.cast("long")).withColumn("limit", F.col("source_size") * most)
-    order = Window.orderBy(F.col("limit") / F.col("w"), "n")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / F.sum("w").over(after)
-    open_ = named.withColumn("level", level).withColumn("ok", F.col("level") * F.col("w") <= F.col("limit"))
-    settled = F.min(F.when(F.col("ok"), F.struct(F.col("limit") / F.col("w"), F.col("n"), F.col("level")))).over(everything)["level"]
-    return open_.withColumn("target", F.least(F.col("limit").cast("double"), settled * F.col("w"))).select("source", "source_size", "target")
+    placed = running(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], {"n": "one"}, "mix-sources").drop("one")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("n") % len(weights) + 1).cast("int"))
+    named = placed.withColumn("w", w.cast("long")).withColumn("limit", F.col("source_size") * most)
+    order = [F.col("limit") / F.col("w"), F.col("n")]
+    ranked = running(named, order, {"limits": "limit", "weights": "w"}, "mix-limits")
+    whole = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all_weights")).first()
+    total, all_weights = whole.total or 0, whole.all_weights or 1
+    level = (F.lit(total).cast("long") - F.col("limits")).cast("double") / (F.lit(all_weights).cast("long") - F.col("weights"))
+    reached = ranked.withColumn("level", level).where(F.col("level") * F.col("w") <= F.col("limit"))
+    # the first source that stays below its limit sets the level
+    settled = reached.agg(F.min(F.struct(order[0].alias("at"), "n", "level")).alias("s")).first().s
+    level = settled.level if settled else 0.0
+    return ranked.select("source", "source_size", F.least(F.col("limit").cast("double"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -56,7 +63,9 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
     rows = written(
         docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("version"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), random_key(id_col, seed).alias("key")),
         "mix-sizes",
-    ).withColumn("bucket", F.shiftright("key", KEY_BITS - BUCKET_BITS))
+    )
+    bits = min(KEY_BITS, max(LEAST_BITS, int(log2(rows.count() / BUCKET + 1)) + 1))
+    rows = rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     starts = buckets.withColumn("start", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -71,6 +80,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
+    """The mix of all rows by the weights 1, 2, 3; see ``mix`` for odd rows."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -4,12 +4,15 @@
    another one. Shingles of a fixed part of the hash space are gathered, packed, by bucket; each
    document gets a count of its shingles that some other set holds, and goes on only if enough.
    Small sets give all their shingles, but are tested on all only if no partner gives just the part.
+   Sets gathered together are counted among themselves at once, so a shingle that very many hold
+   goes to its bucket once for each gathering, and not once for each document.
 2. Documents with the same set become one. Of those left, shingles that at least two share are
    ordered from rare to frequent; a link must show within the rare end (prefix), so documents that
    meet there fall into clusters, by distributed components.
-3. In every cluster, split into pairs of blocks where it is large, T-occurrence search by
-   DivideSkip: short inverted lists are merged and counted, long ones are probed by binary search.
-   Pairs that are already connected aren't tried again, which loses no component.
+3. In every cluster, T-occurrence search by DivideSkip: short inverted lists are merged by a heap,
+   long ones are probed by binary search. A large cluster is split into pairs of blocks, or into the
+   lists of its prefixes (and these into blocks), whichever needs fewer sets to be read. Pairs that
+   are already connected aren't tried again, which loses no component.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_enough, worker_memory, written
+from .common import components, dealt_join, hot_keys, small_enough, worker_memory, written
 
 #: Part of the hash space gathered in step 1, in eighths; sets under SMALL shingles give them all.
 EIGHTHS, SMALL = 3, 64
-#: Postings a worker gathers before it packs them, and documents among them at most.
-FLUSH, FLUSH_DOCS = 1_000_000, 30_000
+#: Postings a worker gathers before it packs them, and documents among them at most; the place that
+#: stands for sets which were counted already.
+FLUSH, FLUSH_DOCS, COUNTED = 1_000_000, 30_000, 0xFFFF
+#: Documents of a bucket, about, and postings of a task that counts buckets.
+BUCKET_DOCS, TASK = 2_000, 5_000_000
 #: Shingles of a block in step 3.
 BLOCK = 250_000
 #: Up to so many rows (16 bytes each) a table of ids is broadcast; beyond, it is joined by a shuffle.
@@ -86,7 +92,8 @@ def _gather(n: int, bits: int, percent: int):
     """Rows of documents (kind 0) and of packed postings by bucket (kind 1)."""
     import xxhash
 
-    names = ["kind", "flush", "place", "doc_id", "version", "n", "window", "k1", "k2", "bucket", "hashes", "owners"]
+    names = ["kind", "flush", "place", "doc_id", "version", "n", "window", "k1", "k2", "met", "met_in_common", "bucket", "postings", "hashes", "owners"]
+    plain = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -102,17 +109,23 @@ def _gather(n: int, bits: int, percent: int):
                 return
             fid = (task << 24) + number
             number += 1
-            cols = list(zip(*rows, strict=True))
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * m, pa.int32()), pa.array([fid] * m, pa.int64())] + [pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)] + [pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
-                names,
-            )
             h = np.concatenate(kept) if kept else np.empty(0, np.uint64)
-            owner = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for x in kept])
+            owner = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
             by = np.argsort(h, kind="stable")
             h, owner = h[by], owner[by]
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            # shingles that several of these sets hold: all of them are counted now, one posting tells the others
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            several = ~first
+            several[:-1] |= ~first[1:]
+            met = np.bincount(owner[several], minlength=len(kept))
+            met_in_common = np.bincount(owner[several & (h < np.uint64(EIGHTHS << 61))], minlength=len(kept))
+            cols = list(zip(*rows, strict=True))
+            m, places = len(rows), np.array(cols[0])
+            values = [pa.array(c, t) for c, t in zip(cols, plain[:7], strict=True)] + [pa.array(met[places]), pa.array(met_in_common[places])]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([fid] * m, pa.int64()), *values, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+            h, owner = h[first], np.where(several, COUNTED, owner)[first].astype(np.uint16)
+            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket)) + 1
             low = np.ascontiguousarray((h << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             starts = np.concatenate([[0], cut]) if len(h) else np.empty(0, np.int64)
@@ -120,9 +133,8 @@ def _gather(n: int, bits: int, percent: int):
             for a in range(0, len(starts), 512):
                 s, e = starts[a : a + 512], ends[a : a + 512]
                 k = len(s)
-                none = [pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([1] * k, pa.int32()), pa.array([fid] * k, pa.int64()), *none, pa.array(bucket[s]), pa.array([low[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())],
+                    [pa.array([1] * k, pa.int32()), pa.array([fid] * k, pa.int64()), *(pa.nulls(k, t) for t in plain), pa.array(bucket[s]), pa.array(e - s), pa.array([low[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())],
                     names,
                 )
             rows, sets, kept, total = [], {}, [], 0
@@ -148,25 +160,41 @@ def _gather(n: int, bits: int, percent: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: how many of each owner's postings stand in another owner's set too."""
-    bucket = table.column("bucket")[0].as_py()
-    raw = table.column("hashes").to_pylist()
-    h5 = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
-    h = np.zeros((len(h5), 8), np.uint8)
-    h[:, :5] = h5
-    h = h.view("<u8")[:, 0]
-    owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint16).astype(np.int64)
-    flushes = table.column("flush").to_numpy()
-    key = np.repeat(np.arange(len(flushes), dtype=np.int64), [len(x) // 5 for x in raw]) << 16 | owner
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket: how many of each owner's postings stand in another gathering too."""
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[0] != held[-1][0] and size >= FLUSH:
+                yield _counted(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3]) // 2
+    if held:
+        yield _counted(held)
+
+
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    """Counts of whole buckets given as ``(bucket, flush, hashes, owners)``."""
+    bucket, flushes, raw, owners = zip(*rows, strict=True)
+    size = np.array([len(x) // 2 for x in owners])
+    h = np.zeros((size.sum(), 8), np.uint8)
+    h[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+    number = np.cumsum(np.diff(np.array(bucket), prepend=bucket[0]) != 0)  # of the bucket, among these
+    h = h.view("<u8")[:, 0] | np.repeat(number.astype(np.uint64) << np.uint64(40), size)
+    owner = np.frombuffer(b"".join(owners), np.uint16).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), size)
     order = np.argsort(h, kind="stable")
-    h, key = h[order], key[order]
+    h, owner, row = h[order], owner[order], row[order]
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     held = same.copy()
     held[:-1] |= same[1:]
-    keys, n = np.unique(key[held], return_counts=True)
-    return pa.table({"bucket": pa.array([bucket] * len(keys), pa.int64()), "flush": pa.array(flushes[keys >> 16], pa.int64()), "place": pa.array((keys & 0xFFFF).astype(np.int32)), "shared": pa.array(n.astype(np.int64))})
+    held &= owner != COUNTED
+    keys, n = np.unique(row[held] << 16 | owner[held], return_counts=True)
+    row = keys >> 16
+    return pa.RecordBatch.from_arrays([pa.array(np.array(flushes)[row]), pa.array((keys & 0xFFFF).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(np.array(bucket)[row])], ["flush", "place", "shared", "bucket"])
 
 
 class _Groups:
@@ -256,12 +284,8 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, sides: np.ndarray | N
 def _merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """Members of at least ``least`` sorted lists and in how many they are.
 
-    By a heap over the lists' heads that skips to the least-th smallest head; where the lists
-    hold very much together, by one counted merge of all of them.
+    By a heap over the lists' heads that skips to the least-th smallest head.
     """
-    if sum(map(len, lists)) > 3_000:
-        ids, n = np.unique(np.concatenate(lists), return_counts=True)
-        return list(zip(ids[n >= least].tolist(), n[n >= least].tolist(), strict=True))
     rows = [x.tolist() for x in lists]
     heap = [(row[0], i, 0) for i, row in enumerate(rows) if row]
     heapq.heapify(heap)
@@ -293,17 +317,23 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     """(documents, links): ``(doc_id, version, n_shingles, k1, k2)`` of every row, and links ``(a, b)``
     between documents of different sets, enough to connect all that linked documents connect."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    bits = max(8, min(15, int(log2(max(rows.count(), 1) / 2_000 + 1)) + 1))
+    # up to 24 bits the five bytes kept of a hash and its bucket tell all of it; beyond, a few more sets go on
+    bits = max(8, int(log2(max(rows.count(), 1) / BUCKET_DOCS + 1)) + 1)
     gathered = written(
-        rows.mapInArrow(_gather(n, bits, percent), "kind int, flush long, place int, doc_id long, version long, n int, window int, k1 long, k2 long, bucket long, hashes binary, owners binary"),
+        rows.mapInArrow(_gather(n, bits, percent), "kind int, flush long, place int, doc_id long, version long, n int, window int, k1 long, k2 long, met long, met_in_common long, bucket long, postings long, hashes binary, owners binary"),
         "shingle-postings",
     )
     known = gathered.where("kind = 0")
-    counts = gathered.where("kind = 1").select("bucket", "flush", "hashes", "owners").groupBy("bucket").applyInArrow(_shared, "bucket long, flush long, place int, shared long")
+    packed = gathered.where("kind = 1")
+    tasks = int((packed.agg(F.sum("postings")).first()[0] or 0) / TASK) + 1
+    packed = packed.select("bucket", "flush", "hashes", "owners")
+    # no task has more than about TASK postings, whatever the number of shuffle partitions is set to
+    packed = packed.repartition(tasks, "bucket") if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else packed.repartition("bucket")
+    counts = packed.sortWithinPartitions("bucket").mapInArrow(_shared, "flush long, place int, shared long, bucket long")
     in_common = F.when(F.col("bucket") < EIGHTHS << (bits - 3), F.col("shared"))
     counts = counts.groupBy("flush", "place").agg(F.sum("shared").alias("shared"), F.sum(in_common).alias("in_common"))
     can_miss = F.col("n") - _floor_div(F.col("n") * percent + 99, 100)
-    possible = known.where("n > 0 and doc_id is not null").join(counts, ["flush", "place"], "left").where(F.coalesce(F.when(_tested_whole(F.col("n"), percent), F.col("shared")).otherwise(F.col("in_common")), F.lit(0)) >= F.greatest(F.col("window") - can_miss, F.lit(0)))
+    possible = known.where("n > 0 and doc_id is not null").join(counts, ["flush", "place"], "left").where(F.when(_tested_whole(F.col("n"), percent), F.col("met") + F.coalesce("shared", F.lit(0))).otherwise(F.col("met_in_common") + F.coalesce("in_common", F.lit(0))) >= F.greatest(F.col("window") - can_miss, F.lit(0)))
     heads = written(possible.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version")).alias("d")).select("d.doc_id", "d.version").distinct(), "shingle-heads")
     found = rows.join(F.broadcast(heads) if small_enough(heads, BROADCAST_ROWS) else heads, ["doc_id", "version"])
 
@@ -328,31 +358,41 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         .select("doc_id", F.col("p.h").alias("h"))
     )
     prefixes = written(prefixes, "shingle-prefixes")
-    meet = prefixes.join(prefixes.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1"), "h").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    lists = written(prefixes.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1"), "shingle-lists")
+    meet = dealt_join(prefixes, lists, "h", hot_keys(lists, "h", "k"), "doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     clusters = written(components(meet), "shingle-clusters")
-    member = held.join(clusters, held.doc_id == clusters.node).select("doc_id", "component", "shingles")
-    loads = clusters.join(held.select("doc_id", size), F.col("node") == F.col("doc_id")).groupBy("component").agg(F.sum("n").alias("load")).select("component", F.ceil(F.col("load") / BLOCK).cast("int").alias("blocks"))
+    member = held.join(clusters, held.doc_id == clusters.node).select("doc_id", "component", "shingles", size)
+    whole = clusters.join(held.select("doc_id", size), F.col("node") == F.col("doc_id")).groupBy("component").agg(F.sum("n").alias("load")).withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
+    # Of clusters of several blocks: are the lists of their prefixes, each with its own blocks, less to read?
+    large = whole.where("blocks > 1")
+    parts = prefixes.join(clusters.join(large.select("component"), "component"), F.col("doc_id") == F.col("node")).join(lists.select("h"), "h").join(held.select("doc_id", size), "doc_id")
+    parts = parts.groupBy("component", "h").agg(F.sum("n").alias("load")).withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
+    cost = parts.groupBy("component").agg(F.sum(F.col("load") * F.col("blocks")).alias("by_lists"))
+    split = written(large.join(cost, "component").where(F.col("by_lists") < F.col("load") * F.col("blocks")).select("component"), "shingle-splits")
+    to_split = F.broadcast(split) if small_enough(split, BROADCAST_ROWS) else split
+    kept_whole = member.join(to_split, "component", "left_anti").join(whole.select("component", "blocks"), "component").withColumn("h", F.lit(0).cast("long"))
+    by_lists = member.join(to_split, "component").join(prefixes.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).join(parts.select("component", "h", "blocks"), ["component", "h"])
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
-        member.join(loads, "component")
+        kept_whole.unionByName(by_lists.drop("_id"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "shingles")
+        .select("component", "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "shingles")
     )
     # many small clusters to a task, each with its own rows together
-    dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    dealt = dealt.repartition("component", "h", "x", "y").sortWithinPartitions("component", "h", "x", "y")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, docs_, own_, sets_ = None, [], [], []
 
         def solve() -> pa.RecordBatch:
-            sides = np.array(own_) if at[1] != at[2] else None
+            sides = np.array(own_) if at[2] != at[3] else None
             pairs = divide_skip(sets_, percent, sides)
             return pa.RecordBatch.from_arrays([pa.array([docs_[i] for i, _ in pairs], pa.int64()), pa.array([docs_[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
         for b in batches:
-            cs, xs, ys, os_, ds, ss = (b.column(i) for i in range(6))
-            keys = list(zip(cs.to_pylist(), xs.to_pylist(), ys.to_pylist(), strict=True))
+            cs, hs, xs, ys, os_, ds, ss = b.columns
+            keys = list(zip(cs.to_pylist(), hs.to_pylist(), xs.to_pylist(), ys.to_pylist(), strict=True))
             for i, key in enumerate(keys):
                 if key != at and at is not None:
                     yield solve()
@@ -364,7 +404,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         if at is not None:
             yield solve()
 
-    edges = dealt.select("component", "x", "y", "own", "doc_id", "shingles").mapInArrow(search, "a long, b long")
+    edges = dealt.mapInArrow(search, "a long, b long")
     return known.select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), "k1", "k2"), edges
 
 
@@ -383,14 +423,15 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     known, edges = links(docs, n, percent)
     real = known.where("doc_id is not null and n_shingles > 0")
-    heads = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
+    heads = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "shingle-copies")
     # copies of one set hang on its smallest id; one edge a document
-    copies = real.join(heads, ["k1", "k2"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    copies = dealt_join(real, heads, "k1", hot_keys(heads, "k1", "rows"), "doc_id", also=("k2",)).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     classes = components(edges.union(copies)).withColumnRenamed("node", "_node")
     return known.join(classes, F.col("doc_id") == F.col("_node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
+    """Set size and class of every row of ``docs``; see ``join_classes`` for odd rows."""
     return join_classes(docs).select("doc_id", "n_shingles", "component_id")
 
 

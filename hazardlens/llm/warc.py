@@ -11,17 +11,21 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_enough, written
 
-#: Bytes of payload that an archive holds about, before compression.
-ARCHIVE = 16_000_000
+#: Bytes of payload that an archive holds about, before compression; pages of more than BIG times
+#: the mean stand in archives of their own kind, so that they don't make all archives short.
+ARCHIVE, BIG = 16_000_000, 64
+#: Rows of a run that are held as Python objects while runs are merged.
+AHEAD = 64
 #: Up to so many digests with several payloads are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Columns of a capture and their types.
@@ -71,10 +75,19 @@ def records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
-    """Write gzip-compressed archives of about ARCHIVE bytes; a page larger than that has one of its own."""
-    size = pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first()
-    each = max(1, int(ARCHIVE / max(1.0, float(size[0] or 0) + 500, float(size[1] or 0) / 64)))
-    records(pages, least_bytes).select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    """Write gzip-compressed archives of about ARCHIVE bytes below ``path``.
+
+    Pages of more than BIG times the mean size, of which there are few, go into archives of their
+    own, so an archive of others is at most BIG times ARCHIVE bytes long whatever the largest page is.
+    """
+    bytes_ = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    mean = float(pages.agg(F.avg(bytes_)).first()[0] or 0) + 500
+    n, big_mean = pages.where(bytes_ > BIG * mean).agg(F.count("*"), F.avg(bytes_)).first()
+    found = records(pages, least_bytes)
+    kinds = [("others", F.col("bytes") <= BIG * mean, mean)] + ([("big", F.col("bytes") > BIG * mean, float(big_mean))] if n else [])
+    for name, chosen, size in kinds:
+        each = max(1, int(ARCHIVE / size))
+        found.where(chosen).select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/{name}")
 
 
 def parse(archive: str, data: bytes) -> list[tuple]:
@@ -104,14 +117,21 @@ def order(capture: tuple) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted runs: inner nodes keep the loser of their match, so a new head plays one path."""
-
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = [r for r in runs if r], [0] * len([r for r in runs if r])
-        k = len(self.runs)
-        self.heads = [order(r[0]) for r in self.runs]
-        self.losers = [-1] * max(k, 1)
-        for i in range(k):
+    """Merges sorted runs: inner nodes keep the loser of their match, so a new head plays one path.
+
+    Runs are gone through once, and of each only its head is held.
+    """
+
+    def __init__(self, runs: Iterable[Iterable[tuple]]):
+        self.runs, self.rows = [], []
+        for run in map(iter, runs):
+            row = next(run, None)
+            if row is not None:
+                self.runs.append(run)
+                self.rows.append(row)
+        self.heads = [order(r) for r in self.rows]
+        self.losers = [-1] * max(len(self.runs), 1)
+        for i in range(len(self.runs)):
             self._play(i)
 
     def _beats(self, a: int, b: int) -> bool:
@@ -134,9 +154,9 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple]:
         while self.runs and self.heads[w := self.losers[0]] is not None:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.heads[w] = order(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.rows[w]
+            row = self.rows[w] = next(self.runs[w], None)
+            self.heads[w] = None if row is None else order(row)
             self._play(w)
 
 
@@ -144,6 +164,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, t in enumerate(CAPTURE.values())], list(CAPTURE))
 
 
+def _run(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of one run's pieces, AHEAD at a time; how Spark shipped them may have turned their order."""
+    run = pa.Table.from_batches(pieces)
+    keys = ("urlkey", "captured", "page_id", "archive", "offset")
+    run = run.take(pc.sort_indices(run, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
+    for b in run.to_batches(max_chunksize=AHEAD):
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
 def capture_histories(archives: DataFrame) -> DataFrame:
     """Globally ordered captures of ``archives(path, content)``: by URL key, time and page."""
 
@@ -155,13 +184,14 @@ def capture_histories(archives: DataFrame) -> DataFrame:
                     yield _batch(rows[a : a + 5_000])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        # pieces of a run arrive in its order, those of different runs in turn; all stay packed in Arrow
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                runs.setdefault(row[3], []).append(row)
+            ends = [*pc.run_end_encode(b.column("archive")).run_ends.to_pylist()] if b.num_rows else []
+            for start, end in zip([0, *ends], ends, strict=False):
+                runs.setdefault(b.column("archive")[start].as_py(), []).append(b.slice(start, end - start))
         out = []
-        # pieces of runs come in their order; sorting again costs one look at each
-        for row in LoserTree([sorted(run, key=order) for run in runs.values()]):
+        for row in LoserTree(_run(pieces) for pieces in runs.values()):
             out.append(row)
             if len(out) == 5_000:
                 yield _batch(out)
@@ -183,10 +213,11 @@ def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes)
-    return capture_histories(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content"))
+    return capture_histories(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
 def read_back(pages: DataFrame) -> DataFrame:
+    """What the archives say of each page; see ``round_trip`` for odd rows. Other columns aren't read."""
     return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

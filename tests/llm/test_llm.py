@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from hazardlens.llm import bpe, langid, linededup, mixing, neardup, ngramjoin, sharding, topk, toxicity, warc
+from hazardlens.llm import bpe, common, langid, linededup, mixing, neardup, ngramjoin, sharding, topk, toxicity, warc
 from hazardlens.llm.common import components, hashed_share
 from hazardlens.llm.queries import pattern, rank_path
 
@@ -144,6 +144,44 @@ def test_near_duplicates(spark):
     assert got == want
 
 
+def test_near_duplicates_of_many_vectors_of_several_widths(spark, monkeypatch):
+    """Recall over some thousands of vectors; each width has pivots of its own, and hot vectors are dealt."""
+    monkeypatch.setattr(common, "HUB", 100)
+    rng = np.random.default_rng(13)
+    rows = []
+    for width, n in ((32, 3_000), (8, 600), (1, 40)):
+        x = rng.normal(size=(n, width))
+        for i in range(0, n - 6, 6):
+            for k in range(1, 4):
+                x[i + k] = x[i + k - 1] + rng.normal(size=width) * 0.05
+        x[n // 2 : n // 2 + n // 10] = x[n // 2] + rng.normal(size=(n // 10, width)) * 0.04
+        x[: n // 12 : 1] = x[3]
+        rows += [(len(rows) + i, [float(v) for v in x[i]], i % 2) for i in range(n)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    stored = {r.vec_id: (np.array(r.embedding, float), r.label) for r in frame.collect()}
+    want, up = Counter(), {i: i for i in stored}
+    for width in (32, 8, 1):
+        for label in (0, 1):
+            ids = np.array([i for i, (v, la) in stored.items() if la == label and len(v) == width])
+            x = np.array([stored[i][0] for i in ids])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            linked = x @ x.T >= 0.98
+            np.fill_diagonal(linked, False)
+            want.update(dict(zip(ids.tolist(), linked.sum(1).tolist(), strict=True)))
+            root = ids.copy()
+            while True:
+                new = np.minimum(root, np.where(linked, root[None, :], 10**9).min(1))
+                if (new == root).all():
+                    break
+                root = new
+            up.update(zip(ids.tolist(), root.tolist(), strict=True))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(frame).collect()}
+    links = sum(want.values())
+    found = sum(n for n, _ in got.values())
+    assert all(got[i][0] <= want[i] for i in stored) and found >= 0.999 * links
+    assert sum(got[i][1] == up[i] for i in stored) >= 0.999 * len(stored)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     one = neardup.near_duplicates(spark.createDataFrame([(3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], VECTORS)).collect()
@@ -374,12 +412,45 @@ def test_sharding_is_even_gapless_and_keeps_copies_together(spark, odd, none):
         places[text[r.doc_id]].add(r.shard)
     assert set(loads) == set(range(24)) and max(loads.values()) - min(loads.values()) < 2000
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # only a group that a border runs through is parted: the huge one, and at most one a border otherwise
     assert sum(len(p) > 1 for p in places.values()) <= 24
+    pairs = [(i, f"text {i // 3} of three rows " * 3, "en", "a") for i in range(6000)]
+    together = defaultdict(set)
+    for r in sharding.by_bytes(docs_frame(spark, pairs)).collect():
+        together[r.doc_id // 3].add(r.shard)
+    assert sum(len(p) > 1 for p in together.values()) <= 23
     few = sharding.by_bytes(odd).collect()
     assert len(few) == odd.count() and {r.size for r in few if r.doc_id == 4} == {8}
     assert sharding.by_bytes(none).count() == 0
 
 
+def test_sharding_deals_a_hot_text_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 50)
+    rng = random.Random(16)
+    rows = [(i, "hot text" if i % 3 == 0 else words(rng, 9), "en", "a") for i in range(1500)] + [(1500, "hot text", "en", "b"), (None, "hot text", "en", "b"), (7, "hot text", "en", "b")]
+    got = sharding.by_bytes(docs_frame(spark, rows)).collect()
+    slots, loads = defaultdict(list), Counter()
+    for r in got:
+        slots[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+    assert len(got) == 1503 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) - min(loads.values()) < 200
+
+
+def test_growing_the_ring_of_the_query_moves_little():
+    loads = {b: 100 + b % 7 for b in range(sharding.BINS)}
+
+    def owners(shards):
+        out = defaultdict(lambda: defaultdict(float))
+        for b, lo, hi, s in sharding.reach(loads, shards, 0.0):
+            out[b][s] += min(hi, loads[b]) - lo
+        return out
+
+    before, after = owners(24), owners(25)
+    moved = sum(max(0, v - after[b][s]) for b, row in before.items() for s, v in row.items())
+    assert moved / sum(loads.values()) < 0.12
+
+
 def test_ring_bounds_loads_and_moves_little():
     loads = {b: 100 + b % 7 for b in range(sharding.BINS)}
 
@@ -436,6 +507,17 @@ def test_mixing(spark, odd, none):
     assert mixing.mixture(odd).count() == odd.count() and mixing.mixture(none).count() == 0
 
 
+def test_mixing_of_very_many_sources(spark):
+    rng = random.Random(18)
+    rows = [(i, words(rng, rng.randrange(1, 9)), "en", f"site{rng.randrange(700)}") for i in range(2500)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()
+    assert len(got) == len(sizes) and all(np.isclose(r.target, want[r.source]) for r in got)
+
+
 # -- 7 ------------------------------------------------------------------------------------------
 
 
@@ -452,6 +534,15 @@ def test_warc(spark):
     assert warc.read_back(pages.limit(0)).count() == 0
 
 
+def test_one_huge_page_does_not_shorten_the_other_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * 2_000) for i in range(400)] + [(400, "http://a/big", "y" * 3_000_000)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    files = {k: len(list((tmp_path / "w" / k).glob("*.gz"))) for k in ("others", "big")}
+    assert files == {"others": 1, "big": 1}
+    got = warc.read_back(pages).collect()
+    assert len(got) == 401 and {r.payload_bytes for r in got} == {2_000, 3_000_000}
+
+
 def test_histories_are_ordered_over_partitions(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i % 3}", f"page {i}") for i in range(500)], "page_id long, url string, html string").repartition(9)
     rows = warc.round_trip(pages).collect()
@@ -463,7 +554,7 @@ def test_loser_tree():
     rng = random.Random(3)
     for k in range(9):
         runs = [sorted(((rng.choice("abc"), str(rng.randrange(9)), rng.randrange(50), f"r{j}", n) for n in range(rng.randrange(12))), key=warc.order) for j in range(k)]
-        assert [warc.order(x) for x in warc.LoserTree(runs)] == sorted(warc.order(x) for r in runs for x in r)
+        assert [warc.order(x) for x in warc.LoserTree(iter(r) for r in runs)] == sorted(warc.order(x) for r in runs for x in r)
 
 
 # -- 8 ------------------------------------------------------------------------------------------
@@ -560,7 +651,9 @@ def near_copies(rng):
     return rows + [(n + i, passage + " " + words(rng, rng.randrange(25)), "en", "a") for i in range(40)]
 
 
-def test_ngram_join(spark, none, monkeypatch):
+@pytest.mark.parametrize("hub", [500_000, 4])
+def test_ngram_join(spark, none, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(11)
     rows = [(i + 100, t, a, b) for i, t, a, b in near_copies(rng)] + odd_texts(rng)
     want = brute_classes([(i, t) for i, t, _, _ in rows])
@@ -573,6 +666,29 @@ def test_ngram_join(spark, none, monkeypatch):
     assert ngramjoin.classes(none).count() == 0
 
 
+def test_ngram_join_splits_a_chained_cluster_by_its_lists(spark, monkeypatch):
+    """Documents that a chain of rare shingles holds together, without a link between most of them."""
+    rng = random.Random(19)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 300)
+    shared = [words(rng, 9, 50_000) for _ in range(41)]
+    rows = [(i, f"{shared[i]} {words(rng, 60, 50_000)} {shared[i + 1]}", "en", "a") for i in range(40)]
+    rows += [(100 + i, t + " " + words(rng, 2), "en", "b") for i, t, _, _ in rows[::5]]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.classes(docs_frame(spark, rows)).collect()]
+    want = brute_classes([(i, t) for i, t, _, _ in rows])
+    assert sorted(got) == want and sum(i != c for i, _, c in want) == 8
+
+
+def test_shared_counts_do_not_grow_with_copies_in_one_gathering(spark):
+    """A shingle that all documents hold goes to its bucket once for each gathering."""
+    run = ngramjoin._gather(5, 8, 80)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array([f"one two three four five six own{i}" for i in range(300)])], ["doc_id", "version", "text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngramjoin.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+        out = [r for b in run(iter([rows])) for r in b.to_pylist()]
+    assert sum(r["postings"] for r in out if r["kind"] == 1) == 300 + 2
+    assert {r["met"] for r in out if r["kind"] == 0} == {2}
+
+
 def test_ngram_join_links_copies_on_both_sides_of_the_small_size(spark):
     rows, n = [], 0
     for size in range(ngramjoin.SMALL - 14, ngramjoin.SMALL + 1):
@@ -614,9 +730,11 @@ def test_divide_skip_queries_again_when_another_group_becomes_the_largest():
     assert up == [0] * 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [500_000, 10])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(2)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3), (4, None), (7, 7)]
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2040)] + [(2040, i) for i in range(2001, 2080, 3)] + [(None, 3), (4, None), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     up = {x: x for p in pairs if None not in p for x in p}
     for _ in range(len(pairs)):
@@ -682,3 +800,57 @@ def test_pipeline_stages_against_brute_force(spark):
         if n == 4:
             assert Counter((r[0], r[3]) for r in after) == Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in before)
         docs = spark.createDataFrame(after, schema) if n < 4 else None
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    extra = ["n_lines", "n_dropped", "kept", "_id", "_language", "_epoch", "_epochs", "_version", "version", "h", "id", "count", "r", "bucket", "label", "key", "a.b", "taken", "component_id"]
+    rows = [(i, t, "en", rng.choice("ab"), len(t or "")) for i, t, _, _ in near_copies(rng)[:60]] + [(i, t, None, None, len(t or "")) for i, t, _, _ in odd_texts(rng)]
+    rows = [r + tuple(f"{c} of {r[0]}" for c in extra) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    full, plain = spark.createDataFrame(rows, schema), "doc_id long, text string, lang string, source string, n_chars long"
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, full, "")
+        got = out.collect()
+        want = stage(spark, full.select("doc_id", "text", "lang", "source", "n_chars"), "").collect()
+        empty = stage(spark, full.limit(0), "")
+        assert empty.count() == 0 and empty.columns == out.columns
+        if n == 4:
+            assert sorted(map(str, got)) == sorted(map(str, want))
+            break
+        assert out.columns == full.columns and out.schema["n_chars"].dataType.simpleString() == "bigint"
+        assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, map(tuple, want)))
+        assert all(r[5 + i] == f"{c} of {r.doc_id}" for r in got for i, c in enumerate(extra))
+    assert plain.count(",") == 4
+
+
+def test_what_a_stage_writes_for_itself_goes(spark):
+    from pathlib import Path
+
+    with common.passing() as gone:
+        first = common.written(spark.range(3), "first")
+        kept = common.written(first.selectExpr("id + 1 as id"), "kept")
+        gone.pop()
+    paths = {df: common._paths.get(df) for df in (first, kept)}
+    assert paths[first] is None and Path(paths[kept].removeprefix("file://")).exists() and kept.count() == 3
+    common.discard(kept)
+    common.discard(spark.range(1))
+    assert not Path(paths[kept].removeprefix("file://")).exists()
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("S", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
