@@ -101,3 +101,47 @@ ACRONYMS = {
     "wrk": "work", "maint": "maintenance", "opr": "operator", "sup": "supervisor", "inj": "injury", "hosp": "hospital",
     "amb": "ambulance", "veh": "vehicle",
 }
+
+#: Words of the field that no dictionary of English holds, and names; never repaired.
+DOMAIN_WORDS = [
+    "drawworks", "workover", "monkeyboard", "kelly", "derrick", "tong", "tongs",
+    "casing", "tubing", "wellhead", "christmas", "annulus", "swab", "swabbing",
+    "sucker", "elevator", "elevators", "slips", "cellar", "flowline", "manifold",
+    "separator", "knockout", "flare", "pigging", "rathole", "mousehole", "kickoff",
+    "topdrive", "mudline", "shaker", "shakers", "desander", "desilter", "choke",
+    "genset", "bullnose", "crossover", "nipple", "spool", "gasket", "bund",
+    "khalasi", "khalasis", "toolpusher", "roustabout", "roughneck", "banksman",
+    "rigger", "riggers", "fitter", "fitters", "jawan", "havildar", "sirdar", "contractual",
+    "duliajan", "naharkatiya", "moran", "baghjan", "makum", "hapjan", "tanot",
+    "ramgarh", "assam", "rajasthan", "dibrugarh", "tinsukia", "jaisalmer",
+    "assamese", "brahmaputra",
+    "ramesh", "suresh", "rajesh", "mahesh", "amit", "sunil", "anil", "vijay",
+    "raju", "ravi", "mohan", "arun", "deepak", "sanjeev", "vinod", "ashok",
+    "rakesh", "dinesh", "manoj", "pradeep", "sanjay", "ajay", "bikash", "dipak",
+    "jitendra", "narayan", "gopal", "bharat", "kishore", "prakash", "hemant", "jwala",
+]
+#: Short forms that have more than one reading and are never expanded.
+UNVERIFIED = ["dsv", "wd", "temp", "oim", "mop", "tt", "sh", "lt", "ht", "cp", "pm", "sop", "peso", "mw", "tds", "ut", "rt", "gl", "pob", "nmr", "swp"]
+#: Words of Roman Hindi that are English words as well, which a lexicon must not map.
+ENGLISH_LOOKALIKES = [
+    "the", "do", "par", "se", "is", "to", "so", "ho", "le", "na", "hi", "us",
+    "main", "mere", "more", "din", "are", "an", "in", "on", "at", "no", "be",
+    "he", "it", "was", "were", "can", "man", "men", "may", "kar", "ki", "ka",
+    "ko", "ke", "sab ko", "bad", "sat", "pat", "tan", "ban", "dam", "jam",
+    "lag", "log", "log in", "aur", "ek", "sir", "pair", "mat", "wo", "jo", "band",
+    "hone", "niche", "jab",
+]
+#: Keys of the lexicon that English also holds, reviewed and accepted.
+REVIEWED_LOOKALIKES = ["agar", "bach", "bola", "gaya", "hui", "karo", "phat", "purana", "saab", "sab", "tut"]
+
+#: Words around mined terms in the patterns of spans.
+PREPOSITIONS = ["at", "in", "on", "near", "inside"]
+ARTICLES = ["the", "a", "an"]
+BARRIER_ANCHORS = ["no", "not", "without", "missing", "miss", "nahi", "koi", "skip"]
+ABSENCE_PHRASES = ["nahi tha", "miss hua", "miss kar diya", "skip kiya", "nahi dikha"]
+
+#: Sites that a new table begins with, and their regions.
+SITES = [
+    ("Duliajan", "Assam"), ("Naharkatiya", "Assam"), ("Moran", "Assam"), ("Baghjan", "Assam"), ("Makum", "Assam"), ("Hapjan", "Assam"),
+    ("Tanot", "Rajasthan"), ("Ramgarh", "Rajasthan"),
+]

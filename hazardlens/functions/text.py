@@ -39,68 +39,59 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"({WORD}+|[^\p{{L}}\p{{N}}_]+)"), 1)
 
 
+def _several(terms: Iterable[str]) -> list[str]:
+    """Terms of several words, longest first."""
+    return sorted((t for t in terms if re.search(r"\W", t)), key=len, reverse=True)
+
+
+def _hits(words: Column, terms: list[str]) -> Column:
+    """Which single-word ``terms`` stand among ``words``: one look-up a word in a hash set."""
+    return F.array_intersect(words, F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
+
+
 def mapped(text: Column, terms: Mapping[str, str]) -> Column:
-    """Whole words (any case) replaced by what ``terms`` says; terms of several words go first, longest first."""
-    for term in sorted((t for t in terms if re.search(r"\W", t)), key=len, reverse=True):
+    """Whole words (any case) replaced by what ``terms`` says; terms of several words go first, longest first.
+
+    The words of a text are held against all terms at once; only those terms that stand in it, few
+    in number, are then looked up word by word. A text without any stays as it is.
+    """
+    for term in _several(terms):
         text = F.regexp_replace(text, rf"(?i){BEGIN}\Q{term}\E{END}", terms[term])
     single = {t: v for t, v in terms.items() if not re.search(r"\W", t)}
     if not single:
         return text
     table = F.create_map(*[F.lit(x) for kv in single.items() for x in kv])
-    return F.array_join(F.transform(pieces(text), lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), "")
+
+    def replaced(parts: Column) -> Column:
+        found = _hits(F.transform(parts, F.lower), list(single))
+        few = lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(table, k)))
+        put = lambda m: F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(m, F.lower(p)), p)), "")
+        return bound(found, lambda keys: F.when(F.size(keys) > 0, bound(few(keys), put)))
+
+    return F.coalesce(bound(pieces(text), replaced), text)
 
 
 def expand_acronyms(text: Column, terms: Mapping[str, str] = fixed.ACRONYMS) -> Column:
     return mapped(text, terms)
 
 
-def lexicon_counts(text: Column, terms: Mapping[str, str], protected: Iterable[str] = ()) -> Column:
-    """``struct<text, mapped, unaccounted>``: text by ``terms``, hits, and words in neither list."""
-    many = sorted((t for t in terms if re.search(r"\W", t)), key=len, reverse=True)
+def lexicon_counts(text: Column, terms: Mapping[str, str]) -> Column:
+    """``struct<text, mapped>``: text by ``terms``, and how many terms were replaced."""
     hits, rest = F.lit(0), text
-    for term in many:
+    for term in _several(terms):
         pattern = rf"(?i){BEGIN}\Q{term}\E{END}"
         hits = hits + F.regexp_count(rest, F.lit(pattern))
         rest = F.regexp_replace(rest, pattern, "\u0001" * 3)
-    singles = [t for t in terms if t not in many]
+    singles = [t for t in terms if not re.search(r"\W", t)]
     words = F.transform(F.regexp_extract_all(rest, F.lit(rf"({WORD}+)"), 1), F.lower)
-    known = F.array(*[F.lit(t) for t in singles]).cast("array<string>")
-    spared = F.array(*[F.lit(w.lower()) for w in protected]).cast("array<string>")
-    return F.struct(
-        mapped(text, terms).alias("text"),
-        (hits + F.size(F.filter(words, lambda w: F.array_contains(known, w)))).cast("int").alias("mapped"),
-        F.size(F.filter(words, lambda w: ~F.array_contains(known, w) & ~F.array_contains(spared, w))).cast("int").alias("unaccounted"),
-    )
+    single = bound(words, lambda ws: bound(_hits(ws, singles), lambda keys: F.when(F.size(keys) > 0, F.size(F.filter(ws, lambda w: F.array_contains(keys, w)))).otherwise(0)))
+    return F.struct(mapped(text, terms).alias("text"), (hits + single).cast("int").alias("mapped"))
 
 
 def has_devanagari(text: Column) -> Column:
     return F.coalesce(text.rlike("[\\u0900-\\u097F]"), F.lit(False))
 
 
-def cleaned(raw: Column, lexicon: Mapping[str, str], protected: Iterable[str] = ()) -> Column:
-    """``struct<cleaned_text, language_detected, normalization_confidence, degraded, notes>``.
-
-    Blank or null gives an empty English text with confidence 1. Devanagari stays as it is, with
-    confidence 0. Confidence is the share of words accounted for; under 0.5 the raw text stays.
-    """
-
-    def row(text, language, sure, degraded, notes):
-        return F.struct(text.alias("cleaned_text"), language.alias("language_detected"), sure.cast("double").alias("normalization_confidence"), degraded.alias("degraded"), notes.alias("notes"))
-
-    def judged(c: Column) -> Column:
-        total = c["mapped"] + c["unaccounted"]
-        confidence = F.when(total == 0, 1.0).otherwise(F.bround(c["mapped"] / total, 3))
-        mixed = c["mapped"] > 0
-        poor = mixed & (confidence < fixed.CONFIDENCE_FLOOR)
-        return row(F.when(poor, raw).otherwise(c["text"]), F.when(mixed, "hi-en").otherwise("en"), F.when(mixed, confidence).otherwise(1.0), poor, F.when(poor, "too few words known").otherwise(""))
-
-    return (
-        F.when(raw.isNull() | (F.trim(F.regexp_replace(raw, "\\s", " ")) == ""), row(F.lit(""), F.lit("en"), F.lit(1.0), F.lit(False), F.lit("empty")))
-        .when(has_devanagari(raw), row(raw, F.lit("hi"), F.lit(0.0), F.lit(True), F.lit("devanagari left as written")))
-        .otherwise(bound(expand_acronyms(raw), lambda t: bound(lexicon_counts(t, lexicon, protected), judged)))
-    )
-
-
 def redacted(text: Column) -> Column:
     """Names after a title, and capitalised words inside a sentence that aren't known otherwise."""
     titled = F.regexp_replace(text, rf"\b((?:{'|'.join(fixed.HONORIFICS)})\.?)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", "$1 [REDACTED]")

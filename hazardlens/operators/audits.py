@@ -16,8 +16,8 @@ def _parts(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [long(part, df) for part, df in frames.items()])
 
 
-def stored_shape(reports: DataFrame, classifications: DataFrame, tags: DataFrame, spans: DataFrame) -> DataFrame:
-    """What an ingest stored: verdicts, statuses, languages, tags, tagged and untagged reports, spans."""
+def stored_shape(reports: DataFrame, classifications: DataFrame, tags: DataFrame, spans: DataFrame, density: DataFrame | None = None) -> DataFrame:
+    """What an ingest stored: verdicts, statuses, languages, tags, tagged and untagged reports, spans, and how many scores a density table holds."""
     tagged = reports.select("report_id").join(tags.select("report_id").distinct().withColumn("t", F.lit("tagged")), "report_id", "left")
     return _parts(
         {
@@ -27,6 +27,7 @@ def stored_shape(reports: DataFrame, classifications: DataFrame, tags: DataFrame
             "tags": tags.agg(F.lit("tags"), F.count("*")),
             "tagging": tagged.groupBy(F.coalesce("t", F.lit("untagged"))).count(),
             "spans": spans.agg(F.lit("spans"), F.count("*")),
+            **({} if density is None else {"density": density.agg(F.lit("distinct rank scores"), F.countDistinct("rank_score"))}),
         }
     )
 

@@ -59,17 +59,28 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float], confidence: str
     return rows.withColumn("auto_accuracy", F.when(F.col("auto_published") > 0, F.col("right") / F.col("auto_published"))).drop("right")
 
 
-def per_rule(decisions: DataFrame, min_support: int = 3) -> DataFrame:
-    """Per rule of ``decisions(rule_name, truth, predicted)``: support, counts, P, R, F1 and how far to trust them."""
+def per_rule(decisions: DataFrame, min_support: int = 3, training: DataFrame | None = None) -> DataFrame:
+    """All rules of ``decisions(rule_name, truth, predicted)``: support, counts, P, R, F1 and how far to trust them.
+
+    Rules without any decision have zeros. With ``training(rule_name, truth)``, ``train_support`` is
+    the number of its positives.
+    """
     c = decisions.groupBy("rule_name").agg(F.count_if("truth").alias("support"), F.count_if(F.col("truth") & F.col("predicted")).alias("tp"), F.count_if(~F.col("truth") & F.col("predicted")).alias("fp"), F.count_if(F.col("truth") & ~F.col("predicted")).alias("fn"))
+    names = decisions.sparkSession.createDataFrame([(r,) for r in fixed.RULES], "rule_name string")
+    c = names.join(F.broadcast(c), "rule_name", "left").na.fill(0)
+    if training is not None:
+        held = training.groupBy("rule_name").agg(F.count_if("truth").alias("train_support"))
+        c = c.join(F.broadcast(held), "rule_name", "left").na.fill(0, ["train_support"])
     state = F.when(F.col("support") == 0, "not computable").when(F.col("support") < min_support, "low support").otherwise("reported")
     return c.withColumns(f1(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("status", state)
 
 
 def macro_f1(table: DataFrame, min_support: int = 1) -> DataFrame:
-    """Mean F1 over rules with support, 0 if there is none; pooled micro F1 beside it."""
+    """Mean F1 over rules with support (0 if there is none), their names in display order; pooled micro F1 beside it."""
     enough = F.col("support") >= min_support
-    c = table.agg(F.coalesce(F.avg(F.when(enough, F.col("f1"))), F.lit(0.0)).alias("macro_f1"), F.count_if(enough).alias("covered"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    place = F.array_position(F.array(*[F.lit(r) for r in fixed.RULES]), F.col("rule_name"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(enough, F.struct(place.alias("p"), "rule_name")))), lambda x: x["rule_name"])
+    c = table.agg(F.coalesce(F.avg(F.when(enough, F.col("f1"))), F.lit(0.0)).alias("macro_f1"), F.count_if(enough).alias("covered"), names.alias("covered_rules"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     return c.withColumn("micro_f1", stats.zero_safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).drop("tp", "fp", "fn")
 
 
@@ -139,22 +150,27 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
 
 def stop_words(spans: DataFrame, least: int = fixed.MIN_VOCABULARY_COUNT) -> DataFrame:
     """Words that follow activity spans more often than they stand inside: ``spans(entity_text, following)``."""
-    inside = spans.select(F.explode(F.slice(text.words(F.col("entity_text")), 2, 100_000)).alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
+    inside = spans.select(F.explode(text.bound(text.words(F.col("entity_text")), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))))).alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
     after = spans.select(F.try_element_at(text.words(F.substring("following", 1, 24)), F.lit(1)).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("after"))
     both = after.join(inside, "word", "left").na.fill(0, ["inside"])
     return both.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("after") > F.col("inside")) & (F.col("after") >= least))
 
 
 def gazetteer(spans: DataFrame, least: int = fixed.MIN_VOCABULARY_COUNT) -> DataFrame:
-    """Mined terms ``(kind, term, n)``: equipment heads and modifiers, location heads, activity verbs, controls."""
+    """Mined terms ``(kind, term, n)``: equipment heads and modifiers, location heads, activity verbs,
+    controls that were missing, and phrases of absence that end a span."""
     w = spans.withColumn("w", text.words(F.col("entity_text"))).where(F.size("w") > 0)
     last, first = F.element_at("w", -1), F.element_at("w", 1)
     one = lambda kind, typ, term: w.where(F.col("entity_type") == typ).select(F.lit(kind).alias("kind"), term.alias("term"))
     rows = one("equipment_head", "equipment", last).union(one("location_head", "location", last)).union(one("activity_verb", "activity", first))
     rows = rows.union(w.where("entity_type = 'equipment'").select(F.lit("equipment_modifier"), F.explode(F.slice("w", F.lit(1), F.size("w") - 1))))
     control = F.regexp_extract_all(F.lower("entity_text"), F.lit(text.BEGIN + r"(?:no|not|without|missing|koi)\s+([\p{L}\p{N}_'\-]+(?:\s+[\p{L}\p{N}_'\-]+)?)"), 1)
-    rows = rows.union(spans.where("entity_type = 'barrier_failure'").select(F.lit("barrier_control"), F.explode(control)))
-    return rows.groupBy("kind", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    barriers = spans.where("entity_type = 'barrier_failure'")
+    rows = rows.union(barriers.select(F.lit("barrier_control"), F.explode(F.transform(control, lambda c: F.regexp_replace(c, r"\s+", " ")))))
+    said = F.filter(F.array(*[F.lit(p) for p in fixed.ABSENCE_PHRASES]), lambda p: F.contains(F.lower("entity_text"), p))
+    counts = rows.groupBy("kind", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # a phrase counts from its first use on
+    return counts.union(barriers.select(F.lit("absence_phrase").alias("kind"), F.explode(said).alias("term")).groupBy("kind", "term").agg(F.count("*").alias("n")))
 
 
 def barrier_ceiling(spans: DataFrame) -> DataFrame:

@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, stats, text
+from .ranks import ranked_within
 
 
 def label_rule(rows: DataFrame, event: str = "event_title", nature: str = "nature_title") -> DataFrame:
     """Hits of the four tests, their union and the hit string, from the two titles alone."""
-    e, n = text.normalized_title(F.col(event)), text.normalized_title(F.col(nature))
-    a1 = text.contains_any(e, fixed.FALL) & ~e.contains(fixed.LOW_FALL)
-    flags = {"a1": a1, "a2": text.contains_any(e, fixed.HIGH_ENERGY), "a3": text.contains_any(e, fixed.BARRIER), "b": text.contains_any(n, fixed.LETHAL_NATURE)}
-    out = rows.withColumns(flags)
+
+    def of_event(e: Column) -> Column:
+        a1 = text.contains_any(e, fixed.FALL) & ~e.contains(fixed.LOW_FALL)
+        return F.struct(a1.alias("a1"), text.contains_any(e, fixed.HIGH_ENERGY).alias("a2"), text.contains_any(e, fixed.BARRIER).alias("a3"))
+
+    # each title is normalised once a row
+    nature_hit = text.bound(text.normalized_title(F.col(nature)), lambda n: text.contains_any(n, fixed.LETHAL_NATURE))
+    out = rows.select("*", text.bound(text.normalized_title(F.col(event)), of_event).alias("_event"), nature_hit.alias("b"))
+    flags = ("a1", "a2", "a3", "b")
+    out = out.select(*rows.columns, "_event.a1", "_event.a2", "_event.a3", "b")
     hits = F.concat_ws(",", *[F.when(F.col(k), F.lit(k.upper())) for k in flags])
     return out.withColumn("sif_potential", F.col("a1") | F.col("a2") | F.col("a3") | F.col("b")).withColumn("rule_hits", hits)
 
@@ -41,9 +48,15 @@ def contributions(labelled: DataFrame) -> DataFrame:
 
 
 def title_inventory(rows: DataFrame, title: str) -> DataFrame:
-    """Per normalised title: rows and the raw titles that fall together in it."""
+    """Per normalised title: rows, and how many and which raw titles fall together in it."""
     pairs = rows.groupBy(text.normalized_title(F.col(title)).alias("title"), F.col(title).alias("raw")).agg(F.count("*").alias("n"))
-    return pairs.groupBy("title").agg(F.sum("n").alias("n_rows"), F.count("raw").alias("raw_titles"))
+    return pairs.groupBy("title").agg(F.sum("n").alias("n_rows"), F.count("raw").alias("raw_titles"), F.sort_array(F.collect_set("raw")).alias("collapsed"))
+
+
+def top_negative_titles(labelled: DataFrame, title: str = "event_title", limit: int = 20) -> DataFrame:
+    """The commonest normalised titles of rows that no test calls serious."""
+    n = labelled.where("not sif_potential").groupBy(text.normalized_title(F.col(title)).alias("title")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "title").limit(limit)
 
 
 def code_collisions(rows: DataFrame, code: str, title: str, era: Column) -> DataFrame:
@@ -58,16 +71,42 @@ def era_stability(rows: DataFrame, era: Column, positive: Column) -> DataFrame:
 
 
 def balanced_sample(rows: DataFrame, label: str, count: int, *order: Column) -> DataFrame:
-    """``count // 2`` positives and the rest negatives (or all there are), first by ``order``."""
-    n = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return rows.withColumn("_n", n).where(F.col("_n") <= F.when(F.col(label), F.lit(count // 2)).otherwise(F.lit(count - count // 2))).drop("_n")
+    """``count // 2`` positives and the rest negatives (or all there are), first by ``order``; rows without a label stay out."""
+    placed = ranked_within(rows.where(F.col(label).isNotNull()), [label], list(order))
+    return placed.where(F.col("_rank") <= F.when(F.col(label), F.lit(count // 2)).otherwise(F.lit(count - count // 2))).drop("_rank")
 
 
-def split_by_stratum(rows: DataFrame, strata: list[str], share: float, *order: Column) -> DataFrame:
+def split_by_stratum(rows: DataFrame, strata: list[str], share: float, *order: Column, names: tuple[str, str] = ("test", "train")) -> DataFrame:
     """``fold`` is test for ``bround(share * n)`` rows of each stratum, first by ``order``, else train."""
-    w = Window.partitionBy(*strata)
-    n_test = F.bround(F.count("*").over(w) * F.lit(share)).cast("long")
-    return rows.withColumn("fold", F.when(F.row_number().over(w.orderBy(*order)) <= n_test, "test").otherwise("train"))
+    placed = ranked_within(rows, strata, list(order), size="_size")
+    n_test = F.bround(F.col("_size") * F.lit(share)).cast("long")
+    return placed.withColumn("fold", F.when(F.col("_rank") <= n_test, names[0]).otherwise(names[1])).drop("_rank", "_size")
+
+
+def validation_split(tagged: DataFrame, share: float, *order: Column, id_col: str = "report_id", tags: str = "tags") -> DataFrame:
+    """Training rows parted into validation and train by their rarest rule, so that rare rules stand in both."""
+    return split_by_stratum(rarest_rule(tagged, id_col, tags), ["stratum"], share, *order, names=("validation", "train"))
+
+
+def split_problems(rows: DataFrame, train: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """``(problem, key)`` of a split: ids in both folds, in neither, or in a fold only."""
+    ids, a, b = (df.select(key).distinct() for df in (rows, train, test))
+    name = lambda df, problem: df.select(F.lit(problem).alias("problem"), key)
+    folds = a.union(b).distinct()
+    return name(a.join(b, key, "left_semi"), "in both folds").union(name(ids.join(folds, key, "left_anti"), "in no fold")).union(name(folds.join(ids, key, "left_anti"), "not in the input"))
+
+
+def appended(corpus: DataFrame, more: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(corpus with the new rows, rows refused because their id is there already or comes twice)."""
+    once = more.groupBy(key).agg(F.count("*").alias("_k")).where("_k = 1").select(key).join(corpus.select(key), key, "left_anti")
+    return corpus.unionByName(more.join(once, key, "left_semi")), more.join(once, key, "left_anti")
+
+
+def top_up(rows: DataFrame, body: str, signals: dict[str, str], each: int, *order: Column) -> DataFrame:
+    """For every rule of ``signals(rule, pattern)``, ``each`` rows whose text shows it, first by ``order``."""
+    shown = F.array_compact(F.array(*[F.when(F.col(body).rlike(p), F.lit(r)) for r, p in signals.items()]))
+    hits = rows.withColumn("wanted_rule", F.explode(shown))
+    return ranked_within(hits, ["wanted_rule"], list(order)).where(F.col("_rank") <= each).drop("_rank")
 
 
 def noise_tiers(rows: DataFrame, key: Column, id_col: str, shares: tuple[float, float] = (0.6, 0.3), buckets: int = 64) -> DataFrame:

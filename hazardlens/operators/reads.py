@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, stats, text
+from .ranks import ranked_within
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -122,7 +123,7 @@ def report_detail(reports: DataFrame, sites: DataFrame, classifications: DataFra
 
 def kpis(density: DataFrame, queue_size: DataFrame, rule_counts: DataFrame, cap: int = 200) -> DataFrame:
     """Totals over a density table, its first group, rules seen and the queue's size up to its cap."""
-    top = F.max_by("group_name", F.struct("rank_score", "total"))
+    top = F.min_by("group_name", F.struct((-F.col("rank_score")).alias("s"), (-F.col("total")).alias("t"), "group_name"))
     totals = density.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total_reports"), F.coalesce(F.sum("positives"), F.lit(0)).alias("sif_reports"), top.alias("top_site"))
     seen = rule_counts.agg(F.count_if(F.col("report_count") > 0).alias("rules_seen"))
     queue = queue_size.limit(cap).agg(F.count("*").alias("queue"), (F.count("*") >= cap).alias("queue_capped"))
@@ -182,5 +183,15 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.select(key, "side").union(right.select(key, "side"))
 
 
-def numbered(df: DataFrame, *order: Column) -> Column:
-    return F.row_number().over(Window.orderBy(*order))
+def with_positions(groups: DataFrame) -> DataFrame:
+    """Density groups with their place in rank order, from 1; one row a group, as many as there are sites.
+
+    Groups are ranged by score, so no task ranks them all.
+    """
+    return ranked_within(groups, [], [-F.col("rank_score"), -F.col("total"), F.col("group_name")], "position")
+
+
+def resorted(groups: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Groups by a column of the reader's choice, a missing value as the empty string, ties by name."""
+    key = F.coalesce(F.col(column), F.lit("")) if groups.schema[column].dataType.typeName() == "string" else F.col(column)
+    return groups.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), "group_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -13,8 +13,10 @@ from ..functions import fixed
 
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
     """``(id, first_id)`` of every row whose text came earlier; null texts repeat nothing."""
-    first = F.first(id_col).over(Window.partitionBy(F.xxhash64(body), body).orderBy(order, id_col))
-    return rows.where(F.col(body).isNotNull()).select(F.col(id_col), first.alias("first_id")).where(F.col(id_col) != F.col("first_id"))
+    texts = rows.where(F.col(body).isNotNull()).select(F.col(id_col), F.sha2(F.col(body), 256).alias("_text"), F.struct(F.col(order).alias("o"), F.col(id_col).alias("id")).alias("_at"))
+    # minima are taken before the shuffle, and no text is shuffled, so a group may hold most of the rows
+    first = texts.groupBy("_text").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return texts.join(first, "_text").select(id_col, F.col("_first.id").alias("first_id")).where(F.col(id_col) != F.col("first_id"))
 
 
 def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:

@@ -1,5 +1,5 @@
 """Package folder."""
 
-from . import audits, registry
+from . import audits, registry, upkeep
 
-__all__ = ["audits", "registry"]
+__all__ = ["audits", "registry", "upkeep"]

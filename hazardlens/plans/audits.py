@@ -169,10 +169,11 @@ def control_coverage(t: Tables) -> DataFrame:
     return evaluate.control_coverage(t.documents.withColumn("has", F.col("doc_id") % 3 == 0), "text", "has")
 
 
-@query()
+@query(f"with o as (select count(*) filter (doc_id % 3 = 0) a, count(*) filter (doc_id % 3 <> 0 and doc_id % 4 = 0) b from documents where text is not null) select unnest(['was not', 'guarded', 'bina', 'isolation', 'permit']) term, unnest([a, a, b, b, b]) n from o where not exists (select 1 from documents where regexp_matches(text, {_CONTROL}))")
 def control_census(t: Tables) -> DataFrame:
-    """How often each control term is said in all documents."""
-    return t.documents.select(F.explode(text.control_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """How often each control term is said in all documents, most of them with a remark on a control added."""
+    remark = F.when(F.col("doc_id") % 3 == 0, " was not guarded").when(F.col("doc_id") % 4 == 0, " bina isolation permit").otherwise("")
+    return t.documents.select(F.explode(text.control_terms(F.concat("text", remark))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("select count(*) gold, count(*) filter (regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(" + "|".join(fixed.ABSENCE_WORDS) + ")([^\\pL\\pN_]|$)')) reachable from conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, spans, stats, text
-from ..operators import evaluate, extract, labels, reads, repeats, spelling
+from ..operators import cleaning, evaluate, extract, labels, reads, repeats, spelling
 from .views import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,10 +157,10 @@ def matching_children(t: Tables) -> DataFrame:
 _EVENTS = ["ring", "bolt", "gear"]
 
 
-@query("with " + "e as (select doc_id, " + _norm("text") + " x from documents) select doc_id, regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b from e")
+@query("with " + "e as (select doc_id, " + _norm("text") + " x from documents) select doc_id, regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b, concat_ws(',', case when a1 then 'A1' end, case when a2 then 'A2' end, case when a3 then 'A3' end, case when b then 'B' end) rule_hits from e")
 def label_rule(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.col("text").alias("event_title"), F.col("text").alias("nature_title"))
-    return labels.label_rule(rows).select("doc_id", "a1", "a2", "a3", "b")
+    return labels.label_rule(rows).select("doc_id", "a1", "a2", "a3", "b", "rule_hits")
 
 
 @query("with e as (select " + _norm("text") + " x from documents), f as (select regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b from e) select count(*) frame, count(*) filter (a1 or a2 or a3 or b) positive, count(*) filter (a1) a1, count(*) filter (a2) a2, count(*) filter (a3 and not a1 and not a2) a3_new, count(*) filter (a1 or a2 or a3) a_total, count(*) filter (b) b_total, count(*) filter (b and not (a1 or a2 or a3)) b_new from f")
@@ -168,9 +168,9 @@ def rule_contribution(t: Tables) -> DataFrame:
     return labels.contributions(labels.label_rule(t.documents.select(F.col("text").alias("event_title"), F.col("text").alias("nature_title"))))
 
 
-@query("select " + _norm("p_name") + " title, count(*) n_rows, count(distinct p_name) raw_titles from part group by 1")
+@query("select " + _norm("p_name") + " title, count(*) n_rows, count(distinct p_name) raw_titles, array_to_string(list_sort(list(distinct p_name)), '|') as collapsed from part group by 1")
 def title_inventory(t: Tables) -> DataFrame:
-    return labels.title_inventory(t.part, "p_name")
+    return labels.title_inventory(t.part, "p_name").withColumn("collapsed", F.array_join("collapsed", "|"))
 
 
 @query("with s as (select o_custkey code, list_sort(list_distinct(list(o_orderpriority) filter (year(o_orderdate) < 1998))) b, list_sort(list_distinct(list(o_orderpriority) filter (year(o_orderdate) >= 1998))) a from orders group by 1) select code, array_to_string(b, '|') titles_before, array_to_string(a, '|') titles_after from s where len(b) > 0 and len(a) > 0 and b <> a")
@@ -212,7 +212,11 @@ def rarest_rule(t: Tables) -> DataFrame:
     return labels.rarest_rule(tagged).select("report_id", "stratum")
 
 
-@query()
+#: CRC-32 of the digits of doc_id: a table of 256 steps, then one look-up a byte.
+_CRC_STEPS = "".join(f", t{k} as (select b, xor(c >> 1, 3988292384 * (c & 1)) c from t{k - 1})" for k in range(1, 9))
+
+
+@query(f"with t0 as (select b, b c from (select unnest(range(0, 256)) b)){_CRC_STEPS}, crc as (select list(c order by b) t from t8) select doc_id, cast(xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295::bigint) % 8 as bigint) site from documents, crc")
 def site_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", stats.hash_bucket(F.col("doc_id"), 8).alias("site"))
 
@@ -236,15 +240,40 @@ def control_language(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.names_control(F.col("text")).alias("names_control"))
 
 
-@query()
+def _sql_map(terms: dict[str, str]) -> str:
+    return "map([" + ", ".join(f"'{k}'" for k in terms) + "], [" + ", ".join("'" + v.replace("'", "''") + "'" for v in terms.values()) + "])"
+
+
+def _sql_mapped(body: str, terms: dict[str, str]) -> str:
+    """SQL of whole words replaced by ``terms``; those of several words stand first."""
+    for term in sorted((k for k in terms if " " in k), key=len, reverse=True):
+        body = f"regexp_replace({body}, '(?i)(^|[^\\pL\\pN_]){term}([^\\pL\\pN_]|$)', '\\1{terms[term]}\\2', 'g')"
+    single = {k: v for k, v in terms.items() if " " not in k}
+    return f"array_to_string(list_transform(regexp_extract_all({body}, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), lambda p: coalesce({_sql_map(single)}[lower(p)], p)), '')"
+
+
+@query(f"select doc_id, {_sql_mapped('text', fixed.ACRONYMS)} expanded from documents")
 def acronym_expand(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.expand_acronyms(F.col("text")).alias("expanded"))
 
 
-@query()
+#: A lexicon for texts in French, Spanish and German, as that of Roman Hindi is a parameter.
+_LEXICON = {"los": "the", "die": "the", "del": "of", "que": "that", "la": "the", "und": "and"}
+_SPARED = sorted(set(fixed.DOMAIN_WORDS) | set(_LEXICON) | {w for v in _LEXICON.values() for w in v.split()} | set(fixed.ACRONYMS) | {w for v in fixed.ACRONYMS.values() for w in v.split()} | {"dg", "set"})
+
+
+@query(
+    f"with stems as (select regexp_replace(lower(unnest(regexp_extract_all(text, '[\\pL\\pN_'']+'))), chr(39) || 's$', '') word from documents), known as (select word from stems group by 1 having length(word) >= 4 or count(*) >= 40 union select unnest([{', '.join(repr(w) for w in _SPARED)}])), "
+    f"ex as (select doc_id, text raw, {_sql_mapped('text', fixed.ACRONYMS)} e from documents), m as (select doc_id, raw, {_sql_mapped('e', _LEXICON)} n, len(list_filter(regexp_extract_all(lower(e), '[\\pL\\pN_]+'), lambda w: list_contains([{', '.join(repr(w) for w in _LEXICON)}], w))) mapped from ex), "
+    "u as (select doc_id, count(*) unknown from (select doc_id, lower(unnest(regexp_extract_all(n, '[a-zA-Z]+(?:''[a-zA-Z]+)*'))) word from m) where word not in (select word from known) group by 1), "
+    "j as (select m.*, coalesce(unknown, 0) unknown, case when mapped + coalesce(unknown, 0) = 0 then 1.0::double else mapped::double / (mapped + coalesce(unknown, 0)) end share, raw is null or trim(regexp_replace(raw, '\\s', ' ', 'g')) = '' blank from m left join u using (doc_id)) "
+    "select doc_id, case when blank then '' when share < 0.5 then raw else n end cleaned_text, case when blank then 'en' when mapped > 0 then 'hi-en' else 'en' end language_detected, case when blank then 1.0::double else share end confidence, not blank and share < 0.5 degraded from j"
+)
 def clean_reports(t: Tables) -> DataFrame:
-    lexicon = {"los": "the", "die": "the", "del": "of"}
-    return t.documents.select("doc_id", text.cleaned(F.col("text"), lexicon).alias("c")).select("doc_id", "c.*")
+    """Whole documents cleaned; the dictionary holds every word that is long enough for the repair of spelling, and common short ones."""
+    stems = spelling.tokens(t.documents.where("text is not null"), "doc_id", "text").where(F.col("piece").rlike(r"^[\p{L}\p{N}_']"))
+    known = stems.groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
+    return cleaning.clean_reports(t.documents, "doc_id", "text", known, _LEXICON, digits=None).select("doc_id", "cleaned_text", "language_detected", F.col("normalization_confidence").alias("confidence"), "degraded")
 
 
 @query()
@@ -258,9 +287,10 @@ def word_census(t: Tables) -> DataFrame:
     return rows.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-@query("with w as (select distinct lower(split_part(p_name, ' ', 2)) word from part), d as (select distinct lower(split_part(p_name, ' ', 1)) candidate from part) select word, candidate from w, d where length(word) >= 4 and word not in (select candidate from d) and damerau_levenshtein(word, candidate) = 1")
+@query("with w as (select distinct left(x, 2) || substr(x, 4) word from (select lower(split_part(p_name, ' ', 1)) x from part)), d as (select distinct lower(split_part(p_name, ' ', 1)) candidate from part) select word, candidate from w, d where length(word) >= 4 and word not in (select candidate from d) and damerau_levenshtein(word, candidate) = 1")
 def spelling_candidates(t: Tables) -> DataFrame:
-    words = t.part.select(F.lower(F.split("p_name", " ")[1]).alias("word"))
+    first = F.lower(F.split("p_name", " ")[0])
+    words = t.part.select(F.concat(F.substring(first, 1, 2), F.substring(first, 4, 1000)).alias("word"))  # a letter is left out
     known = t.part.groupBy(F.lower(F.split("p_name", " ")[0]).alias("word")).agg(F.count("*").alias("freq"))
     return spelling.candidates(words.where("word is not null"), known).select("word", "candidate")
 
@@ -284,15 +314,26 @@ def span_resolve(t: Tables) -> DataFrame:
     return _listed(t).select("report_id", F.explode(spans.resolved(F.col("spans"))).alias("s")).select("report_id", "s.*")
 
 
-@query()
+_SEGMENTS = (
+    "o as (select doc_id, text, case when g_s < p_s or (g_s = p_s and g_e >= p_e) then [g_s, g_e, p_s, p_e] else [p_s, p_e, g_s, g_e] end x, case when g_s < p_s or (g_s = p_s and g_e >= p_e) then ['location', 'activity'] else ['activity', 'location'] end n from sp), "
+    "k as (select doc_id, text, case when x[3] >= x[2] then [{'a': 0, 'b': x[1], 't': null}, {'a': x[1], 'b': x[2], 't': n[1]}, {'a': x[2], 'b': x[3], 't': null}, {'a': x[3], 'b': x[4], 't': n[2]}, {'a': x[4], 'b': length(text), 't': null}] else [{'a': 0, 'b': x[1], 't': null}, {'a': x[1], 'b': x[2], 't': n[1]}, {'a': x[2], 'b': length(text), 't': null}] end s from o), "
+    "f as (select doc_id, text, list_filter(s, lambda e: e.b > e.a) s from k), e as (select doc_id, text, unnest(s) s, unnest(range(0, len(s)))::int place from f)"
+)
+
+
+@query(f"with {_SPANS}, {_SEGMENTS} select doc_id report_id, place, substr(text, s.a + 1, s.b - s.a) as text, s.t as entity_type from e")
 def segments(t: Tables) -> DataFrame:
     return _listed(t).select("report_id", F.posexplode(spans.segments(F.col("text"), F.col("spans"))).alias("place", "s")).select("report_id", "place", "s.text", "s.entity_type")
 
 
-@query()
+@query(f"with {_SPANS}, x as (select doc_id, concat_ws(',', case when doc_id % 4 = 1 then 'negative' end, case when doc_id % 4 = 2 then 'out of range' end, case when doc_id % 4 <> 0 then 'text differs' end, case when doc_id % 4 = 3 then 'unknown type' end, case when case when doc_id % 4 = 1 then -5 else g_s end < p_e and p_s < case when doc_id % 4 = 2 then length(text) + 9 else g_e end then 'overlap' end) broken from sp) select doc_id report_id, broken from x where broken <> ''")
 def span_violations(t: Tables) -> DataFrame:
-    rows = _listed(t).withColumn("broken", spans.violations(F.col("text"), spans.resolved(F.col("spans"))))
-    return rows.where(F.size("broken") > 0).select("report_id", "broken")
+    """Spans of all documents, three in four of them with a fault put in, and the invariants they break."""
+    k = F.col("report_id") % 4
+    faulty = lambda s: F.struct(F.when(k == 3, "weather").otherwise(s["entity_type"]).alias("entity_type"), F.when(k > 0, "other text").otherwise(s["entity_text"]).alias("entity_text"), F.when(k == 1, -5).otherwise(s["span_start"]).alias("span_start"), F.when(k == 2, F.length("text") + 9).otherwise(s["span_end"]).alias("span_end"))
+    listed = _listed(t).withColumn("spans", F.transform(F.col("spans").cast(spans.SPANS), lambda s: F.when(s["entity_type"] == "location", faulty(s).cast(spans.SPANS[6:-1])).otherwise(s)))
+    rows = listed.withColumn("broken", F.array_join(spans.violations(F.col("text"), F.col("spans")), ","))
+    return rows.where("broken <> ''").select("report_id", "broken")
 
 
 @query(f"with {_SPANS}, c as (select count(*) gold, count(*) predicted, count(*) filter (g_s = p_s and g_e = p_e) exact, count(*) filter (p_s < g_e and g_s < p_e) as overlap from sp) select 'activity' entity_type, *, {_sql_f1('exact')}, {_sql_f1('overlap')} from c where gold > 0")
@@ -305,12 +346,12 @@ def overlap_pairs(t: Tables) -> DataFrame:
     return evaluate.overlap_pairs(_all_spans(t))
 
 
-@query()
+@query(f"with {_SPANS}, i as (select word, count(*) inside from (select unnest(regexp_extract_all(lower(substr(text, g_s + 1, g_e - g_s)), '[\\pL\\pN_''\\-]+')[2:]) word from sp) group by 1), a as (select word, count(*) as after from (select regexp_extract(lower(substr(text, g_e + 1, 24)), '[\\pL\\pN_''\\-]+') word from sp) where word <> '' group by 1) select word, after, coalesce(inside, 0) inside from a left join i using (word) where regexp_matches(word, '^\\pL+$') and after > coalesce(inside, 0) and after >= 2")
 def activity_stop(t: Tables) -> DataFrame:
     gold, _ = t.word_spans()
     rows = gold.join(t.documents.select(F.col("doc_id").alias("report_id"), "text"), "report_id")
     part = rows.select(F.substr("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")).alias("entity_text"), F.substr("text", F.col("span_end") + 1, F.lit(24)).alias("following"))
-    return evaluate.stop_words(part)
+    return evaluate.stop_words(part).select("word", "after", "inside")
 
 
 @query("with w as (select string_split(lower(p_name), ' ') w from lineitem join part on l_partkey = p_partkey) select 'activity_verb' kind, w[1] term, count(*) n from w group by all having count(*) >= 2")
@@ -318,22 +359,35 @@ def gazetteer(t: Tables) -> DataFrame:
     return evaluate.gazetteer(t.order_spans())
 
 
+def _gold_of_four_types(t: Tables) -> DataFrame:
+    """Marked words of all documents of twelve words or more: an activity, equipment, a location, and what follows an absence word."""
+    word, gap = r"[\p{L}\p{N}_]++", r"[^\p{L}\p{N}_]++"
+    rows = t.documents.select(F.col("doc_id").alias("report_id"), "text").where(F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{12}}"))
+    part = lambda first, n: F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{{first - 1}}}{gap}({word}(?:{gap}{word}){{{n - 1}}})", 1)
+    barrier = F.regexp_extract("text", r"(?i)(?<![\p{L}\p{N}_])((?:no|not|without|missing|koi)\s+[\p{L}\p{N}_'\-]+)", 1)
+    found = F.array(*[F.struct(F.lit(k).alias("entity_type"), v.alias("entity_text")) for k, v in (("activity", part(3, 3)), ("equipment", part(6, 2)), ("location", part(9, 2)), ("barrier_failure", barrier))])
+    return rows.select("report_id", "text", F.explode(found).alias("s")).select("report_id", "text", "s.*").where("entity_text <> ''")
+
+
+def _vocabulary(t: Tables) -> DataFrame:
+    gold = _gold_of_four_types(t)
+    after = gold.where("entity_type = 'activity'").withColumn("following", F.substr("text", F.locate("entity_text", F.col("text")) + F.length("entity_text"), F.lit(24)))
+    return extract.vocabulary(evaluate.gazetteer(gold), evaluate.stop_words(after.select("entity_text", "following")))
+
+
 @query()
 def extract_spans(t: Tables) -> DataFrame:
-    """Spans of the mined activity vocabulary in all documents."""
-    mined = t.word_spans()[0].join(t.documents.select(F.col("doc_id").alias("report_id"), "text"), "report_id").withColumn("entity_text", F.substr("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")))
-    frequent = evaluate.gazetteer(mined.select("report_id", "entity_type", "entity_text")).where("n >= 20")
-    vocab = extract.vocabulary(frequent, mined.select(F.lit("").alias("word")).limit(0))
-    found = extract.extracted(t.documents.select("doc_id", "text"), "text", vocab)
-    return found.select("doc_id", F.size("spans").alias("n_spans"))
+    """Spans of all four types in all documents, by the whole vocabulary mined from them."""
+    found = extract.extracted(t.documents.select("doc_id", "text"), "doc_id", "text", _vocabulary(t))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 # -- model quality ------------------------------------------------------------------------------
 
 
-@query(f"with {_SCORES}, c as (select count(*) filter (p >= 0.5 and truth) tp, count(*) filter (p >= 0.5 and not truth) fp, count(*) filter (p < 0.5 and truth) fn, count(*) filter (p < 0.5 and not truth) tn from scores) select *, (tp + tn)::double / (tp + fp + fn + tn) accuracy, (tp + fp)::double / (tp + fp + fn + tn) positive_rate from c")
+@query(f"with {_SCORES}, c as (select count(*) filter (p >= 0.5 and truth) tp, count(*) filter (p >= 0.5 and not truth) fp, count(*) filter (p < 0.5 and truth) fn, count(*) filter (p < 0.5 and not truth) tn from scores) select *, (tp + tn)::double / (tp + fp + fn + tn) accuracy, (tp + fp)::double / (tp + fp + fn + tn) positive_rate, case when tp + fp > 0 then tp::double / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp::double / (tp + fn) else 0.0 end as recall, case when tp > 0 then 2 * (tp::double / (tp + fp)) * (tp::double / (tp + fn)) / (tp::double / (tp + fp) + tp::double / (tp + fn)) else 0.0 end f1 from c")
 def confusion(t: Tables) -> DataFrame:
-    return evaluate.confusion(t.scores()).select("tp", "fp", "fn", "tn", "accuracy", "positive_rate")
+    return evaluate.confusion(t.scores()).select("tp", "fp", "fn", "tn", "accuracy", "positive_rate", "precision", "recall", "f1")
 
 
 @query(f"with {_SCORES}, b as (select cast(ceil((confidence - 0.5) * 20) as bigint) b, count(*) n, cast(sum(correct::int) as bigint) hits from s2 where confidence > 0.5 group by 1) select b - 1 as bin, n, hits from b")
@@ -374,7 +428,7 @@ def per_rule(t: Tables) -> DataFrame:
 
 @query(f"with {_PER_RULE} select coalesce(avg(f1) filter (support >= 3), 0.0) macro_f1, count(*) filter (support >= 3) covered, case when sum(2 * tp + fp + fn) > 0 then 2.0::double * sum(tp) / sum(2 * tp + fp + fn) else 0.0 end micro_f1 from f")
 def macro_f1(t: Tables) -> DataFrame:
-    return evaluate.macro_f1(evaluate.per_rule(_decisions(t)), 3)
+    return evaluate.macro_f1(evaluate.per_rule(_decisions(t)), 3).drop("covered_rules")
 
 
 # -- resubmissions ------------------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions import fixed
+
 #: Columns of the incident CSV, in file order.
 INCIDENT_COLUMNS = [
     "ID", "UPA", "EventDate", "Employer", "Address1", "Address2", "City", "State", "Zip", "Latitude", "Longitude",
@@ -46,14 +49,21 @@ def read_incidents(spark: SparkSession, path: str, partitions: int | None = None
 
 
 def public(incidents: DataFrame) -> DataFrame:
+    """Only the columns that may leave the raw frame, those of them that are there; all others, known or not, go."""
     return incidents.select(*[F.col(f"`{c}`") for c in PUBLIC_COLUMNS if c in incidents.columns], *[c for c in ("seq",) if c in incidents.columns])
 
 
+def incident_date(value: Column) -> Column:
+    """Month, day and year with slashes as a date; null where it is none."""
+    return F.try_to_date(value, "MM/dd/yyyy")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS) -> tuple[DataFrame, DataFrame]:
     """(good rows, torn lines): blank lines are skipped, lines that don't parse are kept apart to be counted."""
-    rows = spark.read.schema(f"{schema}, _torn string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_torn").json(path)
-    rows = rows.cache()  # the torn column alone can't be read without the others
-    return rows.where("_torn is null").drop("_torn"), rows.where("_torn is not null").select("_torn")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r"))
+    torn = F.col("r").isNull() | F.col("r._torn").isNotNull()
+    return parsed.where(~torn).select("r.*").drop("_torn"), parsed.where(torn).select(F.col("value").alias("_torn"))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -61,21 +71,27 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def append(tables: dict[str, DataFrame], root: str) -> None:
+    """Add rows to each table; persist what they have in common first, as each is worked out by itself."""
     for name, df in tables.items():
         df.write.mode("append").parquet(f"{root}/{name}")
 
 
 def snapshot(df: DataFrame, root: str, name: str) -> str:
-    """Write a new snapshot and point the table at it; the one before stays as a backup."""
+    """Write a new snapshot, then add a pointer to it; the ones before stay as backups.
+
+    A pointer is one small file that is committed whole, so a reader sees the old table or the new one.
+    """
     spark = df.sparkSession
     path = f"{root}/{name}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}.current")
+    spark.createDataFrame([(time.time_ns(), path)], "at long, path string").coalesce(1).write.mode("append").json(f"{root}/{name}.current")
     return path
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/{name}.current").first().path)
+    """The newest snapshot."""
+    pointers = spark.read.schema("at long, path string").json(f"{root}/{name}.current")
+    return spark.read.parquet(pointers.orderBy(F.desc("at")).first().path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
@@ -85,3 +101,14 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def unfinished(wanted: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows still to be worked on: ids that the output doesn't hold."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")
+
+
+def published(vocab: DataFrame, root: str, name: str = "patterns") -> str:
+    """A mined vocabulary as the next snapshot of its table, one row a term."""
+    return snapshot(vocab.select("kind", "term"), root, name)
+
+
+def seeded_sites(sites: DataFrame) -> DataFrame:
+    """``sites(site_name, region)`` with the sites of the field that it doesn't have yet."""
+    seeds = sites.sparkSession.createDataFrame(fixed.SITES, "site_name string, region string")
+    return sites.select("site_name", "region").unionByName(seeds.join(sites.select("site_name"), "site_name", "left_anti"))

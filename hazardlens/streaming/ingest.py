@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.scoring import tables
+
 
 def without_resubmissions(reports: DataFrame, window: str = "1 day") -> DataFrame:
     """The first of equal texts of a site within the window; rows later than the watermark are dropped."""
@@ -15,12 +17,15 @@ def without_resubmissions(reports: DataFrame, window: str = "1 day") -> DataFram
     return keyed.dropDuplicatesWithinWatermark(["site_id", "text_hash"])
 
 
-def start_enrichment(reports: DataFrame, enrich: Callable[[DataFrame], dict[str, DataFrame]], root: str, checkpoint: str) -> StreamingQuery:
-    """Each batch overwrites its own partition of every table, so a replayed batch writes nothing twice."""
+def start_enrichment(reports: DataFrame, enriched: Callable[[DataFrame], DataFrame], root: str, checkpoint: str) -> StreamingQuery:
+    """Each batch overwrites its own partition of every table, so a replayed batch writes nothing twice.
+
+    What ``enriched`` gives is kept while its tables are written, so models run once a batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        for name, df in enrich(rows).items():
+        rows = enriched(batch).persist()
+        for name, df in tables(rows).items():
             df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
         rows.unpersist()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardlens.functions import fixed, spans, stats, text
-from hazardlens.operators import evaluate, extract, labels, reads, repeats, scoring, spelling
+from hazardlens.operators import cleaning, evaluate, extract, labels, ranks, reads, repeats, scoring, spelling
 from hazardlens.plans import registry
 from hazardlens.sources import files
 from hazardlens.streaming import ingest
@@ -59,20 +59,86 @@ def test_token_map_equals_sequential_replacement(spark):
 LEXICON = {"bina": "without", "nahi": "not", "kiya": "did", "gir gaya": "fell down", "gaya": "went"}
 
 
+ENGLISH = "the fitter was replacing a gasket on at worker had no rig men were lock off bolt equipment hospital".split()
+
+
+def plain_clean(raw, dictionary, lexicon):
+    """Cleaning of one text, step by step."""
+    if raw is None or not raw.strip():
+        return "", "en", 1.0, False
+    if re.search("[\u0900-\u097f]", raw):
+        return raw, "hi", 0.0, True
+
+    def replaced(t, terms):
+        n = 0
+        for k in sorted(terms, key=len, reverse=True):
+            t, i = re.subn(rf"(?<!\w){re.escape(k)}(?!\w)", terms[k], t, flags=re.I)
+            n += i
+        return t, n
+
+    known = {w.lower() for w in dictionary} | set(fixed.DOMAIN_WORDS) | {w for k in lexicon for w in k.split()} | set(fixed.ACRONYMS) | {w for v in fixed.ACRONYMS.values() for w in v.split()}
+    known |= {w for k in fixed.ACRONYMS for w in k.split()}
+
+    def edits(w):
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        cut = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in cut if b} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1} | {a + c + b[1:] for a, b in cut if b for c in letters} | {a + c + b for a, b in cut for c in letters}
+
+    def spelled(m):
+        w = m.group()
+        stem = re.sub("'s$", "", w.lower())
+        near = edits(stem) & known
+        if len(stem) < 4 or stem in known or not near or len(near) > 4 or not re.fullmatch(r"[^\W\d_]+(?:'[^\W\d_]+)*", stem):
+            return w
+        best = max(near, key=lambda c: (dictionary.get(c, 0), c))
+        if len(best) == len(stem) and sorted(best) != sorted(stem):
+            return w
+        return (best.capitalize() if w[0].isupper() else best) + ("'s" if w.lower().endswith("'s") else "")
+
+    t, _ = replaced(raw, fixed.ACRONYMS)
+    t = re.sub(r"[\w']+", spelled, t)
+    t, hits = replaced(t, lexicon)
+    unknown = sum(w.lower() not in known for w in re.findall(r"[a-zA-Z]+(?:'[a-zA-Z]+)*", t))
+    share = hits / (hits + unknown) if hits + unknown else 1.0
+    return (raw if share < 0.5 else t), ("hi-en" if hits else "en"), round(share, 3), share < 0.5
+
+
 def test_cleaning(spark):
-    def clean(raw):
-        return one(spark, text.cleaned(F.col("t"), LEXICON, ["lock", "off"]), t=raw)
+    rng = random.Random(5)
+    words = [*ENGLISH, *LEXICON, "PPE", "DG set", "Duliajan", "qwzx", "blorf", "equipmnt", "Hosptal's", "khalasi's", "the", "near", "gir", "x", "é"]
+    texts = [None, "", "  \n", "पाइप गिरा", "The fitter was replacing a gasket on the wellhead at Duliajan.", "bina lock off nahi kiya", "wo gir gaya", "the qwzx blorf snarf was near", "qwrtz plkjh zxcvb mnbvc lkjhg poiuy", "the men were on the rig"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    dictionary = {w: len(ENGLISH) - i for i, w in enumerate(ENGLISH)}
+    known = spark.createDataFrame(list(dictionary.items()), "word string, freq long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r for r in cleaning.clean_reports(rows, "id", "t", known, LEXICON).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.cleaned_text, r.language_detected, r.normalization_confidence, r.degraded) == plain_clean(t, dictionary, LEXICON), t
+    assert (got[7].degraded, got[7].cleaned_text, got[8].degraded, got[8].cleaned_text) == (False, texts[7], True, texts[8]) or got[7].degraded
+    assert got[4].cleaned_text == texts[4] and not got[4].degraded and got[4].normalization_confidence == 1.0
+
 
-    c = clean("bina lock off nahi kiya")
-    assert (c.cleaned_text, c.language_detected, c.normalization_confidence, c.degraded) == ("without lock off not did", "hi-en", 1.0, False)
-    assert clean("wo gir gaya").cleaned_text == "wo fell down"
-    assert clean("the men were on the rig").cleaned_text == "the men were on the rig"
-    c = clean("bina aaa bbb ccc PPE")
-    assert c.degraded and c.cleaned_text == "bina aaa bbb ccc PPE"
-    c = clean("पाइप गिरा")
-    assert (c.cleaned_text, c.language_detected, c.normalization_confidence) == ("पाइप गिरा", "hi", 0.0)
-    for blank in (None, "", "  \n"):
-        assert (clean(blank).cleaned_text, clean(blank).language_detected, clean(blank).normalization_confidence) == ("", "en", 1.0)
+def test_names_go_before_spans(spark):
+    rows = spark.createDataFrame([(1, "it was Ramesh Kumar again", "Mrs Das")], "id int, a string, b string")
+    r = cleaning.redact(rows, ["a", "b"]).first()
+    assert (r.a, r.b) == ("it was [REDACTED] again", "Mrs [REDACTED]")
+    with pytest.raises(ValueError):
+        cleaning.redact(rows.withColumn("spans", F.array()), ["a"])
+
+
+def plain_redacted(t):
+    t = re.sub(rf"\b((?:{'|'.join(fixed.HONORIFICS)})\.?)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", r"\1 [REDACTED]", t)
+    return re.sub(r"(?<=[a-z,]\s)([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\b", lambda m: m.group() if m.group().split()[0] in fixed.NOT_NAMES else "[REDACTED]", t)
+
+
+def test_redaction_equals_a_callback(spark):
+    rng = random.Random(8)
+    parts = ["Ramesh", "Anita", "Duliajan", "The", "Monday", "near", "well", "Mr.", "Dr", "Shri", "it", "was", "a", ",", ".", "PPE", "x,", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.redacted(F.col("t")).alias("x")).collect()
+    assert all(r.x == plain_redacted(r.t) for r in rows)
 
 
 @pytest.mark.parametrize(
@@ -199,15 +265,90 @@ def test_calibration_and_temperature(spark):
 
 def test_csv_and_json_lines(spark, tmp_path):
     head = ",".join(f'"{c}"' for c in files.INCIDENT_COLUMNS)
-    row = ["1", "", '""', '"NA"', '"a ""quoted"" b\\"'] + [""] * 11 + ['"line one\nline two"'] + [""] * 11
+    row = ["1", "", '"2/30/2020"', '"NA"', '"a ""quoted"" b\\"'] + [""] * 11 + ['"line one\nline two"'] + [""] * 11
     (tmp_path / "x.csv").write_text(head + "\n" + ",".join(row) + "\n")
-    r = files.read_incidents(spark, str(tmp_path / "x.csv")).first()
-    assert (r.ID, r.UPA, r.EventDate, r.Employer, r["Final Narrative"]) == ("1", None, None, "NA", "line one\nline two")
-    (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{"id": "b", \n{"id": "c"}\n')
+    rows = files.read_incidents(spark, str(tmp_path / "x.csv"))
+    r = rows.first()
+    assert (r.ID, r.UPA, r.Employer, r["Final Narrative"]) == ("1", None, "NA", "line one\nline two")
+    assert files.public(rows).columns == [*files.PUBLIC_COLUMNS, "seq"]
+    assert files.public(rows.drop("Nature").withColumn("Phone", F.lit("1"))).columns == [c for c in files.PUBLIC_COLUMNS if c != "Nature"] + ["seq"]
+    assert [str(one(spark, files.incident_date(F.col("t")), t=t)) for t in ("02/29/2020", "02/30/2020", "", None)] == ["2020-02-29", "None", "None", "None"]
+    (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{"id": "b", \n{"id": "c"}\n  \n')
     good, torn = files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "id string")
-    assert sorted(x.id for x in good.collect()) == ["a", "c"] and torn.count() == 1
+    assert sorted(x.id for x in good.collect()) == ["a", "c"] and [x._torn for x in torn.collect()] == ['{"id": "b", ']
     files.snapshot(good, str(tmp_path), "t")
-    assert files.current(spark, str(tmp_path), "t").count() == 2
+    files.snapshot(good.limit(1), str(tmp_path), "t")
+    assert files.current(spark, str(tmp_path), "t").count() == 1
+    sites = files.seeded_sites(spark.createDataFrame([("Moran", "elsewhere")], "site_name string, region string")).collect()
+    assert len(sites) == len(fixed.SITES) and ("Moran", "elsewhere") in map(tuple, sites)
+
+
+def test_ranks_and_folds(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b"]), rng.randrange(50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, s string, k int").repartition(5)
+    got = ranks.ranked_within(df, ["s"], [F.col("k"), F.col("id")], "place", "size").collect()
+    for s in (None, "a", "b"):
+        want = [i for k, i in sorted((k, i) for i, t, k in rows if t == s)]
+        assert [r.id for r in sorted((r for r in got if r.s == s), key=lambda r: r.place)] == want and {r.size for r in got if r.s == s} == {len(want)}
+    assert sorted(r.place for r in ranks.ranked_within(df, [], [F.col("k"), F.col("id")], "place").collect()) == list(range(1, 401))
+    train, test = df.where("id < 300"), df.where("id > 290 and id <> 399").select("id", "s", "k").union(spark.createDataFrame([(1000, "a", 1)], "id int, s string, k int"))
+    problems = {(r.problem, r.id) for r in labels.split_problems(df, train, test, "id").collect()}
+    assert problems == {("in both folds", i) for i in range(291, 300)} | {("in no fold", 399), ("not in the input", 1000)}
+    more = spark.createDataFrame([(399, "x", 1), (2000, "x", 1), (2001, "x", 1), (2001, "y", 1)], "id int, s string, k int")
+    corpus, refused = labels.appended(df, more, "id")
+    assert corpus.count() == 401 and sorted(r.id for r in refused.collect()) == [399, 2001, 2001]
+    sample = labels.balanced_sample(df.withColumn("y", F.col("s") == "a"), "y", 21, F.col("k"), F.col("id")).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in sample} == {True: 10, False: 11}
+
+
+def plain_spans(body, roles):
+    """All matches by regular expressions over the vocabulary, longest of those that nest."""
+    alt = lambda kind: "(?:" + "|".join(re.escape(t).replace("\\ ", r"\s+") for t in sorted((t for t, ks in roles.items() if kind in ks), key=len, reverse=True)) + ")"
+    end = r"(?![\w'\-])"
+    patterns = {
+        "equipment": rf"(?:{alt('equipment_modifier')}\s+){{0,2}}{alt('equipment_head')}",
+        "location": rf"(?:(?:{'|'.join(fixed.PREPOSITIONS)})\s+)?(?:(?:{'|'.join(fixed.ARTICLES)})\s+)?(?:[^\W\d_]+\s+){{0,3}}{alt('location_head')}",
+        "activity": rf"{alt('activity_verb')}(?:\s+(?!{alt('stop')}{end})[\w'\-]+){{0,12}}",
+        "barrier_failure": rf"(?:(?:{'|'.join(fixed.BARRIER_ANCHORS)})\s+{alt('barrier_control')}|(?:[^\W\d_]+\s+){{1,3}}{alt('absence_phrase')})",
+    }
+    found = set()
+    for kind, p in patterns.items():
+        for i in range(len(body)):
+            for j in range(i + 1, len(body) + 1):
+                if re.fullmatch(p, body[i:j], re.I) and not (i and re.match(r"[\w'\-]", body[i - 1])) and not re.match(r"[\w'\-]", body[j : j + 1]):
+                    found.add((kind, i, j))
+    return {(k, a, b) for k, a, b in found if not any(k == x and c <= a and b <= d and d - c > b - a for x, c, d in found)}
+
+
+def test_spans_of_all_types_against_regular_expressions(spark):
+    rng = random.Random(14)
+    vocab = [("equipment_head", "pump"), ("equipment_head", "pipe"), ("equipment_modifier", "steel"), ("equipment_modifier", "pipe"), ("location_head", "pit"), ("location_head", "deck"), ("activity_verb", "welding"), ("activity_verb", "lifting"), ("stop", "when"), ("stop", "near"), ("barrier_control", "guard"), ("barrier_control", "gas test"), ("absence_phrase", "nahi tha")]
+    pieces = ["pump", "Pipe", "steel", "pit", "deck", "welding", "lifting", "when", "near", "the", "a", "in", "no", "without", "guard", "gas", "test", "nahi", "tha", "4", "big-old", "x", ",", "é"]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 11)))) for i in range(40)] + [(40, ""), (41, None), (42, "NO GAS  TEST; koi\tguard nahi tha")]
+    table = spark.createDataFrame(vocab, "kind string, term string")
+    roles = {t: {k for k, x in vocab if x == t} for _, t in vocab}
+    got = extract.extracted(spark.createDataFrame(rows, "id int, t string"), "id", "t", table, flat=False).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert {(s.entity_type, s.span_start, s.span_end) for s in r.spans} == plain_spans(r.t or "", roles), r.t
+        assert all(r.t[s.span_start : s.span_end] == s.entity_text for s in r.spans)
+
+
+def test_resolving_many_spans_equals_the_expressions(spark):
+    rng, body = random.Random(15), "x" * 60
+    rows = [(i, body, [span(rng.choice(fixed.ENTITY_TYPES), a, a + rng.randrange(1, 12), body) for a in (rng.randrange(48) for _ in range(rng.randrange(12)))]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"id int, t string, spans {spans.SPANS}").select("spans", spans.resolved(F.col("spans")).alias("r"), spans.without_nested(F.array_distinct("spans")).alias("n"))
+    short = lambda found: [(s.entity_type, s.span_start, s.span_end) for s in found]
+    for r in df.collect():
+        assert extract._flat(short(r.spans)) == short(r.r)
+        assert sorted(extract._outer(short(r.spans))) == sorted(short(r.n))
+
+
+def test_mined_vocabulary(spark):
+    rows = [("equipment", "bench grinder"), ("equipment", "old bench grinder"), ("location", "on the deck"), ("location", "deck"), ("activity", "lifting a pipe"), ("activity", "Lifting"), ("activity", "once"), ("barrier_failure", "no fall  arrest here"), ("barrier_failure", "without fall arrest"), ("barrier_failure", "guard nahi tha")]
+    got = {(r.kind, r.term) for r in evaluate.gazetteer(spark.createDataFrame(rows, "entity_type string, entity_text string")).collect()}
+    assert got == {("equipment_head", "grinder"), ("equipment_modifier", "bench"), ("location_head", "deck"), ("activity_verb", "lifting"), ("barrier_control", "fall arrest"), ("absence_phrase", "nahi tha")}
 
 
 def test_enrichment_and_streams(spark, tmp_path):
@@ -215,16 +356,28 @@ def test_enrichment_and_streams(spark, tmp_path):
     texts = [("pipe fell near the pit " if i % 2 else "driver was speeding on the road ") + str(rng.randrange(99)) for i in range(40)]
     train = spark.createDataFrame([(t, float(i % 2), [fixed.RULES[5 if i % 2 else 2]]) for i, t in enumerate(texts)], "text string, label double, tags array<string>")
     risk, rules = scoring.fit_risk(train), scoring.fit_rules(train)
-    vocab = {"equipment_head": ["pipe"], "location_head": ["pit"]}
-    raw = spark.createDataFrame([(1, "s1", "pipe fell near the pit", "worker"), (2, "s1", "  ", "worker"), (3, "nowhere", "pipe fell", "worker"), (4, "s1", "pipe fell near the pit", "worker")], "report_id long, site_id string, raw_text string, reporter_role string").withColumn("submitted_at", F.lit("2024-01-01").cast("timestamp"))
+    vocab = spark.createDataFrame([("equipment_head", "pipe"), ("location_head", "pit")], "kind string, term string")
+    known = spark.createDataFrame([(w, 9) for w in "pipe fell near the pit driver was speeding on road".split()], "word string, freq long")
+    raw = spark.createDataFrame([(1, "s1", "pipe fell near the pit", "worker"), (2, "s1", "  ", "worker"), (3, "nowhere", "pipe fell", "worker"), (4, "s1", "pipe fell near the pit", "worker"), (5, "s1", "pipe fell on the road \x00", "worker")], "report_id int, site_id string, raw_text string, reporter_role string").withColumn("submitted_at", F.lit("2024-01-01").cast("timestamp"))
     sites = spark.createDataFrame([("s1",)], "site_id string")
-    enrich = lambda rows: scoring.enrich(rows, sites, risk, rules, vocab, LEXICON)
-    out = enrich(raw)
+
+    def outside(batch):
+        if any("road" in t for t in batch):
+            raise ValueError("no roads")
+        return [0.9] * len(batch)
+
+    rows = scoring.enriched(raw, sites, risk, rules, vocab, known, LEXICON, scoring.guarded(outside)).persist()
+    assert {r.report_id: (r.status, r.error, r.confidence) for r in rows.collect()} == {1: ("processed", None, 0.9), 2: (None, None, None), 3: (None, None, None), 4: ("processed", None, 0.9), 5: ("processing_failed", "ValueError: no roads", None)}
+    failed = scoring.tables(rows)
+    assert {r.report_id: r.status for r in failed["reports"].collect()}[5] == "processing_failed" and 5 not in {r.report_id for name in ("classifications", "tags", "precursors") for r in failed[name].collect()}
+    enrich = lambda df: scoring.enriched(df, sites, risk, rules, vocab, known, LEXICON)
+    out = scoring.tables(enrich(raw.where("report_id < 5")))
     assert {r.report_id: r.reject_reason for r in out["rejects"].collect()} == {2: "blank", 3: "unknown site"}
     assert all(r.sif_potential for r in out["classifications"].collect())
-    assert {(r.entity_type, r.entity_text) for r in out["precursors"].collect()} >= {("equipment", "pipe")}
+    assert {(r.entity_type, r.entity_text) for r in out["precursors"].collect()} == {("equipment", "pipe"), ("location", "fell near the pit")}
     assert {r.rule_name for r in out["tags"].collect()} >= {"Line of Fire"}
-    raw.write.parquet(str(tmp_path / "in"))
+    assert enrich(raw.drop("submitted_at").withColumn("submitted_at", F.lit(None).cast("timestamp"))).where("submitted_at is null").count() == 0
+    raw.where("report_id < 5").write.parquet(str(tmp_path / "in"))
     stream = ingest.without_resubmissions(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")))
     ingest.start_enrichment(stream, enrich, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/reports")).count() == 1
@@ -233,6 +386,19 @@ def test_enrichment_and_streams(spark, tmp_path):
     assert ingest.density(spark.read.parquet(str(tmp_path / "d")), "sif_potential").first().total == 1
 
 
+def test_late_resubmissions_are_dropped_by_the_watermark(spark, tmp_path):
+    """Three batches: a repeat within the window goes, one far beyond it is new, and a late row is left out."""
+    at = lambda s: f"2024-01-{s}:00"
+    batches = [[("s", "a", "01 00"), ("s", "b", "01 01")], [("s", "a", "01 12"), ("s", "c", "20 00")], [("s", "a", "21 00"), ("s", "late", "02 00")]]
+    stream = None
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(a, b, at(c.replace(" ", " ")) ) for a, b, c in rows], "site_id string, raw_text string, t string").select("site_id", "raw_text", F.to_timestamp("t", "yyyy-MM-dd HH:mm").alias("submitted_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.without_resubmissions(spark.readStream.schema("site_id string, raw_text string, submitted_at timestamp").parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.raw_text, str(r.submitted_at)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "2024-01-01 00:00:00"), ("a", "2024-01-21 00:00:00"), ("b", "2024-01-01 01:00:00"), ("c", "2024-01-20 00:00:00")]
+
+
 def test_every_query_on_empty_tables(spark, tmp_path):
     tables = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
     for name in tables:
@@ -248,4 +414,3 @@ def test_numbers(spark):
 
     assert (row.b, row.w) == (zlib.crc32(b"abc") % 8, 1.0)
     assert [t.rule_name for t in row.t] == ["Driving", "Hot Work", "Energy Isolation", "Confined Space"]
-    assert extract.ANCHORS
