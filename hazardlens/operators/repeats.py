@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import bound
 
 
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
@@ -31,12 +32,13 @@ def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold
     reach = threshold / (2 - threshold)
     t = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").groupBy(F.col(body).alias("t")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(id_col).alias("id"))).alias("k"))
     t = t.select("t", "k.at", "k.id", F.length("t").alias("n"))
-    bag = F.aggregate(F.transform(F.array_sort(F.split("t", "")), lambda c: F.struct(c.alias("c"))), F.array().cast("array<string>"), lambda acc, c: F.concat(acc, F.array(c["c"])))
+    # how often each letter stands in a text, counted once a text
+    counted = lambda letters: F.map_from_arrays(F.array_distinct(letters), F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c))))
+    bag = bound(F.split("t", ""), counted)
     t = t.withColumn("bag", bag).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / reach))))
     a = t.select([F.col(c).alias("a_" + c) for c in t.columns]).withColumn("band", F.explode(F.array(F.col("a_band") - 1, F.col("a_band"), F.col("a_band") + 1)))
     pairs = a.join(t, "band").where((F.col("at") < F.col("a_at")) & (F.least("n", "a_n") >= reach * F.greatest("n", "a_n")))
-    letters = lambda bag: F.array_distinct(bag)
-    common = F.aggregate(letters(F.col("bag")), F.lit(0), lambda acc, c: acc + F.least(F.size(F.filter("bag", lambda x: x == c)), F.size(F.filter("a_bag", lambda x: x == c))))
+    common = F.aggregate(F.map_entries("a_bag"), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(F.col("bag"), e["key"]), F.lit(0))))
     pairs = pairs.where(2 * common >= threshold * (F.col("n") + F.col("a_n")))
 
     @F.pandas_udf("double")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, stats, text
 from ..operators import audits, cleaning, evaluate, labels, reads, scoring, spelling
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..streaming import ingest
-from .registry import _REPORTS, _RULES, _SCORES, _SITES, _TAGS, _VERDICTS, query
+from .registry import _REPORTS, _RULES, _SCORES, _SITES, _TAGS, _VERDICTS, _WILSON, query
 from .views import Tables
 
 _KNOWN_TAGS = "known as (select report_id, list(distinct rule_name) tags from tagged group by 1)"
@@ -106,13 +106,14 @@ def corpus_records(t: Tables) -> DataFrame:
 # -- audits -------------------------------------------------------------------------------------
 
 
-@query(f"with {_VERDICTS}, {_RULES}, {_TAGS}, o as (select count(*) n from lineitem join part on l_partkey = p_partkey), r as (select doc_id report_id, coalesce(lang, 'none') lang, confidence from documents left join verdicts on doc_id = report_id) select 'sif_potential' part, sif_potential::varchar as name, count(*) n from verdicts group by 2 union all select 'status', case when confidence >= 0.65 then 'processed' else 'needs_review' end, count(*) from r group by 2 union all select 'language', lang, count(*) from r group by 2 union all select 'tags', 'tags', count(*) from tagged union all select 'tagging', case when report_id in (select report_id from tagged) then 'tagged' else 'untagged' end, count(*) from r group by 2 union all select 'spans', 'spans', n from o")
+@query(f"with {_VERDICTS}, {_RULES}, {_TAGS}, o as (select count(*) n from lineitem join part on l_partkey = p_partkey), r as (select doc_id report_id, coalesce(lang, 'none') lang, confidence from documents left join verdicts on doc_id = report_id) select 'sif_potential' part, sif_potential::varchar as name, count(*) n from verdicts group by 2 union all select 'status', case when confidence >= 0.65 then 'processed' else 'needs_review' end, count(*) from r group by 2 union all select 'language', lang, count(*) from r group by 2 union all select 'tags', 'tags', count(*) from tagged union all select 'tagging', case when report_id in (select report_id from tagged) then 'tagged' else 'untagged' end, count(*) from r group by 2 union all select 'spans', 'spans', n from o union all select 'density', 'distinct rank scores', (with g as (select count(*) total, cast(sum(sif_potential::int) as bigint) positives from documents join verdicts on doc_id = report_id join nation on n_nationkey = try_cast(substr(source, 4) as integer) group by n_nationkey) select count(distinct {_WILSON}) from g)")
 def stored_shape(t: Tables) -> DataFrame:
-    status = F.when(F.col("confidence") >= fixed.CONFIDENCE_THRESHOLD, "processed").otherwise("needs_review")
+    status = stats.status(F.col("confidence"))
     reports = t.documents.select(F.col("doc_id").alias("report_id"), F.coalesce("lang", F.lit("none")).alias("language_detected"))
     reports = reports.join(t.classifications().select("report_id", "confidence"), "report_id", "left").withColumn("status", status)
     known = t.tags().where(F.col("rule_name").isin(*fixed.RULES)).distinct()
-    return audits.stored_shape(reports, t.classifications(), known, t.order_spans())
+    density = reads.density_by_site(t.reports(), t.classifications(), t.sites(), digits=None)
+    return audits.stored_shape(reports, t.classifications(), known, t.order_spans(), density)
 
 
 @query("select event_type model_version, count(*) n, starts_with(event_type, 'error') as stale from events group by 1")
@@ -265,6 +266,39 @@ def rule_tags(t: Tables) -> DataFrame:
     return scoring.score_rules(models, docs, 0.5).select("doc_id", F.array_join(F.transform("tags", lambda x: x["rule_name"]), ",").alias("rules"))
 
 
+def _held_out(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents in two folds by label: what models are fitted on, and what they are judged by."""
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    folds = labels.split_by_stratum(rows, ["toxic"], 0.25, (F.col("doc_id") * 7919) % 10007, F.col("doc_id"))
+    return folds.where("fold = 'train'").drop("fold"), folds.where("fold = 'test'").drop("fold")
+
+
+@query()
+def risk_quality(t: Tables) -> DataFrame:
+    """The risk scorer on labelled documents that it wasn't fitted on: confusion, calibration, temperature and threshold."""
+    train, test = _held_out(t)
+    model = scoring.fit_risk(train.select("text", F.col("toxic").cast("double").alias("label")))
+    said = scoring.score_risk(model, test).select((F.col("toxic") == 1).alias("truth"), "p").withColumn("margin", F.log(F.col("p") / (1 - F.col("p"))))
+    said = stored(said.withColumns({"confidence": stats.confidence(F.col("p")), "correct": (F.col("p") >= 0.5) == F.col("truth")}))
+    grid = evaluate.temperatures()
+    best = evaluate.best_threshold(evaluate.threshold_sweep(said, [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85])).select("threshold", "auto_published", "auto_accuracy")
+    temperature = evaluate.best_temperature(evaluate.temperature_losses(said.where("margin is not null"), grid), len(grid)).select("temperature", "loss")
+    # one row each
+    return evaluate.confusion(said).join(F.broadcast(evaluate.calibration_error(said))).join(F.broadcast(temperature)).join(F.broadcast(best))
+
+
+@query()
+def tag_quality(t: Tables) -> DataFrame:
+    """The rule tagger on labelled documents that it wasn't fitted on: the table of all rules."""
+    train, test = _held_out(t)
+    tagged = _tagged_documents(t).select(F.col("report_id").alias("doc_id"), "tags")
+    models = scoring.fit_rules(train.join(tagged, "doc_id").select("text", "tags"))
+    said = scoring.score_rules(models, test.select("doc_id", "text"), 0.5).select("doc_id", F.transform("tags", lambda x: x["rule_name"]).alias("said"))
+    rule = F.explode(F.array(*[F.lit(r) for r in fixed.RULES])).alias("rule_name")
+    rows = said.join(tagged, "doc_id").select("tags", "said", rule)
+    return evaluate.per_rule(rows.select("rule_name", F.array_contains("tags", F.col("rule_name")).alias("truth"), F.array_contains("said", F.col("rule_name")).alias("predicted")))
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 

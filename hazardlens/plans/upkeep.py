@@ -245,9 +245,9 @@ def density_merged_names(t: Tables) -> DataFrame:
     return reads.density_by_site(t.reports(), t.classifications(), named, digits=None, merge_same_name=True).drop("region")
 
 
-@query(f"with {_REPORTS}, {_VERDICTS}, {_RULES}, {_TAGS} select report_id, submitted_at, confidence from reports join verdicts using (report_id) where site_id = 3 and sif_potential and submitted_at <= timestamp '2024-01-01 12:00:00' and report_id in (select report_id from tagged where rule_name = 'Bypassing Safety Controls') order by submitted_at desc, report_id limit 50")
+@query(f"with {_REPORTS}, {_VERDICTS}, {_RULES}, {_TAGS} select report_id, submitted_at, confidence from reports join verdicts using (report_id) where site_id = 6 and sif_potential and submitted_at <= timestamp '2024-01-01 12:00:00' and report_id in (select report_id from tagged where rule_name = 'Bypassing Safety Controls') order by submitted_at desc, report_id limit 50")
 def list_reports_narrow(t: Tables) -> DataFrame:
-    rows = reads.list_reports(t.reports(), t.classifications(), t.tags(), t.order_spans(), site_id=3, sif_potential=True, rule="Bypassing Safety Controls", until="2024-01-01 12:00:00")
+    rows = reads.list_reports(t.reports(), t.classifications(), t.tags(), t.order_spans(), site_id=6, sif_potential=True, rule="Bypassing Safety Controls", until="2024-01-01 12:00:00")
     return rows.select("report_id", "submitted_at", "confidence")
 
 
