@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, spans, stats, text
 from ..operators import cleaning, evaluate, extract, labels, reads, repeats, spelling
+from ..session import stored
 from .views import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,8 +272,7 @@ _SPARED = sorted(set(fixed.DOMAIN_WORDS) | set(_LEXICON) | {w for v in _LEXICON.
 )
 def clean_reports(t: Tables) -> DataFrame:
     """Whole documents cleaned; the dictionary holds every word that is long enough for the repair of spelling, and common short ones."""
-    stems = spelling.tokens(t.documents.where("text is not null"), "doc_id", "text").where(F.col("piece").rlike(r"^[\p{L}\p{N}_']"))
-    known = stems.groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
+    known = spelling.stems(t.documents, "text").groupBy("word").agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
     return cleaning.clean_reports(t.documents, "doc_id", "text", known, _LEXICON, digits=None).select("doc_id", "cleaned_text", "language_detected", F.col("normalization_confidence").alias("confidence"), "degraded")
 
 
@@ -370,7 +370,7 @@ def _gold_of_four_types(t: Tables) -> DataFrame:
 
 
 def _vocabulary(t: Tables) -> DataFrame:
-    gold = _gold_of_four_types(t)
+    gold = stored(_gold_of_four_types(t))  # every kind of term is mined from it
     after = gold.where("entity_type = 'activity'").withColumn("following", F.substr("text", F.locate("entity_text", F.col("text")) + F.length("entity_text"), F.lit(24)))
     return extract.vocabulary(evaluate.gazetteer(gold), evaluate.stop_words(after.select("entity_text", "following")))
 

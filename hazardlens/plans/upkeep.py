@@ -341,8 +341,7 @@ def _models(t: Tables) -> tuple:
     """Both models fitted on labelled documents, the mined vocabulary, and the dictionary of common words."""
     docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(t.labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("label")), "doc_id")
     tagged = _tagged_documents(t).select(F.col("report_id").alias("doc_id"), "tags")
-    stems = spelling.tokens(t.documents.where("text is not null"), "doc_id", "text").where(F.col("piece").rlike(r"^[\p{L}\p{N}_']"))
-    known = stems.groupBy(F.col("stem").alias("word")).agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
+    known = spelling.stems(t.documents, "text").groupBy("word").agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
     return scoring.fit_risk(docs.select("text", "label")), scoring.fit_rules(docs.join(tagged, "doc_id").select("text", "tags")), _vocabulary(t), known
 
 
