@@ -75,6 +75,6 @@ def empty_dir(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name, rows", [("validation", 0), ("queue_view", 0), ("stored_shape", 2), ("tag_support", 9), ("coverage_change", 1), ("duplicate_ids", 1), ("tag_thresholds", 0), ("usability", 1), ("cleaned_with_dictionary", 0)])
+@pytest.mark.parametrize("name, rows", [("validation", 0), ("queue_view", 0), ("stored_shape", 3), ("tag_support", 9), ("coverage_change", 1), ("duplicate_ids", 1), ("tag_thresholds", 0), ("usability", 1), ("cleaned_with_dictionary", 0)])
 def test_queries_on_empty_tables(spark, empty_dir, name, rows):
     assert registry.queries()[name](spark, empty_dir).count() == rows
