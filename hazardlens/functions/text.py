@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,13 +21,9 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def quoted(patterns: Iterable[str]) -> str:
-    return "|".join("\\Q" + p + "\\E" for p in patterns)
-
-
 def contains_any(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether a text holds one of the patterns as it stands; one scan for all of them."""
-    return text.rlike(quoted(patterns))
+    """Whether a text holds one of the patterns as it stands; byte searches, each faster than a regular expression."""
+    return reduce(Column.__or__, [text.contains(p) for p in patterns])
 
 
 def normalized_title(title: Column) -> Column:
