@@ -10,9 +10,11 @@ from contextlib import contextmanager
 from typing import TypeVar
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 T = TypeVar("T")
 
@@ -189,3 +191,58 @@ def running(df: DataFrame, order: list, sums: dict[str, str], name: str) -> Data
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.join(F.broadcast(totals), part)
     return out.select(*df.columns, *[(F.col(f"{base}{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(new) for i, (new, c) in enumerate(sums.items())])
+
+
+def table_rows(df: DataFrame, count: F.Column | None = None) -> int:
+    """How many rows a written table has, or another whole number over all of them (0 for none)."""
+    return df.agg(F.count("*") if count is None else count).first()[0] or 0
+
+
+def running_within(df: DataFrame, key: str, order: list[str], values: dict[str, tuple[str, str]], name: str) -> DataFrame:
+    """``df`` with running values within each ``key`` in the order of ``order`` (null first), the row itself included.
+
+    ``values`` gives, by new column, ``("sum" or "xor", long column)``. Rows are ranged by key and order, so
+    a key of any size may lie in many ranges; ranges are gone through batch by batch, and what a key has
+    come to at the end of a range, a row a range, is added in those after it. The key is a long.
+    """
+    part, row, upto, carried = private("part", "row", "upto", "carried")
+    schema = df.schema
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    steps = [(how == "sum", df.columns.index(c)) for how, c in values.values()]
+    at = df.columns.index(key)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before, n = None, np.zeros(len(steps), np.int64), 0
+        for b in batches:
+            if not len(b):
+                continue
+            keys = b.column(at).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))  # of each row, its key's first row in the batch
+            out = []
+            for i, (adds, c) in enumerate(steps):
+                v = b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                put = np.add if adds else np.bitwise_xor
+                if not new[0]:
+                    v[0] = put(v[0], before[i])
+                upto_now = put.accumulate(v)
+                base = put(upto_now[start], v[start]) if not adds else upto_now[start] - v[start]
+                got = upto_now - base if adds else put(upto_now, base)
+                before[i] = got[-1]
+                out.append(pa.array(got))
+            last = keys[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(np.arange(n, n + len(keys)))], [*b.schema.names, *values, row])
+            n += len(keys)
+
+    wider = StructType([*schema.fields, *[StructField(n, LongType()) for n in (*values, row)]])
+    scanned = written(ranged.mapInArrow(scan, wider).withColumn(part, F.spark_partition_id()), name)
+    # a row a range: its last key and what that has come to
+    tails = scanned.groupBy(part).agg(F.max_by(F.struct(key, *values), row).alias("t")).select(part, *[F.col(f"t.{c}").alias(c) for c in (key, *values)])
+    following = Window.orderBy(part)
+    along = Window.partitionBy(key).orderBy(part)
+    put = {n: F.sum(n) if how == "sum" else F.bit_xor(n) for n, (how, _) in values.items()}
+    tails = tails.withColumn(carried, F.lead(part).over(following)).select(F.col(carried).alias(part), F.col(key).alias(upto), *[put[n].over(along).alias(f"{n}{carried}") for n in values])
+    out = scanned.join(F.broadcast(tails.where(F.col(part).isNotNull()).withColumnRenamed(part, carried)), (F.col(part) == F.col(carried)) & (F.col(key) == F.col(upto)), "left")
+    nothing = F.lit(0).cast("long")
+    more = {n: F.coalesce(f"{n}{carried}", nothing) for n in values}
+    return out.select(*df.columns, *[(F.col(n) + more[n] if how == "sum" else F.col(n).bitwiseXOR(more[n])).alias(n) for n, (how, _) in values.items()])

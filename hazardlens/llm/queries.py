@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, neardup, ngramjoin, sharding, topk, toxicity, warc
+from . import bpe, langid, linededup, mixing, neardup, ngramjoin, prefixtrie, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -62,8 +62,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_embedding_neardup, op3_toxicity, op4_language_id, op5_sharding, op6_mixing, op7_warc, op8_line_dedup, op9_ngram_join, op10_top_k)
+    every = (op1_byte_bpe, op2_embedding_neardup, op3_toxicity, op4_language_id, op5_sharding, op6_mixing, op7_warc, op8_line_dedup, op9_ngram_join, op10_top_k, op11_prefix_trie)
     return {query.__name__: query for query in every}
 
 
@@ -75,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": linededup.DIGEST_SQL,
         "op9_ngram_join": ngramjoin.CLASSES_SQL,
         "op10_top_k": topk.NEAREST_SQL,
+        "op11_prefix_trie": prefixtrie.TRIE_SQL,
     }
