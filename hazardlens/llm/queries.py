@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, neardup, ngramjoin, prefixtrie, sharding, topk, toxicity, warc
+from . import bpe, langid, lexical, linededup, mixing, neardup, ngramjoin, prefixtrie, quality, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -66,8 +66,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_embedding_neardup, op3_toxicity, op4_language_id, op5_sharding, op6_mixing, op7_warc, op8_line_dedup, op9_ngram_join, op10_top_k, op11_prefix_trie)
+    every = (op1_byte_bpe, op2_embedding_neardup, op3_toxicity, op4_language_id, op5_sharding, op6_mixing, op7_warc, op8_line_dedup, op9_ngram_join, op10_top_k, op11_prefix_trie, op12_lexical_search, op13_quality)
     return {query.__name__: query for query in every}
 
 
@@ -80,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_join": ngramjoin.CLASSES_SQL,
         "op10_top_k": topk.NEAREST_SQL,
         "op11_prefix_trie": prefixtrie.TRIE_SQL,
+        "op12_lexical_search": lexical.RANKED_SQL,
     }

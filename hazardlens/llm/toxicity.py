@@ -77,9 +77,9 @@ class Chain:
     ``weights`` has a row each for a token's own features, those of the one before, and after.
     """
 
-    def __init__(self):
-        self.weights, self.step = np.zeros((3, LEVELS + PLACES)), np.zeros((2, 2))
-        self.weights[0, :LEVELS] = -3.0  # clean until the fit says otherwise
+    def __init__(self, places: int = LEVELS + PLACES, light: int = LEVELS, start: float = -3.0):
+        self.weights, self.step, self.light = np.zeros((3, places)), np.zeros((2, 2)), light
+        self.weights[0, :light] = start  # by default clean until the fit says otherwise
 
     def values(self, feats: np.ndarray) -> np.ndarray:
         """What tokens (rows of features) are worth: at their place, to the next and the previous token."""
@@ -102,7 +102,7 @@ class Chain:
         np.add.at(steps, (toxic[:, :-1][both], toxic[:, 1:][both]), 1)
         speed, speed_steps = np.zeros_like(self.weights), np.zeros((2, 2))
         strict = np.full(self.weights.shape[1], 10 * decay)  # a word alone must not outweigh the lexicon
-        strict[:LEVELS] = decay
+        strict[: self.light] = decay
         for _ in range(rounds):
             value = np.vstack([self.values(feats), np.zeros(3)])
             score = value[around[0], 0] + value[around[1], 1] + value[around[2], 2]
