@@ -224,7 +224,7 @@ def trie(talks: DataFrame) -> DataFrame:
 #: Every step is plain: prefixes as lists, ancestors through the smallest member.
 TRIE_SQL = """
 with recursive turns as (
-  select conv_id, coalesce(role, '') r, coalesce(text, '') t, row_number() over (partition by conv_id order by turn nulls first, role, text) n
+  select conv_id, coalesce(role, '') r, coalesce(text, '') t, row_number() over (partition by conv_id order by turn nulls first, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) n
   from conversations where conv_id is not null),
 crc as (select distinct conv_id, 4294967295::ubigint c, conv_id::varchar s, 0 k from conversations where conv_id is not null
   union all
