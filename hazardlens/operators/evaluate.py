@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, stats, text
@@ -38,10 +43,25 @@ def temperatures(n: int = 161, low: float = 0.05, high: float = 10.0) -> list[fl
 
 
 def temperature_losses(scored: DataFrame, grid: list[float], margin: str = "margin", truth: str = "truth") -> DataFrame:
-    """Mean negative log-likelihood at each temperature; the grid is a fixed small table."""
-    table = scored.sparkSession.createDataFrame(list(enumerate(grid)), "place int, temperature double")
-    signed = F.when(F.col(truth), F.col(margin)).otherwise(-F.col(margin)) / F.col("temperature")
-    return scored.join(F.broadcast(table)).groupBy("place", "temperature").agg(F.avg(F.log1p(F.exp(-signed))).alias("loss"))
+    """Mean negative log-likelihood at each temperature, in one pass: rows aren't multiplied by the grid.
+
+    Each task adds its rows up to one array over the whole grid, and sums of arrays meet by place.
+    Rows without a margin or a truth count for nothing.
+    """
+    inverse = 1 / np.array(grid)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(grid)), 0
+        for b in batches:
+            signed = b.column(0).to_numpy(zero_copy_only=False)
+            n += len(signed)
+            for at in range(0, len(signed), 4_096):
+                total += np.logaddexp(0.0, -np.outer(signed[at : at + 4_096], inverse)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(grid, pa.float64()), pa.array(total), pa.array([n] * len(grid), pa.int64())], ["place", "temperature", "total", "n"])
+
+    signed = scored.where(F.col(margin).isNotNull() & F.col(truth).isNotNull()).select(F.when(F.col(truth), F.col(margin)).otherwise(-F.col(margin)).cast("double").alias("signed"))
+    parts = signed.mapInArrow(summed, "place int, temperature double, total double, n long")
+    return parts.groupBy("place", "temperature").agg((F.sum("total") / F.sum("n")).alias("loss")).where(F.col("loss").isNotNull())
 
 
 def best_temperature(losses: DataFrame, n: int) -> DataFrame:
@@ -49,14 +69,32 @@ def best_temperature(losses: DataFrame, n: int) -> DataFrame:
     return losses.orderBy("loss", "place").limit(1).withColumn("at_edge", F.col("place").isin(0, n - 1))
 
 
+def _reached(score: Column, thresholds: list[float]) -> Column:
+    """How many of the ascending ``thresholds`` a score reaches."""
+    return reduce(Column.__add__, [F.coalesce((score >= t).cast("int"), F.lit(0)) for t in thresholds])
+
+
+def _at_or_above(counts: DataFrame, names: list[str], within: list[str]) -> DataFrame:
+    """``counts`` by ``_reached`` summed up from the top, a row a step: what reaches a threshold reached it or a higher one."""
+    above = Window.partitionBy(*within).orderBy(F.desc("_reached"))
+    return counts.select(*within, "_reached", *[F.sum(c).over(above).alias(c) for c in names])
+
+
 def threshold_sweep(scored: DataFrame, thresholds: list[float], confidence: str = "confidence", correct: str = "correct", truth: str = "truth") -> DataFrame:
-    """Per threshold: verdicts published without review, their accuracy, those reviewed, serious ones missed."""
-    table = scored.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
-    auto = F.col(confidence) >= F.col("threshold")
-    rows = scored.join(F.broadcast(table)).groupBy("threshold").agg(
-        F.count_if(auto).alias("auto_published"), F.count_if(~auto).alias("reviewed"), F.count_if(auto & F.col(correct)).alias("right"), F.count_if(auto & F.col(truth) & ~F.col(correct)).alias("missed_sif")
-    )
-    return rows.withColumn("auto_accuracy", F.when(F.col("auto_published") > 0, F.col("right") / F.col("auto_published"))).drop("right")
+    """Per threshold: verdicts published without review, their accuracy, those reviewed, serious ones missed.
+
+    Rows are counted once, by how many thresholds they reach; those counts are summed up from the top.
+    """
+    steps = sorted(set(thresholds))
+    names = {"auto_published": F.count("*"), "right": F.count_if(F.col(correct)), "missed_sif": F.count_if(F.col(truth) & ~F.col(correct))}
+    counts = scored.groupBy(_reached(F.col(confidence), steps).alias("_reached")).agg(*[c.alias(n) for n, c in names.items()])
+    # a row for every step, also for one that no score stops at
+    every = scored.sparkSession.createDataFrame([(i,) for i in range(len(steps) + 1)], "_reached int")
+    sums = _at_or_above(every.join(counts, "_reached", "left").fillna(0), list(names), [])
+    all_ = F.max("auto_published").over(Window.partitionBy())
+    at = F.element_at(F.array(*[F.lit(t) for t in steps]), F.col("_reached"))
+    rows = sums.withColumn("reviewed", all_ - F.col("auto_published")).where("_reached > 0").select(at.alias("threshold"), "auto_published", "reviewed", "right", "missed_sif")
+    return rows.where(F.col("auto_published") + F.col("reviewed") > 0).withColumn("auto_accuracy", F.when(F.col("auto_published") > 0, F.col("right") / F.col("auto_published"))).drop("right")
 
 
 def per_rule(decisions: DataFrame, min_support: int = 3, training: DataFrame | None = None) -> DataFrame:
@@ -85,12 +123,15 @@ def macro_f1(table: DataFrame, min_support: int = 1) -> DataFrame:
 
 
 def tag_thresholds(scores: DataFrame, steps: int = 19, step: float = 0.05) -> DataFrame:
-    """Macro F1 over rules with support at each threshold of ``scores(rule_name, truth, p)``."""
-    grid = scores.sparkSession.createDataFrame([(i, step * i) for i in range(1, steps + 1)], "place int, threshold double")
-    said = F.col("p") >= F.col("threshold")
-    c = scores.join(F.broadcast(grid)).groupBy("place", "threshold", "rule_name").agg(F.count_if("truth").alias("support"), F.count_if(F.col("truth") & said).alias("tp"), F.count_if(~F.col("truth") & said).alias("fp"), F.count_if(F.col("truth") & ~said).alias("fn"))
-    per = c.withColumns(f1(F.col("tp"), F.col("fp"), F.col("fn")))
-    return per.groupBy("place", "threshold").agg(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
+    """Macro F1 over rules with support at each threshold of ``scores(rule_name, truth, p)``, from one count of rows."""
+    grid = [step * i for i in range(1, steps + 1)]
+    counts = scores.groupBy("rule_name", _reached(F.col("p"), grid).alias("_reached")).agg(F.count_if("truth").alias("tp"), F.count_if(~F.col("truth")).alias("fp"))
+    every = counts.select("rule_name").distinct().select("rule_name", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_reached"))
+    sums = _at_or_above(every.join(counts, ["rule_name", "_reached"], "left").fillna(0), ["tp", "fp"], ["rule_name"])
+    support = F.max("tp").over(Window.partitionBy("rule_name"))
+    per = sums.withColumn("support", support).where("_reached > 0").withColumn("fn", F.col("support") - F.col("tp")).withColumns(f1(F.col("tp"), F.col("fp"), F.col("fn")))
+    at = F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("_reached"))
+    return per.groupBy(F.col("_reached").alias("place"), at.alias("threshold")).agg(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
 
 
 def best_tag_threshold(table: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ def label_rule(rows: DataFrame, event: str = "event_title", nature: str = "natur
     return out.withColumn("sif_potential", F.col("a1") | F.col("a2") | F.col("a3") | F.col("b")).withColumn("rule_hits", hits)
 
 
-def exclusions(rows: DataFrame, id_col: str = "id", seq: str = "seq", event: str = "event_title", narrative: str = "narrative") -> DataFrame:
-    """Flags e1..e4 and ``excluded``: pattern, later duplicate id in the whole input, no title, short narrative."""
+def exclusions(rows: DataFrame, id_col: str = "id", seq: str = "seq", event: str = "event_title", narrative: str = "narrative", nature: str = "nature_title") -> DataFrame:
+    """Flags e1..e4 and ``excluded``: pattern, later duplicate id in the whole input, a title of event or nature missing, short narrative."""
     later = F.row_number().over(Window.partitionBy(id_col).orderBy(seq)) > 1
     return rows.withColumns(
         {
-            "e1": text.contains_any(text.normalized_title(F.col(event)), fixed.EXCLUDE_EVENT),
+            "e1": F.coalesce(text.contains_any(text.normalized_title(F.col(event)), fixed.EXCLUDE_EVENT), F.lit(False)),
             "e2": later,
-            "e3": F.col(event).isNull(),
+            "e3": F.col(event).isNull() | F.col(nature).isNull(),
             "e4": F.coalesce(F.length(narrative) < 20, F.lit(False)),
         }
     ).withColumn("excluded", F.col("e1") | F.col("e2") | F.col("e3") | F.col("e4"))
@@ -109,19 +109,15 @@ def top_up(rows: DataFrame, body: str, signals: dict[str, str], each: int, *orde
     return ranked_within(hits, ["wanted_rule"], list(order)).where(F.col("_rank") <= each).drop("_rank")
 
 
-def noise_tiers(rows: DataFrame, key: Column, id_col: str, shares: tuple[float, float] = (0.6, 0.3), buckets: int = 64) -> DataFrame:
-    """Exact tier sizes over all rows by a global rank of a hash-like ``key``.
+def noise_tiers(rows: DataFrame, key: Column, id_col: str, shares: tuple[float, float] = (0.6, 0.3)) -> DataFrame:
+    """Exact tier sizes over all rows by their rank in the order of a hash-like ``key``, ties by id.
 
-    Ranks come from bucket counts and a rank inside each bucket, so no task sees all rows.
+    Ranks come from ranges of the key, as many as there are partitions, so no task sees all rows.
     """
-    keyed = rows.withColumn("_k", key).withColumn("_b", F.pmod(F.col("_k"), F.lit(buckets)))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_size"))
-    # ``buckets`` rows
-    starts = sizes.withColumn("_start", F.sum("_size").over(Window.orderBy("_b")) - F.col("_size")).withColumn("_all", F.sum("_size").over(Window.partitionBy())).drop("_size")
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col))
+    placed = ranked_within(rows, [], [key, F.col(id_col)], size="_all")
     clean, moderate = F.bround(F.col("_all") * F.lit(shares[0])), F.bround(F.col("_all") * F.lit(shares[1]))
     tier = F.when(F.col("_rank") <= clean, "clean").when(F.col("_rank") <= clean + moderate, "moderate").otherwise("heavy")
-    return keyed.join(F.broadcast(starts), "_b").withColumn("_rank", rank).withColumn("noise_tier", tier).drop("_k", "_b", "_start", "_all", "_rank")
+    return placed.withColumn("noise_tier", tier).drop("_rank", "_all")
 
 
 def rarest_rule(tagged: DataFrame, id_col: str = "report_id", tags: str = "tags") -> DataFrame:

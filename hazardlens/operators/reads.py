@@ -158,6 +158,15 @@ def apply_reviews(classifications: DataFrame, decisions: DataFrame, reviewers: D
     return out.withColumns(new).drop("d"), rejected
 
 
+def reviewed(reports: DataFrame, classifications: DataFrame, decisions: DataFrame, reviewers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new reports, new classifications, rejected decisions): a report with a decision that took effect is ``processed``."""
+    verdicts, rejected = apply_reviews(classifications, decisions, reviewers)
+    refused = rejected.select("report_id", "seq").distinct()
+    taken = decisions.join(refused, ["report_id", "seq"], "left_anti").select("report_id", F.lit("processed").alias("_status")).distinct()
+    done = reports.join(taken, "report_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    return done, verdicts, rejected
+
+
 def with_known_site(rows: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose site exists, the others with a reject_reason)."""
     ids = sites.select("site_id").distinct()

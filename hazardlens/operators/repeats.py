@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import bound
+from ..session import stored
+from . import ratioindex
+from .graph import dealt_join, hot_keys
 
 
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
@@ -20,37 +24,60 @@ def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFr
     return texts.join(first, "_text").select(id_col, F.col("_first.id").alias("first_id")).where(F.col(id_col) != F.col("first_id"))
 
 
+def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``pairs(a, y)`` whose texts reach the threshold, with their ``ratio``; ``texts(id, t)``."""
+
+    @F.pandas_udf("double")
+    def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, y in parts:
+            out = np.zeros(len(a))
+            for i, (x, z) in enumerate(zip(a, y, strict=True)):
+                cx, cz = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (x, z))
+                values, which = np.unique(np.concatenate([cx, cz]), return_inverse=True)
+                common = np.minimum(np.bincount(which[: len(cx)], minlength=len(values)), np.bincount(which[len(cx) :], minlength=len(values))).sum()
+                if 2 * common >= threshold * (len(cx) + len(cz)):  # what letters alone leave possible
+                    out[i] = difflib.SequenceMatcher(None, x, z).ratio()
+            yield pd.Series(out)
+
+    of = lambda end: texts.select(F.col("id").alias(end), F.col("t").alias(f"t_{end}"))
+    # an earlier text that very many are compared with is dealt over parts
+    met = dealt_join(pairs.join(of("a"), "a"), of("y"), "y", hot_keys(pairs, "y"), "a")
+    return met.select("a", "y", ratio("t_a", "t_y").alias("ratio")).where(F.col("ratio") >= threshold)
+
+
 def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
     """``(id, match_id, ratio)``: the first earlier text whose sequence ratio reaches ``threshold``.
 
-    Nothing is lost on the way: a ratio of t needs lengths within t / (2 - t) of each other, so texts
-    meet in bands of length that grow by that factor, and enough common characters, counted by
-    letter. Equal texts are one text of the first that came. Only pairs that pass go to the exact
-    ratio, row by row in Arrow batches. The work is that of all pairs of like length: this is the
-    exact form for one site's or one day's reports, not for a corpus.
+    Equal texts are one text of the first that came; null and blank texts repeat nothing. Candidates come
+    from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
+    candidates first, and if that is like it, is done: so a group of near copies costs one comparison
+    a text. Only the others are compared with all their candidates. Ratios are worked out row by row in
+    Arrow batches, and only where letter counts leave them possible.
     """
+    keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), F.sha2(F.col(body), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
+    firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at"))
+    # texts are numbered by their own hash; each text is read once more and kept once
+    texts = stored(keyed.join(firsts, ["_text", "_at"]).dropDuplicates(["_text"]).select(F.xxhash64("_text", F.lit("near")).alias("id"), "t", "_text", F.col("_at.at").alias("at"), F.col("_at.row").alias("row")))
+    levels = ratioindex.levels_used(texts, threshold)
+    posted = stored(ratioindex.postings(texts, levels, threshold))
+    earlier, later = ratioindex.lists(posted)
+    when = texts.select("id", F.struct("at", "row").alias("w"))
+    earlier = stored(earlier.join(when.withColumnRenamed("id", "y").withColumnRenamed("w", "w_y"), "y"))
+    later = stored(later.join(earlier.select("level", "gram").distinct(), ["level", "gram"], "left_semi").join(when.withColumnRenamed("id", "a").withColumnRenamed("w", "w_a"), "a"))
     reach = threshold / (2 - threshold)
-    t = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").groupBy(F.col(body).alias("t")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(id_col).alias("id"))).alias("k"))
-    t = t.select("t", "k.at", "k.id", F.length("t").alias("n"))
-    # how often each letter stands in a text, counted once a text
-    counted = lambda letters: F.map_from_arrays(F.array_distinct(letters), F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c))))
-    bag = bound(F.split("t", ""), counted)
-    t = t.withColumn("bag", bag).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / reach))))
-    a = t.select([F.col(c).alias("a_" + c) for c in t.columns]).withColumn("band", F.explode(F.array(F.col("a_band") - 1, F.col("a_band"), F.col("a_band") + 1)))
-    pairs = a.join(t, "band").where((F.col("at") < F.col("a_at")) & (F.least("n", "a_n") >= reach * F.greatest("n", "a_n")))
-    common = F.aggregate(F.map_entries("a_bag"), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(F.col("bag"), e["key"]), F.lit(0))))
-    pairs = pairs.where(2 * common >= threshold * (F.col("n") + F.col("a_n")))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-    hits = pairs.withColumn("ratio", ratio("a_t", "t")).where(F.col("ratio") >= threshold)
-    first = hits.groupBy("a_t").agg(F.min_by(F.struct("id", "ratio"), F.struct("at", "id")).alias("m"))
-    base = rows.select(F.col(id_col).alias("_row"), F.col(body).alias("_body"))
-    joined = base.join(t.select("t", F.col("id").alias("first_id")), F.col("_body") == F.col("t")).join(first, F.col("t") == F.col("a_t"), "left")
-    same = F.col("_row") != F.col("first_id")
-    out = joined.select(F.col("_row").alias(id_col), F.coalesce("m.id", F.when(same, F.col("first_id"))).alias("match_id"), F.coalesce("m.ratio", F.when(same, F.lit(1.0))).alias("ratio"))
+    fits = (F.col("w_y.at") < F.col("w_a.at")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
+    # the earliest text of each list, and of those the earliest for each text
+    heads = earlier.groupBy("level", "gram").agg(F.min(F.struct("w_y", "y", "n_y")).alias("h")).select("level", "gram", "h.*")
+    best = later.join(heads, ["level", "gram"]).where(F.col("w_y.at") < F.col("w_a.at")).groupBy("a").agg(F.min(F.struct("w_y", "y", "n_y", "n_a", "w_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y")
+    done = stored(_ratios(stored(best), texts, threshold))
+    rest = later.join(done.select("a"), "a", "left_anti")
+    pairs = rest.join(earlier, ["level", "gram"]).where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y")
+    hits = done.union(_ratios(stored(pairs.join(best, ["a", "y"], "left_anti")), texts, threshold))
+    first = hits.join(when.withColumnRenamed("id", "y"), "y").groupBy("a").agg(F.min(F.struct("w", "ratio")).alias("m")).select(F.col("a").alias("id"), F.col("m.w.row").alias("near"), "m.ratio")
+    known = texts.select("id", "_text", F.col("row").alias("first")).join(first, "id", "left")
+    out = dealt_join(keyed.select("_row", "_text"), known.drop("id"), "_text", hot_keys(keyed, "_text"), "_row")
+    same = F.col("_row") != F.col("first")
+    out = out.select(F.col("_row").alias(id_col), F.coalesce("near", F.when(same, F.col("first"))).alias("match_id"), F.coalesce("ratio", F.when(same, F.lit(1.0))).alias("ratio"))
     return out.where("match_id is not null")
 
 

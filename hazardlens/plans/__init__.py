@@ -1,5 +1,5 @@
 """Package folder."""
 
-from . import audits, registry, upkeep
+from . import audits, changes, nearness, registry, upkeep
 
-__all__ = ["audits", "registry", "upkeep"]
+__all__ = ["audits", "changes", "nearness", "registry", "upkeep"]

@@ -10,7 +10,7 @@ from ..operators import audits, cleaning, evaluate, labels, reads, scoring, spel
 from ..session import shared_folder, stored
 from ..streaming import ingest
 from .registry import _REPORTS, _RULES, _SCORES, _SITES, _TAGS, _VERDICTS, _WILSON, query
-from .views import Tables
+from .views import Tables, planted, planted_sql
 
 _KNOWN_TAGS = "known as (select report_id, list(distinct rule_name) tags from tagged group by 1)"
 _CONTROL = "'(?i)(^|[^\\pL\\pN_])(" + "|".join(fixed.CONTROL_TERMS).replace(r"\w*", r"[\pL\pN_]*") + ")([^\\pL\\pN_]|$)'"
@@ -75,16 +75,24 @@ def fill_only(t: Tables) -> DataFrame:
     return done.select("doc_id", "lang", F.array_join("changed", ",").alias("changed"))
 
 
-@query("select 'lang' field, count(lang) as before, count(coalesce(lang, source)) as after, count(coalesce(lang, source)) - count(lang) filled from documents")
+#: Every fifth document has lost its language.
+_GAPS = "case when doc_id % 5 <> 0 then lang end"
+
+
+def _with_gaps(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+
+
+@query(f"with d as (select doc_id, {_GAPS} lang, source from documents) select 'lang' field, count(lang) as before, count(coalesce(lang, source)) as after, count(coalesce(lang, source)) - count(lang) filled from d")
 def coverage_change(t: Tables) -> DataFrame:
-    old = t.documents.select("doc_id", "lang")
+    old = _with_gaps(t)
     new = labels.fill_only(old, t.documents.select("doc_id", F.col("source").alias("lang")), "doc_id", ["lang"])
     return audits.coverage(old, new, ["lang"])
 
 
-@query("select doc_id from documents where lang is null")
+@query(f"select doc_id from documents where {_GAPS} is null")
 def missing_language(t: Tables) -> DataFrame:
-    return audits.without_span(t.documents.select("doc_id", "lang"), "lang", "doc_id").select("doc_id")
+    return audits.without_span(_with_gaps(t), "lang", "doc_id").select("doc_id")
 
 
 @query("select distinct user_id id from events where user_id not in (select doc_id from labels)")
@@ -165,12 +173,18 @@ def verified_counts(t: Tables) -> DataFrame:
     return audits.verified(found, t.region.select(F.col("r_regionkey").cast("string").alias("region"), F.lit(5).cast("long").alias("count")), "region", "count")
 
 
-@query(f"select count(*) filter (doc_id % 3 = 0) with_barrier, count(*) filter (doc_id % 3 = 0 and regexp_matches(text, {_CONTROL})) as found, count(*) filter (regexp_matches(text, {_CONTROL})) flagged from documents")
+@query(f"with d as (select doc_id, {planted_sql('control')} text from documents) select count(*) filter (doc_id % 3 = 0) with_barrier, count(*) filter (doc_id % 3 = 0 and regexp_matches(text, {_CONTROL})) as found, count(*) filter (regexp_matches(text, {_CONTROL})) flagged from d")
 def control_coverage(t: Tables) -> DataFrame:
-    return evaluate.control_coverage(t.documents.withColumn("has", F.col("doc_id") % 3 == 0), "text", "has")
+    return evaluate.control_coverage(t.documents.withColumns({"has": F.col("doc_id") % 3 == 0, "text": planted("control")}), "text", "has")
+
+
+_SINGLE = "|".join(c for c in fixed.CONTROL_TERMS if " " not in c).replace(r"\w*", r"[\pL\pN_]*")
+_SEVERAL = " union all ".join(
+    rf"select lower(unnest(regexp_extract_all(t, '(?i)(^|[^\pL\pN_])({c})([^\pL\pN_]|$)', 2))) term from p".replace(r"\w*", r"[\pL\pN_]*") for c in fixed.CONTROL_TERMS if " " in c
+)
 
 
-@query(f"with o as (select count(*) filter (doc_id % 3 = 0) a, count(*) filter (doc_id % 3 <> 0 and doc_id % 4 = 0) b from documents where text is not null) select unnest(['was not', 'guarded', 'bina', 'isolation', 'permit']) term, unnest([a, a, b, b, b]) n from o where not exists (select 1 from documents where regexp_matches(text, {_CONTROL}))")
+@query(rf"with p as (select text || case when doc_id % 3 = 0 then ' was not guarded' when doc_id % 4 = 0 then ' bina isolation permit' else '' end t from documents), w as (select unnest(regexp_extract_all(lower(t), '[\pL\pN_]+')) term from p), s as (select term from w where regexp_full_match(term, '{_SINGLE}') union all {_SEVERAL}) select term, count(*) n from s group by 1")
 def control_census(t: Tables) -> DataFrame:
     """How often each control term is said in all documents, most of them with a remark on a control added."""
     remark = F.when(F.col("doc_id") % 3 == 0, " was not guarded").when(F.col("doc_id") % 4 == 0, " bina isolation permit").otherwise("")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, spans, stats, text
 from ..operators import cleaning, evaluate, extract, labels, reads, repeats, spelling
 from ..session import stored
-from .views import Tables
+from .views import Tables, planted, planted_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,15 +158,26 @@ def matching_children(t: Tables) -> DataFrame:
 _EVENTS = ["ring", "bolt", "gear"]
 
 
-@query("with " + "e as (select doc_id, " + _norm("text") + " x from documents) select doc_id, regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b, concat_ws(',', case when a1 then 'A1' end, case when a2 then 'A2' end, case when a3 then 'A3' end, case when b then 'B' end) rule_hits from e")
+_FLAGS = (
+    "e as (select doc_id, " + _norm(planted_sql("event")) + " x, " + _norm(planted_sql("nature")) + " y from documents), "
+    "f as (select doc_id, regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(y, '" + "|".join(fixed.LETHAL_NATURE) + "') b from e)"
+)
+_CONTRIBUTIONS = "count(*) frame, count(*) filter (a1 or a2 or a3 or b) positive, count(*) filter (a1) a1, count(*) filter (a2) a2, count(*) filter (a3 and not a1 and not a2) a3_new, count(*) filter (a1 or a2 or a3) a_total, count(*) filter (b) b_total, count(*) filter (b and not (a1 or a2 or a3)) b_new"
+
+
+def _titled(t: Tables) -> DataFrame:
+    """Documents as titles of events and natures; some name what the labelling rule looks for."""
+    return labels.label_rule(t.documents.select("doc_id", planted("event").alias("event_title"), planted("nature").alias("nature_title")))
+
+
+@query(f"with {_FLAGS} select doc_id, a1, a2, a3, b, concat_ws(',', case when a1 then 'A1' end, case when a2 then 'A2' end, case when a3 then 'A3' end, case when b then 'B' end) rule_hits from f")
 def label_rule(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.col("text").alias("event_title"), F.col("text").alias("nature_title"))
-    return labels.label_rule(rows).select("doc_id", "a1", "a2", "a3", "b", "rule_hits")
+    return _titled(t).select("doc_id", "a1", "a2", "a3", "b", "rule_hits")
 
 
-@query("with e as (select " + _norm("text") + " x from documents), f as (select regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b from e) select count(*) frame, count(*) filter (a1 or a2 or a3 or b) positive, count(*) filter (a1) a1, count(*) filter (a2) a2, count(*) filter (a3 and not a1 and not a2) a3_new, count(*) filter (a1 or a2 or a3) a_total, count(*) filter (b) b_total, count(*) filter (b and not (a1 or a2 or a3)) b_new from f")
+@query(f"with {_FLAGS} select {_CONTRIBUTIONS} from f")
 def rule_contribution(t: Tables) -> DataFrame:
-    return labels.contributions(labels.label_rule(t.documents.select(F.col("text").alias("event_title"), F.col("text").alias("nature_title"))))
+    return labels.contributions(_titled(t))
 
 
 @query("select " + _norm("p_name") + " title, count(*) n_rows, count(distinct p_name) raw_titles, array_to_string(list_sort(list(distinct p_name)), '|') as collapsed from part group by 1")
@@ -185,9 +196,17 @@ def era_stability(t: Tables) -> DataFrame:
     return labels.era_stability(t.orders, F.year("o_orderdate") >= 1998, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
 
 
-@query("with e as (select o_orderkey id, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) > 1 e2, o_orderpriority = '' e3, length(o_orderpriority) < 20 e4 from orders) select id, e2, false e1, false e3, coalesce(e4, false) e4, true excluded from e")
+@query(
+    "with e as (select o_orderkey id, o_orderkey % 11 = 0 or o_orderkey % 13 = 0 e3, o_orderkey % 11 <> 0 and o_orderkey % 7 = 0 e1, row_number() over (partition by case when o_orderkey % 3 = 0 then o_custkey else -o_orderkey end order by o_orderkey) > 1 e2, o_orderkey % 17 <> 0 and o_orderkey % 5 = 0 e4 from orders) "
+    "select id, e1, e2, e3, e4, e1 or e2 or e3 or e4 excluded from e"
+)
 def exclusion_frame(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("event_title"), F.col("o_orderpriority").alias("narrative"))
+    """Orders as incidents, with missing titles of both kinds, excluded events, repeated ids and short or missing narratives among them."""
+    k = F.col("o_orderkey")
+    event = F.when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, F.lit("Animal  bites, nonvenomous")).otherwise(F.col("o_orderpriority"))
+    story = F.when(k % 17 == 0, F.lit(None)).when(k % 5 == 0, F.lit("nineteen characters")).otherwise(F.lit("a narrative of enough length"))
+    id_ = F.when(k % 3 == 0, F.col("o_custkey")).otherwise(-k)
+    rows = t.orders.select(id_.alias("id"), k.alias("seq"), event.alias("event_title"), F.when(k % 13 != 0, F.col("o_orderstatus")).alias("nature_title"), story.alias("narrative"))
     return labels.exclusions(rows).select(F.col("seq").alias("id"), "e1", "e2", "e3", "e4", "excluded")
 
 
@@ -197,7 +216,7 @@ def balanced_sample(t: Tables) -> DataFrame:
     return labels.balanced_sample(rows, "positive", 100, (F.col("doc_id") * 7919) % 10007, F.col("doc_id"))
 
 
-@query("with r as (select doc_id, row_number() over (order by ((doc_id * 7919) % 10007) % 64, (doc_id * 7919) % 10007, doc_id) n, count(*) over () k from documents) select doc_id, case when n <= round_even(k * 0.6::double, 0) then 'clean' when n <= round_even(k * 0.6::double, 0) + round_even(k * 0.3::double, 0) then 'moderate' else 'heavy' end noise_tier from r")
+@query("with r as (select doc_id, row_number() over (order by (doc_id * 7919) % 10007, doc_id) n, count(*) over () k from documents) select doc_id, case when n <= round_even(k * 0.6::double, 0) then 'clean' when n <= round_even(k * 0.6::double, 0) + round_even(k * 0.3::double, 0) then 'moderate' else 'heavy' end noise_tier from r")
 def noise_tiers(t: Tables) -> DataFrame:
     return labels.noise_tiers(t.documents.select("doc_id"), (F.col("doc_id") * 7919) % 10007, "doc_id")
 
@@ -231,14 +250,15 @@ def leakage(t: Tables) -> DataFrame:
 # -- texts --------------------------------------------------------------------------------------
 
 
-@query("select doc_id, regexp_matches(text, '[\\x{0900}-\\x{097F}]') devanagari, case when length(x) > 180 then x[:180] || '…' else x end excerpt from (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) x from documents)")
+@query(f"with p as (select doc_id, {planted_sql('script')} t from documents) select doc_id, regexp_matches(t, '[\\x{{0900}}-\\x{{097F}}]') devanagari, case when length(x) > 180 then x[:180] || '…' else x end excerpt from (select *, trim(regexp_replace(t, '\\s+', ' ', 'g')) x from p)")
 def script_and_excerpt(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.has_devanagari(F.col("text")).alias("devanagari"), text.excerpt(F.col("text")).alias("excerpt"))
+    rows = t.documents.select("doc_id", planted("script").alias("text"))
+    return rows.select("doc_id", text.has_devanagari(F.col("text")).alias("devanagari"), text.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("select doc_id, regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(" + "|".join(fixed.CONTROL_TERMS).replace(r"\w*", r"[\pL\pN_]*") + ")([^\\pL\\pN_]|$)') names_control from documents")
+@query("select doc_id, regexp_matches(" + planted_sql("control") + ", '(?i)(^|[^\\pL\\pN_])(" + "|".join(fixed.CONTROL_TERMS).replace(r"\w*", r"[\pL\pN_]*") + ")([^\\pL\\pN_]|$)') names_control from documents")
 def control_language(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.names_control(F.col("text")).alias("names_control"))
+    return t.documents.select("doc_id", text.names_control(planted("control")).alias("names_control"))
 
 
 def _sql_map(terms: dict[str, str]) -> str:
@@ -253,27 +273,34 @@ def _sql_mapped(body: str, terms: dict[str, str]) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({body}, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), lambda p: coalesce({_sql_map(single)}[lower(p)], p)), '')"
 
 
-@query(f"select doc_id, {_sql_mapped('text', fixed.ACRONYMS)} expanded from documents")
+@query(f"select doc_id, {_sql_mapped(planted_sql('acronym'), fixed.ACRONYMS)} expanded from documents")
 def acronym_expand(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.expand_acronyms(F.col("text")).alias("expanded"))
+    return t.documents.select("doc_id", text.expand_acronyms(planted("acronym")).alias("expanded"))
 
 
 #: A lexicon for texts in French, Spanish and German, as that of Roman Hindi is a parameter.
 _LEXICON = {"los": "the", "die": "the", "del": "of", "que": "that", "la": "the", "und": "and"}
+#: What planted misspellings are repaired to.
+_REPAIRED = ["equipment", "working", "safety"]
 _SPARED = sorted(set(fixed.DOMAIN_WORDS) | set(_LEXICON) | {w for v in _LEXICON.values() for w in v.split()} | set(fixed.ACRONYMS) | {w for v in fixed.ACRONYMS.values() for w in v.split()} | {"dg", "set"})
 
 
 @query(
-    f"with stems as (select regexp_replace(lower(unnest(regexp_extract_all(text, '[\\pL\\pN_'']+'))), chr(39) || 's$', '') word from documents), known as (select word from stems group by 1 having length(word) >= 4 or count(*) >= 40 union select unnest([{', '.join(repr(w) for w in _SPARED)}])), "
-    f"ex as (select doc_id, text raw, {_sql_mapped('text', fixed.ACRONYMS)} e from documents), m as (select doc_id, raw, {_sql_mapped('e', _LEXICON)} n, len(list_filter(regexp_extract_all(lower(e), '[\\pL\\pN_]+'), lambda w: list_contains([{', '.join(repr(w) for w in _LEXICON)}], w))) mapped from ex), "
+    f"with stems as (select regexp_replace(lower(unnest(regexp_extract_all(text, '[\\pL\\pN_'']+'))), chr(39) || 's$', '') word from documents), known as (select word from stems group by 1 having length(word) >= 4 or count(*) >= 40 union select unnest([{', '.join(repr(w) for w in [*_SPARED, *_REPAIRED])}])), "
+    f"ex as (select doc_id, {planted_sql('misspelt')} raw, {_sql_mapped(planted_sql('spelt'), fixed.ACRONYMS)} e from documents), m as (select doc_id, raw, {_sql_mapped('e', _LEXICON)} n, len(list_filter(regexp_extract_all(lower(e), '[\\pL\\pN_]+'), lambda w: list_contains([{', '.join(repr(w) for w in _LEXICON)}], w))) mapped from ex), "
     "u as (select doc_id, count(*) unknown from (select doc_id, lower(unnest(regexp_extract_all(n, '[a-zA-Z]+(?:''[a-zA-Z]+)*'))) word from m) where word not in (select word from known) group by 1), "
     "j as (select m.*, coalesce(unknown, 0) unknown, case when mapped + coalesce(unknown, 0) = 0 then 1.0::double else mapped::double / (mapped + coalesce(unknown, 0)) end share, raw is null or trim(regexp_replace(raw, '\\s', ' ', 'g')) = '' blank from m left join u using (doc_id)) "
     "select doc_id, case when blank then '' when share < 0.5 then raw else n end cleaned_text, case when blank then 'en' when mapped > 0 then 'hi-en' else 'en' end language_detected, case when blank then 1.0::double else share end confidence, not blank and share < 0.5 degraded from j"
 )
 def clean_reports(t: Tables) -> DataFrame:
-    """Whole documents cleaned; the dictionary holds every word that is long enough for the repair of spelling, and common short ones."""
+    """Whole documents cleaned, some with misspelt words at their end.
+
+    The dictionary holds every word of the documents that is long enough for the repair of spelling,
+    common short ones, and what the misspelt words should be; these are repaired.
+    """
     known = spelling.stems(t.documents, "text").groupBy("word").agg(F.count("*").alias("freq")).where((F.length("word") >= 4) | (F.col("freq") >= 40))
-    return cleaning.clean_reports(t.documents, "doc_id", "text", known, _LEXICON, digits=None).select("doc_id", "cleaned_text", "language_detected", F.col("normalization_confidence").alias("confidence"), "degraded")
+    known = known.union(t.spark.createDataFrame([(w, 1) for w in _REPAIRED], "word string, freq long"))
+    return cleaning.clean_reports(t.documents.withColumn("text", planted("misspelt")), "doc_id", "text", known, _LEXICON, digits=None).select("doc_id", "cleaned_text", "language_detected", F.col("normalization_confidence").alias("confidence"), "degraded")
 
 
 @query()
@@ -444,8 +471,3 @@ def density_dedup(t: Tables) -> DataFrame:
     reports = t.reports()
     again = repeats.exact_repeats(reports.select("report_id", "raw_text"), "report_id", "raw_text", "report_id")
     return reads.density_by_site(repeats.without(reports, again, "report_id"), t.classifications(), t.sites(), digits=None)
-
-
-@query()
-def near_dup_ratio(t: Tables) -> DataFrame:
-    return repeats.ratio_repeats(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", "p_partkey")

@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import files
 from ..streaming import ingest
 from .audits import _GRID, _arriving, _rule_scores, _tagged_documents
-from .registry import _LEXICON, _PER_RULE, _RATE, _REPORTS, _RULES, _SCORES, _SITES, _SPANS, _TAGS, _VERDICTS, _WILSON, _decisions, _listed, _vocabulary, query
+from .registry import _CONTRIBUTIONS, _FLAGS, _LEXICON, _PER_RULE, _RATE, _REPORTS, _RULES, _SCORES, _SITES, _SPANS, _TAGS, _VERDICTS, _WILSON, _decisions, _listed, _titled, _vocabulary, query
 from .views import Tables
 
 _KEY = "(doc_id * 7919) % 10007"
@@ -179,11 +179,10 @@ def lexicon_audit(t: Tables) -> DataFrame:
 _PUBLISHED = {"frame": 103_190, "positive": 68_434, "a1": 13_561, "a2": 52_527, "a3_new": 55, "a_total": 65_721, "b_total": 8_878, "b_new": 2_713}
 
 
-@query("with e as (select trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) x from documents), f as (select regexp_matches(x, 'fall to lower level|fall through surface|jump to lower level') and not contains(x, 'less than 6 feet') a1, regexp_matches(x, '" + "|".join(fixed.HIGH_ENERGY) + "') a2, contains(x, 'curtailed by') a3, regexp_matches(x, '" + "|".join(fixed.LETHAL_NATURE) + "') b from e), g as (select count(*) frame, count(*) filter (a1 or a2 or a3 or b) positive, count(*) filter (a1) a1, count(*) filter (a2) a2, count(*) filter (a3 and not a1 and not a2) a3_new, count(*) filter (a1 or a2 or a3) a_total, count(*) filter (b) b_total, count(*) filter (b and not (a1 or a2 or a3)) b_new from f), u as (unpivot g on " + ", ".join(_PUBLISHED) + " into name \"check\" value got), w as (select unnest([" + ", ".join(f"'{k}'" for k in _PUBLISHED) + "]) \"check\", unnest([" + ", ".join(str(v) for v in _PUBLISHED.values()) + "])::bigint want) select \"check\", got, want, got = want ok from u join w using (\"check\")")
+@query(f"with {_FLAGS}, g as (select {_CONTRIBUTIONS} from f), u as (unpivot g on " + ", ".join(_PUBLISHED) + " into name \"check\" value got), w as (select unnest([" + ", ".join(f"'{k}'" for k in _PUBLISHED) + "]) \"check\", unnest([" + ", ".join(str(v) for v in _PUBLISHED.values()) + "])::bigint want) select \"check\", got, want, got = want ok from u join w using (\"check\")")
 def rule_verification(t: Tables) -> DataFrame:
     """Counts of the labelling rule over documents against those published for the incident file."""
-    counts = labels.contributions(labels.label_rule(t.documents.select(F.col("text").alias("event_title"), F.col("text").alias("nature_title"))))
-    found = counts.unpivot([], list(_PUBLISHED), "name", "n")
+    found = labels.contributions(_titled(t)).unpivot([], list(_PUBLISHED), "name", "n")
     wanted = t.spark.createDataFrame(list(_PUBLISHED.items()), "name string, n long")
     return audits.verified(found, wanted, "name", "n")
 
@@ -376,13 +375,3 @@ class _Stream:
 
     def __init__(self, t: Tables):
         self.documents = _arriving(t, "documents")
-
-
-@query()
-def density_near_dedup(t: Tables) -> DataFrame:
-    """Density by part type with parts left out whose name is nearly that of an earlier part."""
-    again = repeats.ratio_repeats(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", "p_partkey")
-    kept = repeats.without(t.part.select("p_partkey", F.col("p_type").alias("group_name")), again, "p_partkey")
-    lines = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), (F.col("l_returnflag") == "R").cast("long").alias("r"))
-    rows = lines.join(kept, "p_partkey").groupBy("group_name").agg(F.count("*").alias("total"), F.sum("r").alias("positives"))
-    return reads.rank_order(reads.ranked(rows, digits=None))

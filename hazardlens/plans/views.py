@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 
 
+#: What stands at the end of documents, by ``doc_id`` modulo the first number, for rules that no document meets by itself.
+PLANTED = {
+    "event": (12, {0: ". Other fall to lower level 20 feet", 1: ". Other fall to lower level less than 6 feet", 2: ". Struck by falling object, or equipment", 3: " Fall or jump curtailed by personal fall arrest system", 4: " EXPLOSION of nonpressurized vapors"}),
+    "nature": (10, {0: ". Electrocutions, electric shocks", 1: ". Asphyxiations, strangulations, suffocations", 2: ". Cuts, lacerations"}),
+    "control": (9, {0: " the guard was NOT locked", 4: " guardian angels of lockers", 7: " isolated by a banksman"}),
+    "acronym": (8, {0: " no PPE, LOTO by the hse", 3: " ppe-check by xPPE", 5: " SIMOPS_1 h2s."}),
+    "script": (6, {2: " सुरक्षा", 4: " suraksha"}),
+    "misspelt": (7, {0: " Equipmnt", 2: " wrking saefty", 3: " equipment"}),
+    "spelt": (7, {0: " Equipment", 2: " working safety", 3: " equipment"}),
+}
+
+
+def planted_sql(kind: str, body: str = "text") -> str:
+    """SQL of ``body`` with what ``planted`` adds."""
+    k, said = PLANTED[kind]
+    return f"({body} || case doc_id % {k} " + " ".join(f"when {r} then '{t}'" for r, t in said.items()) + " else '' end)"
+
+
+def planted(kind: str, body: str = "text") -> Column:
+    k, said = PLANTED[kind]
+    end = F.lit("")
+    for r, t in said.items():
+        end = F.when(F.col("doc_id") % k == r, F.lit(t)).otherwise(end)
+    return F.concat(F.col(body), end)
+
+
 class Tables:
     """Given tables of one folder, and views on them; nothing is read before it is asked for."""
 

@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: worked out once, however often it is used."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` made and nothing reads any more; others are left alone."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path is not None:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most so many rows, looking at no more than that many."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:

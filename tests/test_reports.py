@@ -184,8 +184,10 @@ def test_label_rule(spark):
 
 def test_exclusions(spark):
     rows = [("1", 0, "x", "a narrative of enough length"), ("1", 1, "x", "a narrative of enough length"), ("2", 2, None, "a narrative of enough length"), ("3", 3, "x", "nineteen characters"), ("4", 4, "x", None), ("5", 5, "animal bites", "a narrative of enough length")]
-    got = labels.exclusions(spark.createDataFrame(rows, "id string, seq int, event_title string, narrative string")).orderBy("seq").collect()
-    assert [r.excluded for r in got] == [False, True, True, True, False, True]
+    rows = [(*r, "burns") for r in rows] + [("6", 6, "x", "a narrative of enough length", None), ("7", 7, None, None, None)]
+    got = labels.exclusions(spark.createDataFrame(rows, "id string, seq int, event_title string, narrative string, nature_title string")).orderBy("seq").collect()
+    assert [r.excluded for r in got] == [False, True, True, True, False, True, True, True]
+    assert [r.e3 for r in got] == [False, False, True, False, False, False, True, True] and not any(r.e1 is None for r in got)
 
 
 def test_tiers_and_splits(spark):
