@@ -323,11 +323,12 @@ def _arriving(t: Tables, name: str) -> DataFrame:
 
 @query("select toxic group_name, count(*) total, cast(sum(quality) as bigint) positives from labels group by 1")
 def stream_density(t: Tables) -> DataFrame:
-    """Labels as a stream: each batch stores its counts, and reading sums them."""
-    root = shared_folder(t.spark)
+    """Labels as a stream: each batch stores its counts; they are compacted, and reading sums what there is."""
+    root, schema = shared_folder(t.spark), "toxic int, total long, positives long"
     arriving = _arriving(t, "labels").select("toxic", (F.col("quality") == 1).alias("sif_potential"))
     ingest.start_density(arriving, "toxic", f"{root}/counts", f"{root}/checkpoint").awaitTermination()
-    return ingest.density(t.spark.read.schema("toxic int, total long, positives long").option("recursiveFileLookup", True).parquet(f"{root}/counts"), "toxic")
+    ingest.compact(t.spark, f"{root}/counts", "toxic", schema)
+    return ingest.density(ingest.deltas(t.spark, f"{root}/counts", schema), "toxic")
 
 
 @query("select coalesce(source, '') site_id, count(distinct text) first_texts from documents where text is not null group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import reads
 from ..session import shared_folder
 from ..sources import manifest
+from ..streaming import ingest, queue
 from .registry import _VERDICTS, query
 from .views import Tables
 
@@ -45,3 +46,36 @@ def appended_versions(t: Tables) -> DataFrame:
     second = manifest.commit(t.spark, root, first, added=rows)
     out = [manifest.read(t.spark, root, number)[name].agg(F.lit(said).alias("version"), F.lit(name).alias("name"), F.count("*").alias("n")) for said, number in (("first", first), ("second", second)) for name in rows]
     return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+# -- streams that are stopped and begun again ---------------------------------------------------
+
+
+@query(f"with {_VERDICTS}, {_DECIDED} select report_id, confidence from verdicts where confidence < 0.65 and review_status = 'auto' and report_id not in (select report_id from d)")
+def stream_queue(t: Tables) -> DataFrame:
+    """Verdicts and decisions arrive in three parts, and the stream is begun anew for each: who still waits for a review."""
+    root = shared_folder(t.spark)
+    arrived = queue.arriving_verdicts(t.classifications()).union(queue.arriving_decisions(t.decisions(), F.col("seq")))
+    for part in range(3):
+        arrived.where(F.pmod(F.xxhash64("report_id", "kind", "at"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(queue.ARRIVING).parquet(f"{root}/in")
+        queue.start_queue(stream, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    return queue.waiting(t.spark, f"{root}/changes")
+
+
+@query("select count(*) arrived, count(*) filter (doc_id % 6 = 2) late from documents")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """Documents arrive on three days, the last with reports of the first day, which are too late and counted."""
+    root = shared_folder(t.spark)
+    day = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 6 == 2, 0).otherwise(10)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(days=day, secs=(F.col("doc_id") % 86_400).cast("decimal(18,6)"))
+    rows = t.documents.select("doc_id", F.coalesce("source", F.lit("")).alias("site_id"), F.coalesce("text", F.lit("")).alias("raw_text"), at.alias("submitted_at"))
+    late = []
+    for part in range(3):
+        rows.where(F.col("doc_id") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        stream = ingest.without_resubmissions(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+        run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+        late += ingest.late_rows(run)
+    metrics = t.spark.createDataFrame(late or [(0, 0)], "batch long, late long")
+    return metrics.agg(F.sum("late").alias("late")).crossJoin(rows.agg(F.count("*").alias("arrived"))).select("arrived", "late")  # one row each
