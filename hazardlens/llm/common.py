@@ -123,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: in every round each node hands its neighbours to
     its smallest neighbour, so the number of rounds is logarithmic in practice and no node's
     neighbour list is ever held in memory; minima are pre-aggregated before each shuffle, and the
-    links of a hub are dealt over HUB_PARTS parts. Each round is written to the shared folder, so a
+    links of a hub, on whichever side it stands, are dealt over HUB_PARTS parts. Each round is written to the shared folder, so a
     lost executor costs one round at most, and the round before it is deleted then. Null ends and
     self-links are ignored; no edges give no rows.
     """
@@ -140,10 +140,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours are linked to the smallest of the neighbourhood
         least = current.groupBy("a").agg(F.min("b").alias("m"))
         large = dealt_join(current.select(F.col("b").alias("a"), F.col("a").alias("b")), least, "a", state.hubs, "b", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
+        large = written(large, "edges")
         # small star: each node's smaller neighbours and itself go to the smallest of them
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least2, "a")
+            dealt_join(large, least2, "a", hot_keys(large.groupBy("a").agg(F.count("*").alias("n")), "a", "n"), "b")
             .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
@@ -151,6 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         after = written(small, "edges")
         discard(current)
+        discard(large)
         current = after
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

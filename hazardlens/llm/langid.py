@@ -329,11 +329,12 @@ def train(docs: DataFrame, rank_path: str, text_col: str = "text", lang_col: str
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     lengths = np.array([len(v) for v in vocab])
     prob = np.repeat((20.0 ** -lengths / (20.0 ** -lengths).sum())[:, None], len(langs), 1)
+    trie = ("langid-pieces", uuid.uuid4().hex)  # built once a worker, for all tasks of all rounds
     for _ in range(rounds):
         p = lifted(prob, lengths)
 
         def expect(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
-            pieces, seen = Pieces(vocab), np.zeros((len(vocab), len(langs)))
+            pieces, seen = worker_memory(trie, lambda: Pieces(vocab)), np.zeros((len(vocab), len(langs)))
             place = {lang: i for i, lang in enumerate(langs)}
             for batch in batches:
                 lang = np.array([place[v] for v in batch.column(0).to_pylist()], np.int64)

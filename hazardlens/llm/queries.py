@@ -31,7 +31,7 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,7 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000, chain_docs
 
     The sample is by a hash of doc_id; of near copies in it one is used, since copies of one toxic
     text would make all of its words look toxic. The chain sees ``windows`` windows at most, as
-    numbers of features: no text of the sample reaches the driver.
+    numbers of features: no text of the sample reaches the driver. Of windows without a word of the
+    lexicon it sees one in eight.
     Conflicting labels of one document count as toxic; documents
     without a label, an id or a text teach nothing. Lexicon counts are gathered by Spark.
     """

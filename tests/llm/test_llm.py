@@ -734,7 +734,7 @@ def test_divide_skip_queries_again_when_another_group_becomes_the_largest():
 def test_components(spark, monkeypatch, hub):
     monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(2)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2040)] + [(2040, i) for i in range(2001, 2080, 3)] + [(None, 3), (4, None), (7, 7)]
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2040)] + [(2040, i) for i in range(2001, 2080, 3)] + [(i, 3000) for i in range(2500, 2560)] + [(None, 3), (4, None), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     up = {x: x for p in pairs if None not in p for x in p}
     for _ in range(len(pairs)):
