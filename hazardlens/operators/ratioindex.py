@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a q-gram, longest first; with single characters a text is sure to share most of them at any length.
-LEVELS = (12, 8, 3, 2, 1)
+LEVELS = (8, 3, 2, 1)
 #: Part of a text's q-grams that it must share to be listed by them.
 SURE = 0.1
 #: From this length on the sequence matcher calls a character frequent if it makes up over a hundredth, and one.

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import stored
 from . import ratioindex
 from .graph import dealt_join, hot_keys
+from .ranks import ranked_within
 
 
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
@@ -48,32 +49,32 @@ def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
     """``(id, match_id, ratio)``: the first earlier text whose sequence ratio reaches ``threshold``.
 
-    Equal texts are one text of the first that came; null and blank texts repeat nothing. Candidates come
-    from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
+    Texts come in the order of ``order``, ties by id. Equal texts are one text of the first that came; null
+    and blank texts repeat nothing. Candidates come from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
     candidates first, and if that is like it, is done: so a group of near copies costs one comparison
     a text. Only the others are compared with all their candidates. Ratios are worked out row by row in
     Arrow batches, and only where letter counts leave them possible.
     """
     keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), F.sha2(F.col(body), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
-    firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at"))
-    # texts are numbered by their own hash; each text is read once more and kept once
-    texts = stored(keyed.join(firsts, ["_text", "_at"]).dropDuplicates(["_text"]).select(F.xxhash64("_text", F.lit("near")).alias("id"), "t", "_text", F.col("_at.at").alias("at"), F.col("_at.row").alias("row")))
-    levels = ratioindex.levels_used(texts, threshold)
-    posted = stored(ratioindex.postings(texts, levels, threshold))
+    firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at")).select("_text", "_at", F.col("_at.at").alias("at"), F.col("_at.row").alias("row"))
+    # texts are numbered in the order in which they came
+    places = ranked_within(firsts, [], [F.col("at"), F.col("row")]).select("_text", "_at", "row", F.col("_rank").cast("long").alias("id"))
+    texts = stored(keyed.join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "_text", "row"))
+    posted = stored(ratioindex.postings(texts, ratioindex.levels_used(texts, threshold), threshold))
     earlier, later = ratioindex.lists(posted)
-    when = texts.select("id", F.struct("at", "row").alias("w"))
-    earlier = stored(earlier.join(when.withColumnRenamed("id", "y").withColumnRenamed("w", "w_y"), "y"))
-    later = stored(later.join(earlier.select("level", "gram").distinct(), ["level", "gram"], "left_semi").join(when.withColumnRenamed("id", "a").withColumnRenamed("w", "w_a"), "a"))
-    reach = threshold / (2 - threshold)
-    fits = (F.col("w_y.at") < F.col("w_a.at")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
+    earlier = stored(earlier)
     # the earliest text of each list, and of those the earliest for each text
-    heads = earlier.groupBy("level", "gram").agg(F.min(F.struct("w_y", "y", "n_y")).alias("h")).select("level", "gram", "h.*")
-    best = later.join(heads, ["level", "gram"]).where(F.col("w_y.at") < F.col("w_a.at")).groupBy("a").agg(F.min(F.struct("w_y", "y", "n_y", "n_a", "w_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y")
-    done = stored(_ratios(stored(best), texts, threshold))
-    rest = later.join(done.select("a"), "a", "left_anti")
+    heads = earlier.groupBy("level", "gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("level", "gram", "h.y", "h.n_y")
+    later = stored(later.join(heads, ["level", "gram"]).where("y < a"))
+    reach = threshold / (2 - threshold)
+    fits = (F.col("y") < F.col("a")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
+    best = stored(later.groupBy("a").agg(F.min(F.struct("y", "n_y", "n_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y"))
+    done = stored(_ratios(best, texts, threshold))
+    rest = later.drop("y", "n_y").join(done.select("a"), "a", "left_anti")
     pairs = rest.join(earlier, ["level", "gram"]).where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y")
     hits = done.union(_ratios(stored(pairs.join(best, ["a", "y"], "left_anti")), texts, threshold))
-    first = hits.join(when.withColumnRenamed("id", "y"), "y").groupBy("a").agg(F.min(F.struct("w", "ratio")).alias("m")).select(F.col("a").alias("id"), F.col("m.w.row").alias("near"), "m.ratio")
+    first = hits.groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio")
+    first = first.join(texts.select(F.col("id").alias("y"), F.col("row").alias("near")), "y").select(F.col("a").alias("id"), "near", "ratio")
     known = texts.select("id", "_text", F.col("row").alias("first")).join(first, "id", "left")
     out = dealt_join(keyed.select("_row", "_text"), known.drop("id"), "_text", hot_keys(keyed, "_text"), "_row")
     same = F.col("_row") != F.col("first")
