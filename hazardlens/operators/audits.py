@@ -42,6 +42,12 @@ def outcome_table(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return rows.groupBy(*[F.coalesce(c, F.lit(False)).alias(name) for name, c in flags.items()]).agg(F.count("*").alias("n"))
 
 
+def outcome_margins(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """``outcome_table`` with its margins: a flag that is null is summed over, and ``level`` says which are."""
+    named = rows.select(*[F.coalesce(c, F.lit(False)).alias(name) for name, c in flags.items()])
+    return named.cube(*flags).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+
+
 def tag_support(rows: DataFrame, tags: str = "tags") -> DataFrame:
     """Per rule: rows that have it, whether a model can be fitted on it, whether it is the rarest such rule."""
     names = rows.sparkSession.createDataFrame([(i, r) for i, r in enumerate(fixed.RULES)], "ordinal int, rule_name string")

@@ -151,16 +151,25 @@ def leaks(train: DataFrame, test: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def ingested_responses(responses: DataFrame, required: list[str], item_schema: str) -> tuple[DataFrame, DataFrame]:
-    """(items, rejected batches) of ``responses(batch_id, expected, body)``: JSON ``{"items": [...]}``.
+    """(items, rejected batches with their ``reason``) of ``responses(batch_id, expected, body)``: JSON ``{"items": [...]}``.
 
-    A batch counts only if it parses, holds the expected number of items, item i has index i and the
-    required fields aren't blank; else the whole batch is rejected.
+    A batch counts only if it parses, holds a list of the expected number of items, item i has index i and
+    the required fields aren't blank; else the whole batch is rejected. Bodies are read as VARIANT, so one of
+    another shape is told apart from one with fields missing. Batch ids are unique.
     """
-    parsed = responses.withColumn("p", F.from_json(text.json_object(F.col("body")), f"items array<struct<{item_schema}>>"))
-    items = parsed.where("p.items is not null").select("batch_id", "expected", F.posexplode("p.items").alias("place", "item"))
-    ok = (F.col("item.index") == F.col("place")) & F.forall(F.array(*[F.col(f"item.{c}").cast("string") for c in required]), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    good = items.groupBy("batch_id", "expected").agg(F.count("*").alias("n"), F.min(F.coalesce(ok, F.lit(False)).cast("int")).alias("ok")).where("n = expected and ok = 1").select("batch_id")
-    return items.join(good, "batch_id", "left_semi").select("batch_id", "place", "item.*"), responses.join(good, "batch_id", "left_anti")
+    fields = dict(f.split(":") for f in item_schema.split(","))
+    body = F.try_parse_json(text.json_object(F.col("body")))
+    parsed = responses.withColumn("_body", body).withColumn("_items", F.try_variant_get("_body", "$.items", "array<variant>"))
+    items = parsed.where("_items is not null").select("batch_id", F.posexplode("_items").alias("place", "_item"))
+    items = items.select("batch_id", "place", *[F.try_variant_get("_item", f"$.{c}", kind).alias(c) for c, kind in fields.items()])
+    blank = F.exists(F.array(*[F.col(c).cast("string") for c in required]), lambda v: v.isNull() | (F.trim(v) == ""))
+    judged = items.groupBy("batch_id").agg(F.count_if(F.coalesce(F.col("index") != F.col("place"), F.lit(True))).alias("_misplaced"), F.count_if(blank).alias("_blank"))
+    reason = (
+        F.when(F.col("_body").isNull(), "not JSON").when(F.col("_items").isNull(), "no list of items")
+        .when(~F.size("_items").eqNullSafe(F.col("expected")), "other number of items").when(F.col("_misplaced") > 0, "items out of place").when(F.col("_blank") > 0, "required field missing")
+    )
+    told = parsed.join(judged, "batch_id", "left").select(*[F.col(f"`{c}`") for c in responses.columns], reason.alias("reason"))
+    return items.join(told.where("reason is null").select("batch_id"), "batch_id", "left_semi"), told.where("reason is not null")
 
 
 def fill_only(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:

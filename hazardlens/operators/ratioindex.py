@@ -94,38 +94,40 @@ def levels_used(texts: DataFrame, threshold: float) -> list[tuple[int, int, int]
 
 
 def postings(texts: DataFrame, used: list[tuple[int, int, int]], threshold: float) -> DataFrame:
-    """``(id, own, least, n, level, grams)`` of ``texts(id, t)``: q-grams of every level at which an earlier text may be found.
+    """``(id, n, own, least, grams)`` of ``texts(id, t, part)``: q-grams of every level at which an earlier text may be found.
 
-    ``own`` is the level at which the text itself is found as the earlier one, ``least`` the number it shares.
+    ``own`` says whether the text itself is found at this level as the earlier one, ``least`` how many it then
+    shares. Level and ``part`` (a hash of what both texts must have in common) are in the values of q-grams.
     """
     reach = threshold / (2 - threshold)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
         for b in batches:
             out: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t, part in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 codes = _codes(t)
                 n = len(codes)
                 own, least = level_of(n, rare_characters(codes), threshold)
-                out += [(i, own, least, n, level, grams(codes, LEVELS[level]).view(np.int64)) for level, low, high in used if low * reach - 1 <= n <= high / reach + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["id", "own", "least", "n", "level", "grams"])
+                for level, low, high in used:
+                    if low * reach - 1 <= n <= high / reach + 1:
+                        salt = np.uint64((part + level * 0x9E3779B97F4A7C15) % (1 << 64))
+                        out.append((i, n, own == level, least, _mixed(grams(codes, LEVELS[level]) + salt).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["id", "n", "own", "least", "grams"])
 
-    return texts.select("id", "t").mapInArrow(made, "id long, own int, least long, n long, level int, grams array<long>")
+    return texts.select("id", "t", "part").mapInArrow(made, "id long, n long, own boolean, least long, grams array<long>")
 
 
-def lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(earlier(gram, level, y, n_y, asks), later(gram, level, a, n_a))``: what texts are found by, and what they look for.
+def lists(posted: DataFrame) -> DataFrame:
+    """``(gram, y, n_y, asks)``: what earlier texts are found by.
 
-    A q-gram of one text only finds nothing and stands in neither. An earlier text leaves the most
+    A q-gram of one text only finds nothing and stands in no list. An earlier text leaves the most
     frequent half of ``least`` q-grams out, those of one text counting as the rarest; what is like it
     shares at least ``asks`` of the others.
     """
-    each = posted.select("id", "own", "least", "n", "level", F.explode("grams").alias("gram"))
-    often = each.groupBy("level", "gram").agg(F.count("*").alias("df")).where("df > 1")
-    later = each.join(often, ["level", "gram"])
+    often = posted.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    mine = posted.where("own").select("id", "n", "least", F.explode("grams").alias("gram")).join(often, "gram")
     # ranks among a text's own q-grams: a list of the length of the text
-    kept = later.where("level = own").groupBy("id", "level", "least", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram")), asc=False).alias("g"))
+    kept = mine.groupBy("id", "least", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram")), asc=False).alias("g"))
     left_out = F.expr("least div 2")
-    earlier = kept.select(F.col("id").alias("y"), F.col("n").alias("n_y"), "level", (F.col("least") - left_out).alias("asks"), F.explode(F.slice("g", (left_out + 1).cast("int"), F.size("g"))).alias("e"))
-    return earlier.select("e.gram", "level", "y", "n_y", "asks"), later.select("gram", "level", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    return kept.select(F.col("id").alias("y"), F.col("n").alias("n_y"), (F.col("least") - left_out).alias("asks"), F.explode(F.slice("g", (left_out + 1).cast("int"), F.size("g"))).alias("e")).select("e.gram", "y", "n_y", "asks")

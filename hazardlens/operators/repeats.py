@@ -46,32 +46,34 @@ def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "y", ratio("t_a", "t_y").alias("ratio")).where(F.col("ratio") >= threshold)
 
 
-def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD) -> DataFrame:
+def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD, within: str | None = None) -> DataFrame:
     """``(id, match_id, ratio)``: the first earlier text whose sequence ratio reaches ``threshold``.
 
+    With ``within``, a column, only rows that are alike in it (null too) are compared.
+
     Texts come in the order of ``order``, ties by id. Equal texts are one text of the first that came; null
     and blank texts repeat nothing. Candidates come from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
     candidates first, and if that is like it, is done: so a group of near copies costs one comparison
     a text. Only the others are compared with all their candidates. Ratios are worked out row by row in
     Arrow batches, and only where letter counts leave them possible.
     """
-    keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), F.sha2(F.col(body), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
+    part = F.lit(0).cast("long") if within is None else F.xxhash64(F.col(within).isNull(), F.col(within))
+    keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), part.alias("part"), F.sha2(F.concat(part.cast("string"), F.lit(":"), F.col(body)), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
     firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at")).select("_text", "_at", F.col("_at.at").alias("at"), F.col("_at.row").alias("row"))
     # texts are numbered in the order in which they came
     places = ranked_within(firsts, [], [F.col("at"), F.col("row")]).select("_text", "_at", "row", F.col("_rank").cast("long").alias("id"))
-    texts = stored(keyed.join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "_text", "row"))
+    texts = stored(keyed.join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "part", "_text", "row"))
     posted = stored(ratioindex.postings(texts, ratioindex.levels_used(texts, threshold), threshold))
-    earlier, later = ratioindex.lists(posted)
-    earlier = stored(earlier)
+    earlier = stored(ratioindex.lists(posted))
     # the earliest text of each list, and of those the earliest for each text
-    heads = earlier.groupBy("level", "gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("level", "gram", "h.y", "h.n_y")
-    later = stored(later.join(heads, ["level", "gram"]).where("y < a"))
+    heads = earlier.groupBy("gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("gram", "h.y", "h.n_y")
+    later = stored(posted.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode("grams").alias("gram")).join(heads, "gram").where("y < a"))
     reach = threshold / (2 - threshold)
     fits = (F.col("y") < F.col("a")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
     best = stored(later.groupBy("a").agg(F.min(F.struct("y", "n_y", "n_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y"))
     done = stored(_ratios(best, texts, threshold))
     rest = later.drop("y", "n_y").join(done.select("a"), "a", "left_anti")
-    pairs = rest.join(earlier, ["level", "gram"]).where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y")
+    pairs = rest.join(earlier, "gram").where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y")
     hits = done.union(_ratios(stored(pairs.join(best, ["a", "y"], "left_anti")), texts, threshold))
     first = hits.groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio")
     first = first.join(texts.select(F.col("id").alias("y"), F.col("row").alias("near")), "y").select(F.col("a").alias("id"), "near", "ratio")

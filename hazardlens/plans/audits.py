@@ -69,6 +69,22 @@ def response_items(t: Tables) -> DataFrame:
     return items.select("batch_id", F.col("index").alias("place"), "body")
 
 
+@query(
+    "select conv_id || '/' || turn // 4 batch_id, count(*)::integer + (conv_id % 5 = 0)::integer expected, case when conv_id % 11 = 0 then 'not JSON' when conv_id % 7 = 0 then 'no list of items' when conv_id % 5 = 0 then 'other number of items' when conv_id % 3 = 0 then 'items out of place' when conv_id % 2 = 0 or bool_or(text is null or trim(text, ' ') = '') then 'required field missing' end reason "
+    "from conversations group by conv_id, turn // 4 having reason is not null"
+)
+def rejected_batches(t: Tables) -> DataFrame:
+    """Four turns of a conversation as a response of several items; many are of another shape, number, order, or lack a field."""
+    k = F.col("conv_id")
+    turns = t.conversations.groupBy("conv_id", F.expr("turn div 4").alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("said"))
+    first = F.when((k % 3 == 0) & (k % 5 != 0), 1).otherwise(0)
+    said = F.transform("said", lambda x, i: F.struct((i + first).alias("index"), F.when((k % 2 == 0) & (i == 0), F.lit(" ")).otherwise(x["text"]).alias("body")))
+    body = F.when(k % 11 == 0, F.lit("{nothing}")).when(k % 7 == 0, F.lit('{"items": {"index": 0, "body": "one"}}')).otherwise(F.concat(F.lit("here: "), F.to_json(F.struct(said.alias("items")))))
+    expected = F.size("said") + F.when(k % 5 == 0, 1).otherwise(0)
+    responses = turns.select(F.concat_ws("/", "conv_id", "part").alias("batch_id"), expected.alias("expected"), body.alias("body"))
+    return labels.ingested_responses(responses, ["body"], "index:int,body:string")[1].select("batch_id", "expected", "reason")
+
+
 @query("select doc_id, coalesce(lang, source) lang, case when lang is null and source is not null then 'lang' else '' end changed from documents")
 def fill_only(t: Tables) -> DataFrame:
     done = labels.fill_only(t.documents.select("doc_id", "lang"), t.documents.select("doc_id", F.col("source").alias("lang")), "doc_id", ["lang"])
@@ -134,6 +150,11 @@ def outcome_table(t: Tables) -> DataFrame:
     return audits.outcome_table(t.lineitem, {"hospitalised": F.col("l_quantity") > 40, "amputation": F.col("l_discount") > 0.05, "eye": F.col("l_tax") > 0.04})
 
 
+@query("with f as (select l_quantity > 40 hospitalised, l_discount > 0.05 amputation, l_tax > 0.04 eye from lineitem) select hospitalised, amputation, eye, grouping_id(hospitalised, amputation, eye)::int as \"level\", count(*) n from f group by cube (hospitalised, amputation, eye)")
+def outcome_margins(t: Tables) -> DataFrame:
+    return audits.outcome_margins(t.lineitem, {"hospitalised": F.col("l_quantity") > 40, "amputation": F.col("l_discount") > 0.05, "eye": F.col("l_tax") > 0.04})
+
+
 @query(f"with {_RULES}, {_TAGS}, s as (select r.ordinal::int ordinal, r.rule_name, count(distinct report_id) support from rules r left join tagged using (rule_name) group by all) select ordinal, rule_name, support, support > 0 trainable, rule_name = (select arg_min(rule_name, (support, ordinal)) from s where support > 0) rarest from s")
 def tag_support(t: Tables) -> DataFrame:
     return audits.tag_support(_tagged_documents(t))

@@ -24,13 +24,13 @@ def near_dup_shingles(t: Tables) -> DataFrame:
 
 @query()
 def near_dup_ratio(t: Tables) -> DataFrame:
-    """Documents whose text an earlier one nearly has, by sequence ratio over whole texts."""
-    return repeats.ratio_repeats(t.documents.select("doc_id", "text"), "doc_id", "text", "doc_id")
+    """Documents whose text an earlier one of their source nearly has, by sequence ratio over whole texts."""
+    return repeats.ratio_repeats(t.documents.select("doc_id", "text", "source"), "doc_id", "text", "doc_id", within="source")
 
 
 @query()
 def density_near_dedup(t: Tables) -> DataFrame:
-    """Density by site with reports left out whose text an earlier report nearly has."""
+    """Density by site with reports left out whose text an earlier report of the site nearly has."""
     reports = t.reports()
-    again = repeats.ratio_repeats(reports.select("report_id", "raw_text"), "report_id", "raw_text", "report_id")
+    again = repeats.ratio_repeats(reports.select("report_id", "raw_text", "site_id"), "report_id", "raw_text", "report_id", within="site_id")
     return reads.density_by_site(repeats.without(reports, again, "report_id"), t.classifications(), t.sites(), digits=None)

@@ -151,6 +151,14 @@ def test_no_pair_of_300_texts_is_lost(spark, seed):
     assert got == {i: (j, pytest.approx(r)) for i, (j, r) in want.items()}
 
 
+def test_only_rows_alike_in_a_column_are_compared(spark):
+    base = text_of(random.Random(9), 60)
+    rows = [(1, base, "a"), (2, base + "!", "b"), (3, base + "?", "a"), (4, base, "b"), (5, base, None), (6, base + ".", None), (7, base, "c")]
+    got = repeats.ratio_repeats(spark.createDataFrame(rows, "id long, t string, site string"), "id", "t", "id", within="site").collect()
+    want = {i: j for part in ("a", "b", None) for i, j in [(0, 0)] for own in [[r for r in rows if r[2] == part]] for k, v in brute_first([r[1] for r in own]).items() for i, j in [(own[k][0], own[v[0]][0])]}
+    assert {r.id: r.match_id for r in got} == want
+
+
 def test_the_least_number_shared_holds_for_pairs_that_are_just_alike():
     rng, near = random.Random(8), 0
     letters = "eeeettaaoinshr dlucm fwypvbgk,.TAISE"
