@@ -310,16 +310,22 @@ def _held_out(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def risk_quality(t: Tables) -> DataFrame:
-    """The risk scorer on labelled documents that it wasn't fitted on: confusion, calibration, temperature and threshold."""
+    """The risk scorer on labelled documents that it wasn't fitted on.
+
+    Temperature and threshold are chosen on one half of them; confusion and calibration, at that
+    temperature, are those of the other half.
+    """
     train, test = _held_out(t)
     model = scoring.fit_risk(train.select("text", F.col("toxic").cast("double").alias("label")))
-    said = scoring.score_risk(model, test).select((F.col("toxic") == 1).alias("truth"), "p").withColumn("margin", F.log(F.col("p") / (1 - F.col("p"))))
+    said = scoring.score_risk(model, test).select((F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("chosen"), (F.col("toxic") == 1).alias("truth"), "p").withColumn("margin", F.log(F.col("p") / (1 - F.col("p"))))
     said = stored(said.withColumns({"confidence": stats.confidence(F.col("p")), "correct": (F.col("p") >= 0.5) == F.col("truth")}))
-    grid = evaluate.temperatures()
-    best = evaluate.best_threshold(evaluate.threshold_sweep(said, [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85])).select("threshold", "auto_published", "auto_accuracy")
-    temperature = evaluate.best_temperature(evaluate.temperature_losses(said.where("margin is not null"), grid), len(grid)).select("temperature", "loss")
+    grid, tuned = evaluate.temperatures(), said.where("chosen")
+    best = evaluate.best_threshold(evaluate.threshold_sweep(tuned, [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85])).select("threshold", "auto_published", "auto_accuracy")
+    temperature = stored(evaluate.best_temperature(evaluate.temperature_losses(tuned, grid), len(grid)).select("temperature", "loss"))
+    judged = said.where("not chosen").join(F.broadcast(temperature.select("temperature"))).withColumn("p", F.coalesce(1 / (1 + F.exp(-F.col("margin") / F.col("temperature"))), F.col("p")))
+    judged = stored(judged.withColumn("confidence", stats.confidence(F.col("p"))))
     # one row each
-    return evaluate.confusion(said).join(F.broadcast(evaluate.calibration_error(said))).join(F.broadcast(temperature)).join(F.broadcast(best))
+    return evaluate.confusion(judged).join(F.broadcast(evaluate.calibration_error(judged))).join(F.broadcast(temperature)).join(F.broadcast(best))
 
 
 @query()

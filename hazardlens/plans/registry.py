@@ -387,9 +387,10 @@ def gazetteer(t: Tables) -> DataFrame:
 
 
 def _gold_of_four_types(t: Tables) -> DataFrame:
-    """Marked words of all documents of twelve words or more: an activity, equipment, a location, and what follows an absence word."""
+    """Marked words of every line of twelve words or more of whole documents: an activity, equipment, a location, and what follows an absence word."""
     word, gap = r"[\p{L}\p{N}_]++", r"[^\p{L}\p{N}_]++"
-    rows = t.documents.select(F.col("doc_id").alias("report_id"), "text").where(F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{12}}"))
+    lines = t.documents.select(F.col("doc_id").alias("report_id"), F.explode(F.split("text", "\n")).alias("text"))
+    rows = lines.where(F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{12}}"))
     part = lambda first, n: F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}_]*+{word}){{{first - 1}}}{gap}({word}(?:{gap}{word}){{{n - 1}}})", 1)
     barrier = F.regexp_extract("text", r"(?i)(?<![\p{L}\p{N}_])((?:no|not|without|missing|koi)\s+[\p{L}\p{N}_'\-]+)", 1)
     found = F.array(*[F.struct(F.lit(k).alias("entity_type"), v.alias("entity_text")) for k, v in (("activity", part(3, 3)), ("equipment", part(6, 2)), ("location", part(9, 2)), ("barrier_failure", barrier))])

@@ -323,7 +323,9 @@ def plain_spans(body, roles):
     return {(k, a, b) for k, a, b in found if not any(k == x and c <= a and b <= d and d - c > b - a for x, c, d in found)}
 
 
-def test_spans_of_all_types_against_regular_expressions(spark):
+@pytest.mark.parametrize("held", [500_000, 3])  # a vocabulary that workers hold, and one that is joined
+def test_spans_of_all_types_against_regular_expressions(spark, monkeypatch, held):
+    monkeypatch.setattr(extract, "HELD", held)
     rng = random.Random(14)
     vocab = [("equipment_head", "pump"), ("equipment_head", "pipe"), ("equipment_modifier", "steel"), ("equipment_modifier", "pipe"), ("location_head", "pit"), ("location_head", "deck"), ("activity_verb", "welding"), ("activity_verb", "lifting"), ("stop", "when"), ("stop", "near"), ("barrier_control", "guard"), ("barrier_control", "gas test"), ("absence_phrase", "nahi tha")]
     pieces = ["pump", "Pipe", "steel", "pit", "deck", "welding", "lifting", "when", "near", "the", "a", "in", "no", "without", "guard", "gas", "test", "nahi", "tha", "4", "big-old", "x", ",", "é"]
