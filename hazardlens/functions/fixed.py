@@ -54,6 +54,7 @@ CONTROL_TERMS = [
     "never", "bina", "nahi", "nahin", "naa", "band", "khula", "khuli", "chalu", "lagaya", "lagayi", "kiya", "karna",
     "chahiye", "tha", "thi",
 ]
+#: Words that say that a control is absent; missing barriers begin with one.
 ABSENCE_WORDS = ["no", "not", "without", "missing", "miss", "nahi", "koi", "skip"]
 
 #: Names: titles before them, and capitalised words that are none.
@@ -137,7 +138,6 @@ REVIEWED_LOOKALIKES = ["agar", "bach", "bola", "gaya", "hui", "karo", "phat", "p
 #: Words around mined terms in the patterns of spans.
 PREPOSITIONS = ["at", "in", "on", "near", "inside"]
 ARTICLES = ["the", "a", "an"]
-BARRIER_ANCHORS = ["no", "not", "without", "missing", "miss", "nahi", "koi", "skip"]
 ABSENCE_PHRASES = ["nahi tha", "miss hua", "miss kar diya", "skip kiya", "nahi dikha"]
 
 #: Sites that a new table begins with, and their regions.

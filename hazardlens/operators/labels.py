@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, stats, text
+from ..session import small_side
 from .ranks import ranked_within
 
 
@@ -125,7 +126,7 @@ def rarest_rule(tagged: DataFrame, id_col: str = "report_id", tags: str = "tags"
     each = tagged.select(F.col(id_col).alias("_id"), F.explode(tags).alias("rule")).distinct()
     counts = each.groupBy("rule").agg(F.count("*").alias("n"))
     place = F.array_position(F.array(*[F.lit(r) for r in fixed.RULES]), F.col("rule"))
-    best = each.join(F.broadcast(counts), "rule").groupBy("_id").agg(F.min(F.struct("n", place.alias("p"), "rule")).alias("r")).select("_id", F.col("r.rule").alias("stratum"))
+    best = each.join(small_side(counts), "rule").groupBy("_id").agg(F.min(F.struct("n", place.alias("p"), "rule")).alias("r")).select("_id", F.col("r.rule").alias("stratum"))
     return tagged.join(best, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("stratum", F.coalesce("stratum", F.lit("none")))
 
 

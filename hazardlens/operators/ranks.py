@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small_side, stored
 
 
 def ranked_within(rows: DataFrame, strata: list[str], order: list[Column], rank: str = "_rank", size: str | None = None) -> DataFrame:
@@ -25,6 +25,7 @@ def ranked_within(rows: DataFrame, strata: list[str], order: list[Column], rank:
     for i, c in enumerate(strata):
         same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
     inside = F.row_number().over(Window.partitionBy("_part", *strata).orderBy(*places))
-    out = ranged.join(F.broadcast(before), same).withColumn(rank, F.col("_before") + inside)
+    # a row for each range and stratum: few, unless strata are very many
+    out = ranged.join(small_side(stored(before)), same).withColumn(rank, F.col("_before") + inside)
     out = out.withColumn(size, F.col("_size")) if size else out
     return out.select(*rows.columns, rank, *([size] if size else []))

@@ -9,6 +9,7 @@ from pathlib import Path
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -64,6 +65,11 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if at_most(df, rows) else df
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     return (

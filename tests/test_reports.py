@@ -312,7 +312,7 @@ def plain_spans(body, roles):
         "equipment": rf"(?:{alt('equipment_modifier')}\s+){{0,2}}{alt('equipment_head')}",
         "location": rf"(?:(?:{'|'.join(fixed.PREPOSITIONS)})\s+)?(?:(?:{'|'.join(fixed.ARTICLES)})\s+)?(?:[^\W\d_]+\s+){{0,3}}{alt('location_head')}",
         "activity": rf"{alt('activity_verb')}(?:\s+(?!{alt('stop')}{end})[\w'\-]+){{0,12}}",
-        "barrier_failure": rf"(?:(?:{'|'.join(fixed.BARRIER_ANCHORS)})\s+{alt('barrier_control')}|(?:[^\W\d_]+\s+){{1,3}}{alt('absence_phrase')})",
+        "barrier_failure": rf"(?:(?:{'|'.join(fixed.ABSENCE_WORDS)})\s+{alt('barrier_control')}|(?:[^\W\d_]+\s+){{1,3}}{alt('absence_phrase')})",
     }
     found = set()
     for kind, p in patterns.items():
@@ -380,6 +380,8 @@ def test_enrichment_and_streams(spark, tmp_path):
     assert all(r.sif_potential for r in out["classifications"].collect())
     assert {(r.entity_type, r.entity_text) for r in out["precursors"].collect()} == {("equipment", "pipe"), ("location", "fell near the pit")}
     assert {r.rule_name for r in out["tags"].collect()} >= {"Line of Fire"}
+    thrice = enrich(raw.where("report_id in (1, 2)").union(raw.where("report_id = 1")).union(raw.where("report_id = 4").withColumn("report_id", F.lit(1))))
+    assert sorted((r.report_id, r.status or "", len(r.spans or [])) for r in thrice.collect()) == [(1, "processed", 2)] * 3 + [(2, "", 0)]
     assert enrich(raw.drop("submitted_at").withColumn("submitted_at", F.lit(None).cast("timestamp"))).where("submitted_at is null").count() == 0
     raw.where("report_id < 5").write.parquet(str(tmp_path / "in"))
     stream = ingest.without_resubmissions(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")))
