@@ -381,6 +381,18 @@ def activity_stop(t: Tables) -> DataFrame:
     return evaluate.stop_words(part).select("word", "after", "inside")
 
 
+@query(
+    "with k as (select unnest([0, 1, 2, 3, 7]) r, unnest(['equipment', 'location', 'activity', 'barrier_failure', 'barrier_failure']) entity_type, unnest(['steel pump', 'near the pit', 'Welding old parts', 'no guard', 'helmet nahi tha']) entity_text) "
+    "select doc_id, entity_type, entity_text, (length(text) + 2)::int span_start, (length(text) + 2 + length(entity_text))::int span_end from documents join k on doc_id % 10 = r where text is not null"
+)
+def planted_spans(t: Tables) -> DataFrame:
+    """Spans of all types by a small fixed vocabulary, planted at the end of whole documents among what only looks like them."""
+    terms = [("equipment_head", "pump"), ("equipment_modifier", "steel"), ("location_head", "pit"), ("activity_verb", "welding"), ("stop", "when"), ("barrier_control", "guard"), ("absence_phrase", "nahi tha")]
+    rows = t.documents.select("doc_id", planted("span").alias("text"))
+    found = extract.extracted(rows, "doc_id", "text", t.spark.createDataFrame(terms, "kind string, term string"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
 @query("with w as (select string_split(lower(p_name), ' ') w from lineitem join part on l_partkey = p_partkey) select 'activity_verb' kind, w[1] term, count(*) n from w group by all having count(*) >= 2")
 def gazetteer(t: Tables) -> DataFrame:
     return evaluate.gazetteer(t.order_spans())

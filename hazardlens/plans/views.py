@@ -15,6 +15,7 @@ PLANTED = {
     "control": (9, {0: " the guard was NOT locked", 4: " guardian angels of lockers", 7: " isolated by a banksman"}),
     "acronym": (8, {0: " no PPE, LOTO by the hse", 3: " ppe-check by xPPE", 5: " SIMOPS_1 h2s."}),
     "script": (6, {2: " सुरक्षा", 4: " suraksha"}),
+    "span": (10, {0: "; steel pump", 1: "; near the pit", 2: "; Welding old parts when wet", 3: "; no guard", 4: "; pump-like steelpump", 5: "; no old guard", 6: "; nahi tha", 7: "; helmet nahi tha"}),
     "misspelt": (7, {0: " Equipmnt", 2: " wrking saefty", 3: " equipment"}),
     "spelt": (7, {0: " Equipment", 2: " working safety", 3: " equipment"}),
 }
