@@ -308,6 +308,12 @@ def redact_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.redacted(F.col("text")).alias("redacted"))
 
 
+@query(f"select doc_id, {planted_sql('redacted', 'lower(text)')} redacted from documents")
+def redacted_remarks(t: Tables) -> DataFrame:
+    """Whole documents without capitals, and a remark after each that names people, days, places, or nobody."""
+    return t.documents.select("doc_id", F.lower("text").alias("text")).select("doc_id", text.redacted(planted("name")).alias("redacted"))
+
+
 @query("with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_''\\-]+')) word from documents) select word, count(*) n, count(distinct doc_id) docs from w group by 1")
 def word_census(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
@@ -322,6 +328,14 @@ def spelling_candidates(t: Tables) -> DataFrame:
     return spelling.candidates(words.where("word is not null"), known).select("word", "candidate")
 
 
+@query(f"with {_RULES}, p as (select doc_id, rule_name, ordinal, ((doc_id * 37 + ordinal * 101) % 97) / 97.0::double p from documents, rules) select doc_id, string_agg(rule_name, '|' order by round_even(p, 3) desc, ordinal) filter (p >= 0.7) tags, count(*) filter (p >= 0.7) n from p group by doc_id")
+def tag_decisions(t: Tables) -> DataFrame:
+    """Probabilities of all rules as tags, surest first, of those that reach the threshold."""
+    p = F.array(*[((F.col("doc_id") * 37 + i * 101) % 97) / F.lit(97.0) for i in range(len(fixed.RULES))])
+    tags = t.documents.select("doc_id", stats.over_threshold(p, 0.7).alias("t"))
+    return tags.select("doc_id", F.nullif(F.array_join(F.transform("t", lambda x: x["rule_name"]), "|"), F.lit("")).alias("tags"), F.size("t").cast("long").alias("n"))
+
+
 # -- spans --------------------------------------------------------------------------------------
 
 

@@ -31,6 +31,17 @@ def _incidents(t: Tables) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("string").alias("ID"), dated.alias("EventDate"), F.col("o_custkey").cast("string").alias("Employer"), F.col("o_orderpriority").alias("EventTitle"), F.lit("x").alias("Address1"), F.col("o_orderstatus").alias("Note"), F.col("o_orderkey").alias("seq"))
 
 
+@query("select o_orderkey::varchar id, case when o_orderkey % 3 <> 0 then o_orderpriority end event, o_orderpriority || chr(10) || '\"' || o_orderstatus || '\", a, b' || chr(10) narrative from orders")
+def incident_file(t: Tables) -> DataFrame:
+    """Orders written as the incident file, with quotes, commas and line ends inside of narratives, and read back."""
+    path = f"{shared_folder(t.spark)}/incidents"
+    story = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", a, b\n'))
+    given = {"ID": F.col("o_orderkey").cast("string"), "EventTitle": F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")), "Final Narrative": story}
+    rows = t.orders.select(*[given.get(c, F.lit("")).alias(c) for c in files.INCIDENT_COLUMNS])
+    rows.write.options(header=True, quoteAll=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return files.read_incidents(t.spark, path).select(F.col("ID").alias("id"), F.col("EventTitle").alias("event"), F.col("`Final Narrative`").alias("narrative"))
+
+
 @query("select o_orderkey::varchar as \"ID\", case when o_orderkey % 11 = 0 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%m/%d/%Y') end as \"EventDate\", o_orderpriority as \"EventTitle\", o_orderkey seq from orders")
 def public_incidents(t: Tables) -> DataFrame:
     """Columns that name people, places or firms are gone, as are those nobody listed."""

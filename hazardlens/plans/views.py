@@ -16,6 +16,8 @@ PLANTED = {
     "acronym": (8, {0: " no PPE, LOTO by the hse", 3: " ppe-check by xPPE", 5: " SIMOPS_1 h2s."}),
     "script": (6, {2: " सुरक्षा", 4: " suraksha"}),
     "span": (10, {0: "; steel pump", 1: "; near the pit", 2: "; Welding old parts when wet", 3: "; no guard", 4: "; pump-like steelpump", 5: "; no old guard", 6: "; nahi tha", 7: "; helmet nahi tha"}),
+    "name": (6, {0: " and then Ramesh Kumar fell", 1: ". Dr. Sen", 2: " on a Monday", 3: " near Duliajan Road", 4: ". Slipped", 5: ", Asha, who"}),
+    "redacted": (6, {0: " and then [REDACTED] fell", 1: ". Dr. [REDACTED]", 2: " on a Monday", 3: " near Duliajan Road", 4: ". Slipped", 5: ", [REDACTED], who"}),
     "misspelt": (7, {0: " Equipmnt", 2: " wrking saefty", 3: " equipment"}),
     "spelt": (7, {0: " Equipment", 2: " working safety", 3: " equipment"}),
 }
