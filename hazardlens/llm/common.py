@@ -140,11 +140,13 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours are linked to the smallest of the neighbourhood
         least = current.groupBy("a").agg(F.min("b").alias("m"))
         large = dealt_join(current.select(F.col("b").alias("a"), F.col("a").alias("b")), least, "a", state.hubs, "b", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
-        large = written(large, "edges")
+        # it has no more rows than ``current``, so few rows have no hub on this side
+        many = (state.n or 0) > HUB
+        large = written(large, "edges") if many else large
         # small star: each node's smaller neighbours and itself go to the smallest of them
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            dealt_join(large, least2, "a", hot_keys(large.groupBy("a").agg(F.count("*").alias("n")), "a", "n"), "b")
+            dealt_join(large, least2, "a", hot_keys(large.groupBy("a").agg(F.count("*").alias("n")), "a", "n") if many else [], "b")
             .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
