@@ -62,8 +62,13 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets(rows: DataFrame, id_col: str, body: str) -> DataFrame:
-    """``(_id, n, k1, k2, shingles, bands)``: a set's size, two hashes of it all, its shingles and bands.
+def texts(rows: DataFrame, id_col: str, body: str) -> DataFrame:
+    """``(_id, t)`` of rows that have an id."""
+    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(body).cast("string").alias("t"))
+
+
+def sets(given: DataFrame, kept: str) -> DataFrame:
+    """``(_id, n, k1, k2)`` of ``given(_id, t)``, a set's size and two hashes of it all, and what is ``kept``: its ``shingles`` or ``bands``.
 
     Empty texts have no shingles and no bands.
     """
@@ -72,16 +77,19 @@ def sets(rows: DataFrame, id_col: str, body: str) -> DataFrame:
         for b in batches:
             found = [shingle_hashes(t.as_py()) for t in b.column(1).cast(pa.binary())]
             whole = lambda s, seed: int(_mixed(s + np.uint64(seed)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
-            lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (found, [band_hashes(s) if len(s) else s for s in found])]
-            columns = [b.column(0), pa.array(map(len, found), pa.int64()), pa.array([whole(s, 1) for s in found], pa.int64()), pa.array([whole(s, 2) for s in found], pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "k1", "k2", "shingles", "bands"])
+            held = found if kept == "shingles" else [band_hashes(s) if len(s) else s for s in found]
+            columns = [b.column(0), pa.array(map(len, found), pa.int64()), pa.array([whole(s, 1) for s in found], pa.int64()), pa.array([whole(s, 2) for s in found], pa.int64()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "k1", "k2", kept])
 
-    given = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(body).cast("string").alias("t"))
-    return given.mapInArrow(made, "_id long, n long, k1 long, k2 long, shingles array<long>, bands array<long>")
+    return given.mapInArrow(made, f"_id long, n long, k1 long, k2 long, {kept} array<long>")
 
 
-def _linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose sets are as alike as asked, by the sets themselves."""
+def _linked(pairs: DataFrame, given: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose sets are as alike as asked, by the sets themselves.
+
+    Only ids that stand in a pair have their sets made again from ``given(_id, t)``, in the version
+    that ``chosen(_id, k1, k2)`` names.
+    """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,6 +101,9 @@ def _linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
+    wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    asked = sets(given.join(wanted, "_id", "left_semi"), "shingles")
+    held = stored(asked.join(chosen, ["_id", "k1", "k2"], "left_semi").dropDuplicates(["_id"]).select("_id", "shingles"))
     of = lambda end: held.select(F.col("_id").alias(end), F.col("shingles").alias(f"s_{end}"))
     # the end of fewer pairs is joined first; a center of very many pairs is dealt over parts
     met = dealt_join(pairs.join(of("a"), "a"), of("b"), "b", hot_keys(pairs, "b"), "a")
@@ -107,12 +118,13 @@ def near_duplicates(rows: DataFrame, id_col: str, body: str, percent: int = PERC
     miss (see BANDS) are the only ones lost: no bucket is capped, and what a bucket's center doesn't
     settle is compared pair by pair across its classes.
     """
-    every = stored(sets(rows, id_col, body))
-    once = every.groupBy("_id").agg(F.min(F.struct("k1", "k2", "n")).alias("s")).select("_id", "s.n", "s.k1", "s.k2")
+    given = texts(rows, id_col, body)
+    every = stored(sets(given, "bands"))
+    once = stored(every.groupBy("_id").agg(F.min(F.struct("k1", "k2", "n")).alias("s")).select("_id", "s.n", "s.k1", "s.k2"))
     real = once.where("n > 0")
     heads = stored(real.groupBy("k1", "k2").agg(F.min("_id").alias("head")))
-    held = stored(every.join(heads.select(F.col("head").alias("_id"), "k1", "k2"), ["_id", "k1", "k2"]).dropDuplicates(["_id"]).select("_id", "n", "shingles", "bands"))
-    members = held.select("_id", "n", F.posexplode("bands").alias("band", "h"))
+    chosen = heads.select(F.col("head").alias("_id"), "k1", "k2")
+    members = every.join(chosen, ["_id", "k1", "k2"]).dropDuplicates(["_id"]).select("_id", "n", F.posexplode("bands").alias("band", "h"))
     # a bucket of one member, as most are, is gone after the first count
     centers = members.groupBy("band", "h").agg(F.min(F.struct("_id", "n")).alias("center"), F.count("*").alias("m")).where("m > 1").drop("m")
     buckets = stored(members.join(centers, ["band", "h"]))
@@ -122,7 +134,7 @@ def near_duplicates(rows: DataFrame, id_col: str, body: str, percent: int = PERC
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     first = buckets.where("_id <> center._id").where(fits("n", "center.n")).select(F.col("_id").alias("a"), F.col("center._id").alias("b")).distinct()
-    links = stored(_linked(stored(first), held, percent))
+    links = stored(_linked(stored(first), given, chosen, percent))
     classes = components(links)
     named = buckets.join(classes, F.col("_id") == F.col("node"), "left").select("band", "h", "_id", "n", F.coalesce("component", "_id").alias("class"))
     sizes = named.groupBy("band", "h", "class").agg(F.count("*").alias("k"))
@@ -131,7 +143,7 @@ def near_duplicates(rows: DataFrame, id_col: str, body: str, percent: int = PERC
     # members outside their bucket's largest class, against all of other classes; a pair of two of them once
     probe = mixed.where("class <> most").select("band", "h", F.col("_id").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("of_a"))
     met = mixed.join(probe, ["band", "h"]).where((F.col("class") != F.col("of_a")) & ((F.col("class") == F.col("most")) | (F.col("_id") < F.col("a")))).where(fits("n", "n_a"))
-    more = _linked(stored(met.select("a", F.col("_id").alias("b")).distinct()), held, percent)
+    more = _linked(stored(met.select("a", F.col("_id").alias("b")).distinct()), given, chosen, percent)
     classes = components(links.union(more))
     # every row: the head of its set, and that head's class; a set may be that of most rows
     copies = dealt_join(real, heads.withColumnRenamed("k2", "_k2"), "k1", hot_keys(real, "k1"), "_id").where("k2 = _k2")
