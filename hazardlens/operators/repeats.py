@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import stored
+from ..session import discard, drop_shuffles, stored
 from . import ratioindex
 from .graph import dealt_join, hot_keys
 from .ranks import ranked_within
 
 
+#: Characters of the texts that are compared at a time: their q-grams take some hundred times as many bytes on disk.
+SLICE = 64_000_000
+
+
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
     """``(id, first_id)`` of every row whose text came earlier; null texts repeat nothing."""
     texts = rows.where(F.col(body).isNotNull()).select(F.col(id_col), F.sha2(F.col(body), 256).alias("_text"), F.struct(F.col(order).alias("o"), F.col(id_col).alias("id")).alias("_at"))
@@ -46,6 +51,41 @@ def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "y", ratio("t_a", "t_y").alias("ratio")).where(F.col("ratio") >= threshold)
 
 
+def _slices(texts: DataFrame) -> list[DataFrame]:
+    """``texts(id, t, part)`` in slices of about SLICE characters that have no part in common; a part is never cut."""
+    n = -(-(texts.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0) // SLICE)
+    if n <= 1:
+        return [texts]
+    slice_of = F.pmod("part", F.lit(n))
+    return [texts.where(slice_of == r[0]) for r in texts.select(slice_of).distinct().collect()]  # at most n rows
+
+
+def _first_alike(texts: DataFrame, threshold: float) -> DataFrame:
+    """``(a, y, ratio)`` of ``texts(id, t, part)``: the first earlier text of the part that each is like. What it wrote goes."""
+    passing: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        passing.append(stored(df))
+        return passing[-1]
+
+    posted = kept(ratioindex.postings(texts, ratioindex.levels_used(texts, threshold), threshold))
+    earlier = kept(ratioindex.lists(posted))
+    # the earliest text of each list, and of those the earliest for each text
+    heads = earlier.groupBy("gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("gram", "h.y", "h.n_y")
+    later = kept(posted.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode("grams").alias("gram")).join(heads, "gram").where("y < a"))
+    reach = threshold / (2 - threshold)
+    fits = (F.col("y") < F.col("a")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
+    best = kept(later.groupBy("a").agg(F.min(F.struct("y", "n_y", "n_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y"))
+    done = kept(_ratios(best, texts, threshold))
+    rest = later.drop("y", "n_y").join(done.select("a"), "a", "left_anti")
+    pairs = kept(rest.join(earlier, "gram").where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y").join(best, ["a", "y"], "left_anti"))
+    hits = done.union(_ratios(pairs, texts, threshold))
+    first = stored(hits.groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio"))
+    discard(*passing)
+    drop_shuffles(texts.sparkSession)
+    return first
+
+
 def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold: float = fixed.SIMILARITY_THRESHOLD, within: str | None = None) -> DataFrame:
     """``(id, match_id, ratio)``: the first earlier text whose sequence ratio reaches ``threshold``.
 
@@ -55,7 +95,8 @@ def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold
     and blank texts repeat nothing. Candidates come from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
     candidates first, and if that is like it, is done: so a group of near copies costs one comparison
     a text. Only the others are compared with all their candidates. Ratios are worked out row by row in
-    Arrow batches, and only where letter counts leave them possible.
+    Arrow batches, and only where letter counts leave them possible. Groups of ``within`` are gone through in
+    slices (see SLICE), so that the disk holds the q-grams of one slice, or of one group if that is larger.
     """
     part = F.lit(0).cast("long") if within is None else F.xxhash64(F.col(within).isNull(), F.col(within))
     keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), part.alias("part"), F.sha2(F.concat(part.cast("string"), F.lit(":"), F.col(body)), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
@@ -63,19 +104,7 @@ def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold
     # texts are numbered in the order in which they came
     places = ranked_within(firsts, [], [F.col("at"), F.col("row")]).select("_text", "_at", "row", F.col("_rank").cast("long").alias("id"))
     texts = stored(keyed.join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "part", "_text", "row"))
-    posted = stored(ratioindex.postings(texts, ratioindex.levels_used(texts, threshold), threshold))
-    earlier = stored(ratioindex.lists(posted))
-    # the earliest text of each list, and of those the earliest for each text
-    heads = earlier.groupBy("gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("gram", "h.y", "h.n_y")
-    later = stored(posted.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode("grams").alias("gram")).join(heads, "gram").where("y < a"))
-    reach = threshold / (2 - threshold)
-    fits = (F.col("y") < F.col("a")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
-    best = stored(later.groupBy("a").agg(F.min(F.struct("y", "n_y", "n_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y"))
-    done = stored(_ratios(best, texts, threshold))
-    rest = later.drop("y", "n_y").join(done.select("a"), "a", "left_anti")
-    pairs = rest.join(earlier, "gram").where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y")
-    hits = done.union(_ratios(stored(pairs.join(best, ["a", "y"], "left_anti")), texts, threshold))
-    first = hits.groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio")
+    first = reduce(DataFrame.union, [_first_alike(x, threshold) for x in _slices(texts)])
     first = first.join(texts.select(F.col("id").alias("y"), F.col("row").alias("near")), "y").select(F.col("a").alias("id"), "near", "ratio")
     known = texts.select("id", "_text", F.col("row").alias("first")).join(first, "id", "left")
     out = dealt_join(keyed.select("_row", "_text"), known.drop("id"), "_text", hot_keys(keyed, "_text"), "_row")
