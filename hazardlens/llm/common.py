@@ -91,13 +91,19 @@ def worker_memory(owner: object, make: Callable[[], T]) -> T:
     last one remembered goes, so that a chain of operators needs no more than its largest.
     """
     if owner not in _memory:
-        _memory.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        release_memory()
         _memory[owner] = make()
     return _memory[owner]
 
 
+def release_memory() -> None:
+    """What ``worker_memory`` holds in this Python worker goes, as in operators that remember nothing themselves."""
+    if _memory:
+        _memory.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

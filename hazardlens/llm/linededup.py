@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, written
+from .common import private, release_memory, written
 
 #: The white space that ends of a line lose.
 WHITE = " \t\n\u000b\f\r"
@@ -61,6 +61,7 @@ def _marks(min_docs: int):
         def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
             return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
+        release_memory()
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(5)]
             if not len(rows[0]):
@@ -117,6 +118,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     rows = base.union(marks).groupBy("doc_id", "version").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("drops"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for b in batches:
             n, drops, keep = b.column(2).to_numpy(), b.column(3), []
             for i in range(b.num_rows):
@@ -150,6 +152,7 @@ def kept_texts(docs: DataFrame, bitmaps: DataFrame, kept: str = "kept", n_lines:
 
     @F.pandas_udf("string")
     def applied(text: pd.Series, keep: pd.Series) -> pd.Series:
+        release_memory()
         return pd.Series([t if k is None else _apply(t, k) for t, k in zip(text, keep, strict=True)], dtype=object)
 
     joined = docs.join(b, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version)))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt_join, hot_keys, small_enough, worker_memory, written
+from .common import components, dealt_join, hot_keys, release_memory, small_enough, worker_memory, written
 
 #: Part of the hash space gathered in step 1, in eighths; sets under SMALL shingles give them all.
 EIGHTHS, SMALL = 3, 64
@@ -162,6 +162,7 @@ def _gather(n: int, bits: int, percent: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by bucket: how many of each owner's postings stand in another gathering too."""
+    release_memory()
     held: list[tuple] = []
     size = 0
     for b in batches:
@@ -383,6 +384,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     dealt = dealt.repartition("component", "h", "x", "y").sortWithinPartitions("component", "h", "x", "y")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         at, docs_, own_, sets_ = None, [], [], []
 
         def solve() -> pa.RecordBatch:
