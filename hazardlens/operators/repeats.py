@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import discard, drop_shuffles, stored
+from ..session import discard, drop_shuffles, small_side, stored
 from . import ratioindex
 from .graph import dealt_join, hot_keys
 from .ranks import ranked_within
 
 
-#: Characters of the texts that are compared at a time: their q-grams take some hundred times as many bytes on disk.
-SLICE = 64_000_000
+#: Characters of the earlier texts that a worker holds, a text counting as so many more than it has.
+BLOCK, EACH = 16_000_000, 1_000
+#: Characters of the texts that are shuffled at a time.
+SLICE = 2_000_000_000
 
 
 def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFrame:
@@ -30,59 +31,86 @@ def exact_repeats(rows: DataFrame, id_col: str, body: str, order: str) -> DataFr
     return texts.join(first, "_text").select(id_col, F.col("_first.id").alias("first_id")).where(F.col(id_col) != F.col("first_id"))
 
 
-def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``pairs(a, y)`` whose texts reach the threshold, with their ``ratio``; ``texts(id, t)``."""
+def _blocks(firsts: DataFrame, threshold: float) -> DataFrame:
+    """``firsts(id, part, n)`` with the ``band`` and ``chunk`` of each text, which with its part name its block.
 
-    @F.pandas_udf("double")
-    def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, y in parts:
-            out = np.zeros(len(a))
-            for i, (x, z) in enumerate(zip(a, y, strict=True)):
-                cx, cz = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (x, z))
-                values, which = np.unique(np.concatenate([cx, cz]), return_inverse=True)
-                common = np.minimum(np.bincount(which[: len(cx)], minlength=len(values)), np.bincount(which[len(cx) :], minlength=len(values))).sum()
-                if 2 * common >= threshold * (len(cx) + len(cz)):  # what letters alone leave possible
-                    out[i] = difflib.SequenceMatcher(None, x, z).ratio()
-            yield pd.Series(out)
-
-    of = lambda end: texts.select(F.col("id").alias(end), F.col("t").alias(f"t_{end}"))
-    # an earlier text that very many are compared with is dealt over parts
-    met = dealt_join(pairs.join(of("a"), "a"), of("y"), "y", hot_keys(pairs, "y"), "a")
-    return met.select("a", "y", ratio("t_a", "t_y").alias("ratio")).where(F.col("ratio") >= threshold)
-
-
-def _slices(texts: DataFrame) -> list[DataFrame]:
-    """``texts(id, t, part)`` in slices of about SLICE characters that have no part in common; a part is never cut."""
-    n = -(-(texts.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0) // SLICE)
-    if n <= 1:
-        return [texts]
-    slice_of = F.pmod("part", F.lit(n))
-    return [texts.where(slice_of == r[0]) for r in texts.select(slice_of).distinct().collect()]  # at most n rows
+    A part that a worker can hold is one block. A larger one is cut into bands of lengths, as only texts of one band
+    or of two that adjoin can be alike, and these by id into chunks.
+    """
+    width = math.log((2 - threshold) / threshold) + 1e-6
+    sizes = firsts.groupBy("part").agg(F.sum(F.col("n") + EACH).alias("_chars"))
+    band = F.when(F.col("_chars") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / width) + 1).cast("int")
+    ranked = ranked_within(firsts.join(sizes, "part").withColumn("band", band), ["part", "band"], [F.col("id")])
+    each = F.greatest(F.floor(BLOCK / (F.exp(F.col("band") * width) + EACH)), F.lit(1))
+    return ranked.withColumn("chunk", F.when(F.col("band") == 0, 0).otherwise(F.floor((F.col("_rank") - 1) / each)).cast("int")).drop("_rank", "_chars")
+
+
+def _found(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of blocks, each followed by the later texts that go past it, as ``(a, y, ratio, grams)`` of those that are like one."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+
+        def out(rows: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+            hits = [(i, *hit) for i, t in rows if (hit := block.first(i, t))]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["a", "y", "ratio", "grams"])
+
+        def built() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block = ratioindex.Earlier([i for i, _ in held], [t for _, t in held], threshold)
+            yield from out(held)
+
+        for b in batches:
+            later = []
+            for *at, past, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != now:
+                    if later:
+                        yield from out(later)
+                        later = []
+                    if now is not None and block is None:
+                        yield from built()
+                    now, held, block = at, [], None
+                if past:
+                    if block is None:
+                        yield from built()
+                    later.append((i, t))
+                else:
+                    held.append((i, t))
+            if later:
+                yield from out(later)
+        if now is not None and block is None:
+            yield from built()
+
+    return found
 
 
 def _first_alike(texts: DataFrame, threshold: float) -> DataFrame:
-    """``(a, y, ratio)`` of ``texts(id, t, part)``: the first earlier text of the part that each is like. What it wrote goes."""
-    passing: list[DataFrame] = []
-
-    def kept(df: DataFrame) -> DataFrame:
-        passing.append(stored(df))
-        return passing[-1]
-
-    posted = kept(ratioindex.postings(texts, ratioindex.levels_used(texts, threshold), threshold))
-    earlier = kept(ratioindex.lists(posted))
-    # the earliest text of each list, and of those the earliest for each text
-    heads = earlier.groupBy("gram").agg(F.min(F.struct("y", "n_y")).alias("h")).select("gram", "h.y", "h.n_y")
-    later = kept(posted.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode("grams").alias("gram")).join(heads, "gram").where("y < a"))
-    reach = threshold / (2 - threshold)
-    fits = (F.col("y") < F.col("a")) & (F.least("n_y", "n_a") >= reach * F.greatest("n_y", "n_a") - 1e-9)
-    best = kept(later.groupBy("a").agg(F.min(F.struct("y", "n_y", "n_a")).alias("h")).select("a", "h.*").where(fits).select("a", "y"))
-    done = kept(_ratios(best, texts, threshold))
-    rest = later.drop("y", "n_y").join(done.select("a"), "a", "left_anti")
-    pairs = kept(rest.join(earlier, "gram").where(fits).groupBy("a", "y").agg(F.count("*").alias("shared"), F.max("asks").alias("asks")).where("shared >= asks").select("a", "y").join(best, ["a", "y"], "left_anti"))
-    hits = done.union(_ratios(pairs, texts, threshold))
-    first = stored(hits.groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio"))
-    discard(*passing)
-    drop_shuffles(texts.sparkSession)
+    """``(a, y, ratio)`` of ``texts(id, t, n, part, band, chunk)``: the first earlier text of the part that each is like.
+
+    Each block of texts is held by a worker once, and the later texts of its part and of lengths that may be
+    like its own go past it. Blocks are gone through in slices (see SLICE), whose shuffles go before the next.
+    """
+    key = ["part", "band", "chunk"]
+    blocks = stored(texts.groupBy(key).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n"), F.count("*").alias("rows")))
+    held = blocks.select(*key, "low", F.explode(F.array([F.col("band") + d for d in (-1, 0, 1)])).alias("to_band"))
+    ends = blocks.select(F.col("part").alias("to_part"), F.col("band").alias("to"), F.col("chunk").alias("to_chunk"), "high", "n")
+    meet = (F.col("part") == F.col("to_part")) & (F.col("to_band") == F.col("to")) & (F.col("high") > F.col("low"))
+    links = stored(held.join(ends, meet).where("to <> band or to_chunk <> chunk").select(*key, "to", "to_chunk", "n"))
+    moved = blocks.select("n").union(links.select("n")).agg(F.sum("n")).first()[0] or 0
+    slices = max(1, -(-moved // SLICE))
+    parts = max(2 * texts.sparkSession.sparkContext.defaultParallelism, 2 * -(-blocks.count() // slices))
+    hits = []
+    for k in range(slices):
+        mine = F.pmod(F.xxhash64(*key), F.lit(slices)) == k
+        own = texts.where(mine).select(*key, F.lit(False).alias("past"), "id", "t")
+        to = small_side(links.where(mine).drop("n"))
+        past = texts.select("part", F.col("band").alias("to"), F.col("chunk").alias("to_chunk"), "id", "t").join(to, ["part", "to", "to_chunk"]).select(*key, F.lit(True).alias("past"), "id", "t")
+        rows = own.union(past).repartition(min(parts, 2_000), *key).sortWithinPartitions(*key, "past", "id")
+        hits.append(stored(rows.mapInArrow(_found(threshold), "a long, y long, ratio double, grams long")))
+        drop_shuffles(texts.sparkSession)
+    first = stored(reduce(DataFrame.union, hits).groupBy("a").agg(F.min(F.struct("y", "ratio")).alias("m")).select("a", "m.y", "m.ratio"))
+    discard(blocks, links, *hits)
     return first
 
 
@@ -92,19 +120,20 @@ def ratio_repeats(rows: DataFrame, id_col: str, body: str, order: str, threshold
     With ``within``, a column, only rows that are alike in it (null too) are compared.
 
     Texts come in the order of ``order``, ties by id. Equal texts are one text of the first that came; null
-    and blank texts repeat nothing. Candidates come from an index that loses no pair (see ``ratioindex``). Each text is compared with the earliest of its
-    candidates first, and if that is like it, is done: so a group of near copies costs one comparison
-    a text. Only the others are compared with all their candidates. Ratios are worked out row by row in
-    Arrow batches, and only where letter counts leave them possible. Groups of ``within`` are gone through in
-    slices (see SLICE), so that the disk holds the q-grams of one slice, or of one group if that is larger.
+    and blank texts repeat nothing. Candidates come from an index that loses no pair (see ``ratioindex``), made of
+    a bounded block of texts at a time: what is shuffled are texts, once for each block that they go past.
+    A text is compared with its candidates in a block from the first one on, up to the one that is like it: so a
+    group of near copies costs one comparison a text and block. Ratios are worked out only where letters and
+    q-grams leave them possible.
     """
     part = F.lit(0).cast("long") if within is None else F.xxhash64(F.col(within).isNull(), F.col(within))
-    keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), part.alias("part"), F.sha2(F.concat(part.cast("string"), F.lit(":"), F.col(body)), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
-    firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at")).select("_text", "_at", F.col("_at.at").alias("at"), F.col("_at.row").alias("row"))
+    keyed = rows.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(F.col(id_col).alias("_row"), F.col(body).alias("t"), F.length(body).cast("long").alias("n"), part.alias("part"), F.sha2(F.concat(part.cast("string"), F.lit(":"), F.col(body)), 256).alias("_text"), F.struct(F.col(order).alias("at"), F.col(id_col).alias("row")).alias("_at"))
+    firsts = keyed.groupBy("_text").agg(F.min("_at").alias("_at"), F.min("part").alias("part"), F.min("n").alias("n")).select("_text", "_at", F.col("_at.at").alias("at"), F.col("_at.row").alias("row"), "part", "n")
     # texts are numbered in the order in which they came
-    places = ranked_within(firsts, [], [F.col("at"), F.col("row")]).select("_text", "_at", "row", F.col("_rank").cast("long").alias("id"))
-    texts = stored(keyed.join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "part", "_text", "row"))
-    first = reduce(DataFrame.union, [_first_alike(x, threshold) for x in _slices(texts)])
+    places = ranked_within(firsts, [], [F.col("at"), F.col("row")]).select("_text", "_at", "row", "part", "n", F.col("_rank").cast("long").alias("id"))
+    places = _blocks(places, threshold)
+    texts = stored(keyed.select("_text", "_at", "t").join(places, ["_text", "_at"]).dropDuplicates(["_text"]).select("id", "t", "n", "part", "band", "chunk", "_text", "row"))
+    first = _first_alike(texts, threshold)
     first = first.join(texts.select(F.col("id").alias("y"), F.col("row").alias("near")), "y").select(F.col("a").alias("id"), "near", "ratio")
     known = texts.select("id", "_text", F.col("row").alias("first")).join(first, "id", "left")
     out = dealt_join(keyed.select("_row", "_text"), known.drop("id"), "_text", hot_keys(keyed, "_text"), "_row")

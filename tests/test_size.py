@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input, held to it on small inputs."""
 
+import difflib
 import os
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardlens import session
 from hazardlens.functions import spans
-from hazardlens.operators import extract, labels, repeats, scoring, shingles, spelling
+from hazardlens.operators import extract, labels, ratioindex, repeats, scoring, shingles, spelling
 
 
 def plan(df):
@@ -102,3 +103,39 @@ def test_the_risk_fit_makes_its_texts_once(spark):
 
     scoring.fit_risk(spark.range(40).select(text("id").alias("text"), (F.col("id") % 2).cast("double").alias("label")))
     assert read.value == pytest.approx(40)
+
+
+@pytest.mark.parametrize("block", [16_000_000, 3_000])
+def test_texts_go_past_blocks_and_no_gram_is_shuffled(spark, monkeypatch, block):
+    rng, rows_of = random.Random(11), []
+    monkeypatch.setattr(repeats, "stored", lambda df: rows_of.append(session.stored(df)) or rows_of[-1])
+    monkeypatch.setattr(repeats, "BLOCK", block, raising=False)
+    monkeypatch.setattr(repeats, "EACH", 10, raising=False)
+    texts = [text_of(rng, rng.choice([10, 40, 45, 60, 150])) for _ in range(50)]
+    texts += [t.replace(rng.choice("abc"), "z") + " " * rng.randrange(9) for t in rng.choices(texts, k=50)]
+    rows = [(i, t, "x" if i % 10 else "y") for i, t in enumerate(texts)]
+    got = {r.id: (r.match_id, r.ratio) for r in repeats.ratio_repeats(spark.createDataFrame(rows, "id long, t string, site string"), "id", "t", "id", within="site").collect()}
+    want = {}
+    for i, t, site in rows:
+        for j, u, other in rows[:i]:
+            if site == other and (ratio := difflib.SequenceMatcher(None, t, u).ratio()) >= 0.85:
+                want[i] = (j, pytest.approx(ratio))
+                break
+    assert got == want and len(want) > 20
+    # what is written are texts, blocks, their links and what is found
+    assert not any("array" in kind for df in rows_of for _, kind in df.dtypes)
+
+
+def test_long_texts_have_the_ratio_of_difflib(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(ratioindex, "ARRAYS", 200)
+    for n in [210, 260, 400, 1_000, 3_000] * 8:
+        a = text_of(rng, n // 5) if n % 4 else "".join(rng.choice("eeeettaaoinshr dlucm fwypvbgk,.TAISE\n") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.choice([1, n // 50, n // 20])):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(4)] = rng.choices("etaoin xq", k=rng.randrange(4))
+        b = "".join(b[rng.randrange(20) :])
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert ratioindex.ratio_from(a, b, 0) == ratio
+        assert ratioindex.ratio_from(a, b, len(a) + len(b)) is None
