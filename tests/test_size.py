@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardlens import session
 from hazardlens.functions import spans
-from hazardlens.operators import extract, labels, ratioindex, repeats, scoring, shingles, spelling
+from hazardlens.operators import cleaning, extract, labels, ratioindex, repeats, scoring, shingles, spelling
 
 
 def plan(df):
@@ -139,3 +139,16 @@ def test_long_texts_have_the_ratio_of_difflib(monkeypatch):
         ratio = difflib.SequenceMatcher(None, a, b).ratio()
         assert ratioindex.ratio_from(a, b, 0) == ratio
         assert ratioindex.ratio_from(a, b, len(a) + len(b)) is None
+
+
+@pytest.mark.parametrize("few", [500, 0])
+def test_cleaning_shuffles_no_words_of_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(spelling, "FEW", few, raising=False)
+    monkeypatch.setattr(cleaning, "STRANGE", few, raising=False)
+    known = spark.createDataFrame([(w, 9) for w in "pump near the pit equipment".split()], "word string, freq long")
+    rows = [(1, "the pmup's nera qq the Pit"), (1, "los equipmnt zz"), (2, None), (3, "  "), (4, "सुरक्षा"), (5, "xx yy vv")]
+    out = cleaning.clean_reports(spark.createDataFrame(rows, "id int, t string"), "id", "t", known, {"los": "the"}, digits=None)
+    got = sorted(map(tuple, out.select("id", "cleaned_text", "normalization_confidence", "degraded").collect()))
+    assert got == [(1, "the equipment zz", 0.5, False), (1, "the pmup's nera qq the Pit", 0.0, True), (2, "", 1.0, False), (3, "", 1.0, False), (4, "सुरक्षा", 0.0, True), (5, "xx yy vv", 0.0, True)]
+    # one join of texts by their key, with a count for each
+    assert plan(out).count("SortMergeJoin") <= (1 if few else 2)
