@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazardlens import session
 from hazardlens.functions import spans
 from hazardlens.operators import cleaning, extract, labels, ratioindex, repeats, scoring, shingles, spelling
+from hazardlens.plans import registry
 
 
 def plan(df):
@@ -152,3 +153,11 @@ def test_cleaning_shuffles_no_words_of_texts(spark, monkeypatch, few):
     assert got == [(1, "the equipment zz", 0.5, False), (1, "the pmup's nera qq the Pit", 0.0, True), (2, "", 1.0, False), (3, "", 1.0, False), (4, "सुरक्षा", 0.0, True), (5, "xx yy vv", 0.0, True)]
     # one join of texts by their key, with a count for each
     assert plan(out).count("SortMergeJoin") <= (1 if few else 2)
+
+
+def test_mined_lines_are_not_written(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(registry, "stored", lambda df: kept.append(df) or session.stored(df))
+    vocab = registry._vocabulary(registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert vocab.where("kind = 'stop'").count() > 0 and vocab.where("kind = 'activity_verb'").count() > 0
+    assert kept and all("text" not in df.columns for df in kept)
