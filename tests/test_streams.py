@@ -61,3 +61,20 @@ def test_compacted_deltas_give_the_same_counts(spark, tmp_path):
     spark.createDataFrame([(9, 9, 9)], schema).write.parquet(f"{root}/upto=7")
     (tmp_path / "d" / "upto=7" / "_SUCCESS").unlink()  # a compaction that broke off
     assert counts() == {1: (6, 3), 2: (1, 0), 3: (4, 4)}
+
+
+def test_what_the_models_say_is_in_the_result_of_the_stream(spark, monkeypatch):
+    from hazardlens.operators import scoring
+    from hazardlens.plans import upkeep, views
+
+    t = views.Tables(spark, "/root/testdata/sf0.001")
+    risk, rules, vocab, known = upkeep._models(t)
+
+    def totals(*models):
+        monkeypatch.setattr(upkeep, "_models", lambda t: models)
+        rows = upkeep.stream_enrichment(t).collect()
+        return [sum(r[c] for r in rows) for c in ("n", "repaired", "tags", "spans")]
+
+    n, repaired, tags, spans = totals(risk, rules, vocab, known.persist())
+    assert n == t.documents.count() and repaired > 0 and tags > 0 and spans > 0
+    assert totals(risk, scoring.RuleModels(rules.features, {}), vocab.where("false"), known.where("false")) == [n, 0, 0, 0]
